@@ -55,32 +55,41 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
     return rows.select("source", "source_size", F.least(F.col("weight") * F.lit(level), (epochs * F.col("source_size")).cast("double")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = 3, seed: int = 42) -> DataFrame:
-    """docs with size, source_size, target (of its source) and times (how often the mix takes it)."""
-    base = docs.withColumns({"size": n_words(), "__u": seeded(seed)}).withColumn("__bin", F.floor(F.col("__u") * BINS / (1 << 32)))
+def _planned(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = WEIGHTS, epochs: int = 3, seed: int = 42) -> DataFrame:
+    """doc (the columns to keep), size, source_size, target and times of every row of docs."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.col("source").cast("string").alias("source"), "doc_id", n_words().alias("size"), seeded(seed).alias("u"))
+    base = rows.withColumn("bin", F.floor(F.col("u") * BINS / (1 << 32)))
     # (source, bin): what the targets and the histogram need, from one aggregation.
-    bins = cut(base.groupBy("source", "__bin").agg(F.sum("size").alias("words")))
+    bins = cut(base.groupBy("source", "bin").agg(F.sum("size").alias("words")))
     per_source = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = per_source.withColumn("whole", whole).withColumn("want", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    before = F.sum("words").over(Window.partitionBy("source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("words").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
     ranges = bins.withColumn("before", F.coalesce(before, F.lit(0)))
-    same = ranges["source"].eqNullSafe(plan["source"])
-    edges = cut(ranges.join(plan, same).select(ranges["source"].alias("__s"), F.col("__bin").alias("__b"), "before", "words", "source_size", "target", "whole", "want"))
+    info = ranges.join(plan, ranges["source"].eqNullSafe(plan["source"]))
     # The range where the wanted words are reached: documents there need their order.
-    split = (F.col("before") < F.col("want")) & (F.col("before") + F.col("words") > F.col("want"))
-    info = edges.select("__s", "__b", "source_size", "target", "whole", "want", "before", split.alias("__split"), (F.col("before") + F.col("words") <= F.col("want")).alias("__in"))
-    joined = base.join(info, base["source"].eqNullSafe(info["__s"]) & (base["__bin"] == info["__b"]))
+    until = F.col("before") + F.col("words")
+    split = (F.col("before") < F.col("want")) & (until > F.col("want"))
+    info = cut(info.select(ranges["source"].alias("s"), F.col("bin").alias("b"), "source_size", "target", "whole", "want", "before", split.alias("split"), (until <= F.col("want")).alias("all_in")))
+    joined = base.join(info, base["source"].eqNullSafe(info["s"]) & (base["bin"] == info["b"]))
     # Other ranges are spread over partitions by their hash, so that the window deals out no source.
-    salt = F.when(F.col("__split"), F.lit(-1)).otherwise(F.col("__u"))
-    upto = F.sum(F.when(F.col("__split"), F.col("size")).otherwise(0)).over(Window.partitionBy("source", "__bin", salt).orderBy("__u", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    nearest = F.col("before") + F.col("__upto") - F.col("size") / 2 <= F.col("want")
-    extra = F.when(F.col("__split"), nearest.cast("long")).otherwise(F.col("__in").cast("long"))
-    done = joined.withColumn("__upto", upto).withColumn("times", F.col("whole") + extra)
-    return done.select(*docs.columns, "size", "source_size", "target", "times")
+    salt = F.when(F.col("split"), F.lit(-1)).otherwise(F.col("u"))
+    upto = F.sum(F.when(F.col("split"), F.col("size")).otherwise(0)).over(Window.partitionBy("source", "bin", salt).orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    nearest = F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("want")
+    extra = F.when(F.col("split"), nearest.cast("long")).otherwise(F.col("all_in").cast("long"))
+    return joined.withColumn("upto", upto).select("doc", *OWN[:3], (F.col("whole") + extra).alias("times"))
+
+
+OWN = ("size", "source_size", "target", "times")
+
+
+def mix(docs: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
+    """docs (all columns, or those to keep) with size, source_size, target (of its source) and times (how often the mix takes it), in place of columns so named."""
+    keep = keep or docs.columns
+    return _planned(docs, keep, **options).select(*(F.col(f"doc.`{c}`") for c in keep if c not in OWN), *OWN)
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document as often as it is taken, with the columns of docs."""
-    rows = mix(docs, **options).withColumn("__k", F.explode(F.sequence(F.lit(1), F.greatest(F.col("times"), F.lit(1)))))
-    return rows.where("times > 0").select(*docs.columns)
+    taken = _planned(docs, docs.columns, **options).where("times > 0")
+    return taken.select("doc", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("doc.*")

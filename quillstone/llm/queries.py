@@ -47,7 +47,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    rows = mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("size") * F.col("times")).alias("taken"))
 
 
