@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import arrow_map
 
 #: Keys in the newer of two generations of the worker's cache.
-CACHE_WORDS = 300_000
-QUERY_WORDS = 50_000
-TEXT_BYTES = 4_000_000
+CACHE_WORDS = 200_000
+QUERY_WORDS = 20_000
+TEXT_BYTES = 2_000_000
 LONG = 64
 HEAP = 512
 #: Marks of keys; no decoded text has them.
 FIRST, PIECE = "\ud800", "\ud801"
-DUCKDB = {"threads": 1, "memory_limit": "300MB"}
+DUCKDB = {"threads": 1, "memory_limit": "150MB"}
 
 CONTRACT = """
 with recursive step as (
