@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.functions.text import body_of, fallback_abstract, frontmatter_list, frontmatter_value, inline_tags, micro_abstract, path_to_doc_id, strip_code, wikilinks
+from quillstone.functions.text import body_of, fallback_abstract, frontmatter_list, frontmatter_value, inline_tags, micro_abstract, path_to_doc_id, wikilinks
 from quillstone.operators.hygiene import resolve_tags
 from quillstone.sources.vault import chunks
 
@@ -23,7 +25,7 @@ def tables(files: DataFrame) -> dict[str, DataFrame]:
     names = docs.select("title").distinct().withColumn("pos", F.xxhash64("title"))
     found = tags.join(resolve_tags(tags, names), "tag").select("src", F.col("title").alias("dst"), F.lit("tagged_as").alias("relation"), F.lit("TAG").alias("status"), F.lit(0.3).alias("weight"))
     edges = links.union(found).dropDuplicates(["src", "dst", "relation"])
-    nodes = docs.select("id", F.lit("note").alias("type"), F.col("title").alias("name")).union(edges.select("dst", F.lit("concept"), "dst").join(docs.select(F.col("id").alias("dst")), "dst", "left_anti").distinct())
+    nodes = docs.select("id", F.lit("note").alias("type"), F.col("title").alias("name")).union(edges.select(F.col("dst").alias("id"), F.lit("concept").alias("type"), F.col("dst").alias("name")).distinct().join(docs.select("id"), "id", "left_anti"))
     return {"documents": docs, "chunks": chunks(docs.select("id", "content")), "edges": edges, "nodes": nodes}
 
 
@@ -50,8 +52,6 @@ def append_section(text, heading: str, content: str):
     """text with content at the end of the section of that heading, which is made where it is missing."""
     level = len(heading) - len(heading.lstrip("#")) or 2
     full = heading if heading.startswith("#") else f"## {heading}"
-    import re
-
     section = rf"(?s)((?:^|\n){re.escape(full)}[ \t]*\n.*?)(?=\n#{{1,{level}}} |\z)"
     safe = content.replace("\\", "\\\\").replace("$", "\\$")
     return F.when(F.regexp_like(text, F.lit(section)), F.regexp_replace(text, section, "$1\n" + safe + "\n")).otherwise(F.concat(F.rtrim(text), F.lit(f"\n\n{full}\n\n{content}\n")))
@@ -68,7 +68,3 @@ def reassemble(chunks_: DataFrame, separator: str = "\n\n") -> DataFrame:
     """(document_id, content) of chunks in order."""
     parts = F.sort_array(F.collect_list(F.struct("chunk_index", "content")))
     return chunks_.groupBy("document_id").agg(F.array_join(F.transform(parts, lambda x: x["content"]), separator).alias("content"))
-
-
-def plain_text(x):
-    return strip_code(x)
