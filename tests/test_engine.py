@@ -107,7 +107,7 @@ def test_events(spark):
 def test_ingest_and_code(spark, tmp_path):
     files = spark.createDataFrame([("n/a.md", "# A\n\nHello [[b]].", 1), ("n/b.md", "Body #a-tag", 2)], "path string, content string, mtime long")
     t = ingest.tables(files)
-    assert {(r.src, r.dst) for r in t["edges"].collect()} == {("doc-n-a.md", "b")}
+    assert {(r.src, r.dst) for r in t["edges"].collect()} == {("doc-n-a.md", "b"), ("doc-n-b.md", "a")}  # a tag that holds a title
     f, s = code.ingest(spark.createDataFrame([("x/main.go", "package x\nfunc Run() {\n}\ntype T struct {\n")], "path string, content string"))
     assert {(r.kind, r.name, r.start_line) for r in s.collect()} == {("func", "Run", 2), ("type", "T", 4)}
 
