@@ -100,8 +100,11 @@ class Codec:
         self.con.register("given", given)
         self.con.execute("create table vocabulary as select * from given")
         self.con.unregister("given")
+        #: Of each key its ids, and in `plain` the bytes that they decode to.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.plain: dict[str, bytes] = {}
+        self.older_plain: dict[str, bytes] = {}
         self.words: dict[bytes, bytes] = {}
         self.older_words: dict[bytes, bytes] = {}
         #: Words whose ids decode to other bytes.
@@ -217,15 +220,17 @@ class Codec:
         return [p for m in found for p in self.cut(m.encode())] if len(key) > LONG // 4 else [m.encode() for m in found]
 
     def learn(self, keys: set[str]) -> None:
-        """Afterwards `known` has each key: its ids, and what they decode to where that isn't the key's own bytes."""
+        """Afterwards `known` has the ids of each key and `plain` the bytes decoded from them."""
         if len(self.known) > CACHE_WORDS:
             self.older, self.known = self.known, {}
+            self.older_plain, self.plain = self.plain, {}
             self.older_words, self.words = self.words, {}
         new = []
         for key in keys:
             if key not in self.known:
                 if (x := self.older.get(key)) is not None:
                     self.known[key] = x
+                    self.plain[key] = self.older_plain[key]
                 else:
                     new.append(key)
         pieces = list(map(self.pieces, new))
@@ -238,15 +243,15 @@ class Codec:
             words[w] = i
         for key, ps in zip(new, pieces, strict=True):
             self.known[key] = b"".join([words[p] if p in words else older[p] for p in ps])
+            self.plain[key] = b"".join([self.odd.get(p, p) for p in ps])
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Of each text the ids as little-endian 32-bit integers and the bytes decoded from them."""
         cut = [self.chunks(t) for t in texts]
         self.learn(set().union(*cut))
         for t, keys in zip(texts, cut, strict=True):
-            ids = b"".join(map(self.known.__getitem__, keys))
-            # Decoding goes word by word; words that decode to other bytes (none, with a whole byte alphabet) are put in.
-            yield ids, t.encode() if not self.odd else b"".join(self.odd.get(p, p) for k in keys for p in self.pieces(k))
+            # Ids decode one by one, so a text's bytes are those decoded from its words' ids, in order.
+            yield b"".join(map(self.known.__getitem__, keys)), b"".join(map(self.plain.__getitem__, keys))
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
