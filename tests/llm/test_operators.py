@@ -108,6 +108,21 @@ def test_bpe(docs, none):
     assert bpe.encode(none, VOCABULARY, PATTERN).count() == 0
 
 
+def test_bpe_forgets_and_learns_again(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 3)
+    texts = ["one two three four five", "six\nseven two, eight", "é 漢字  two one.", ""]
+    own = bpe.Codec(VOCABULARY, PATTERN)
+    whole = tiktoken.Encoding("t", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
+    for _ in range(3):
+        for t in texts:
+            ((ids, plain),) = own.encode([t])
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode_ordinary(t) and plain == t.encode()
+    # The bytes come from the ids: a word with other ids decodes to other bytes.
+    own.known.clear(), own.older.clear(), own.words.clear(), own.older_words.clear()
+    monkeypatch.setattr(own, "contract", lambda words: [int(own.byte[120]).to_bytes(4, "little")] * len(words))
+    assert [d for _, d in own.encode(["two"])] == [b"x"]
+
+
 def test_bpe_long_words():
     own = bpe.codec(VOCABULARY, PATTERN)
     lib = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=own.ranks, special_tokens={})
@@ -154,13 +169,17 @@ def test_html(spark):
     a = lambda i: page(i, f"<article><h1>Head {i}</h1><p><b>First&amp; {i}<br><p>Second  \n line {i}</p><script>x('</p>')</script><section class='comments'><p>spam</p></section></article>")
     b = lambda i: page(i, f"<div><p>We like cakes</p><p>Body {i}</p></div>")
     rows = [(i, "http://h.example/x", a(i)) for i in range(5)] + [(10 + i, "http://g.example/x", b(i)) for i in range(5)] + [(20, "http://one.example/", b(9)), (21, None, None), (22, "http://h.example/y", ""), (23, "http://h.example/z", "<article><p>cut &lt;off <b>te"), (24, "u", "plain < text"), (None, "u", a(1))]
-    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract_text(spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, token string")).collect()}
+    given = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, token string")
+    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract_text(given).collect()}
     assert got[3] == ("Head 3\nFirst& 3\nSecond line 3", len("Head 3\nFirst& 3\nSecond line 3"))
     assert got[12][0] == "Body 2"  # "We like cakes" is the host's template
     assert got[20][0] == "We like cakes\nBody 9"
     assert got[21] == got[22] == ("", 0)
     assert got[23][0] == "cut <off te" and got[24][0] == "plain < text"
     assert len(got) == len(rows)
+    # Templates beyond the bound of a broadcast meet their pages by host and salt.
+    assert {r.page_id: (r.text, r.n_chars) for r in html_text.extract_text(given, broadcast_entries=0).collect()} == got
+    assert html_text.extract_text(given.limit(0)).collect() == []
 
 
 def test_substring_dedup(docs, none):
