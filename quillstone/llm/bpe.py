@@ -28,11 +28,12 @@ from collections.abc import Iterator
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_map
+from quillstone.llm.common import arrow_map, kept
 
 #: Keys in the newer of two generations of the worker's cache.
 CACHE_WORDS = 200_000
@@ -110,6 +111,9 @@ class Codec:
         #: Words whose ids decode to other bytes.
         self.odd: dict[bytes, bytes] = {}
 
+    def close(self) -> None:
+        self.con.close()
+
     def cut(self, word: bytes) -> list[bytes]:
         """Parts that no token lies across: a token across i has two bytes, or three with one of the neighbours."""
         if len(word) <= LONG:
@@ -254,29 +258,25 @@ class Codec:
             yield b"".join(map(self.known.__getitem__, keys)), b"".join(map(self.plain.__getitem__, keys))
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
-    """The worker's codec for a vocabulary."""
-    if (path, pattern) not in _codecs:
-        _codecs[path, pattern] = Codec(path, pattern)
-    return _codecs[path, pattern]
+    """The worker's codec for a vocabulary; let go when the worker turns to another operator."""
+    return kept(("bpe", path, pattern), lambda: Codec(path, pattern), Codec.close)
 
 
 def _text(raw: bytes | None) -> str:
     return (raw or b"").decode("utf-8", "replace")
 
 
-def _groups(raw: list[bytes | None]) -> Iterator[tuple[int, int]]:
+def _groups(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about TEXT_BYTES of text, so that a batch is unpacked part by part."""
     begin = size = 0
-    for i, r in enumerate(raw):
-        size += len(r or b"")
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        size += n or 0
         if size >= TEXT_BYTES:
             yield begin, i + 1
             begin, size = i + 1, 0
-    if begin < len(raw):
-        yield begin, len(raw)
+    if begin < len(texts):
+        yield begin, len(texts)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
@@ -285,9 +285,9 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            raw = batch.column(1).to_pylist()
-            for a, b in _groups(raw):
-                got = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest(), i) for i, d in own.encode([_text(r) for r in raw[a:b]])]
+            for a, b in _groups(batch.column(1)):
+                texts = [_text(r) for r in batch.column(1).slice(a, b - a).to_pylist()]
+                got = [(len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256(d).hexdigest(), i) for i, d in own.encode(texts)]
                 out = [batch.column(0).slice(a, b - a), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got]), pa.array([g[2] for g in got])]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
@@ -296,7 +296,7 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, schema, keeps="bpe")
 
 
 def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -310,4 +310,4 @@ def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
                 ids = [np.array(x or [], np.int32) for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.decode(ids), pa.binary())], names=["doc_id", "bytes"])
 
-    return arrow_map(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, bytes binary")
+    return arrow_map(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, bytes binary", keeps="bpe")

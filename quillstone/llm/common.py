@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -106,10 +106,28 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(tops)
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """mapInArrow that skips empty batches."""
+_kept: dict[tuple, tuple] = {}
+
+
+def kept(key: tuple, make: Callable, close: Callable):
+    """What a Python worker keeps between tasks under a key, whose first part names its operator."""
+    if key not in _kept:
+        _kept[key] = (make(), close)
+    return _kept[key][0]
+
+
+def let_go(but: str | None) -> None:
+    """Closes and drops what the worker keeps for operators other than `but`: workers are used again by later stages."""
+    for key in [k for k in _kept if k[0] != but]:
+        value, close = _kept.pop(key)
+        close(value)
+
+
+def arrow_map(df: DataFrame, fn, schema: str, keeps: str | None = None) -> DataFrame:
+    """mapInArrow that skips empty batches; keeps: the operator whose kept objects the tasks use."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keeps)
         return fn(b for b in batches if b.num_rows)
 
     return df.mapInArrow(run, schema)
