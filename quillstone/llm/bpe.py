@@ -246,8 +246,13 @@ class Codec:
                 self.odd[w] = d
             words[w] = i
         for key, ps in zip(new, pieces, strict=True):
-            self.known[key] = b"".join([words[p] if p in words else older[p] for p in ps])
-            self.plain[key] = b"".join([self.odd.get(p, p) for p in ps])
+            if len(ps) == 1:
+                (p,) = ps
+                self.known[key] = words[p] if p in words else older[p]
+                self.plain[key] = self.odd.get(p, p) if self.odd else p
+            else:
+                self.known[key] = b"".join([words[p] if p in words else older[p] for p in ps])
+                self.plain[key] = b"".join([self.odd.get(p, p) for p in ps] if self.odd else ps)
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """Of each text the ids as little-endian 32-bit integers and the bytes decoded from them."""
