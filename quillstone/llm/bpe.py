@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import re
 from collections.abc import Iterator
 
 import duckdb
@@ -36,34 +37,39 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import arrow_map, kept
 
 #: Keys in the newer of two generations of the worker's cache.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 QUERY_WORDS = 20_000
 TEXT_BYTES = 2_000_000
 LONG = 64
+#: Longer words are contracted with a heap; a position in the recursive query is below 1024.
 HEAP = 512
-#: Marks of keys; no decoded text has them.
-FIRST, PIECE = "\ud800", "\ud801"
+#: Marks of keys; no UTF-8 has them.
+FIRST, PIECE = b"\xfe", b"\xff"
+#: A stop or comma after a letter, with nothing but white space behind, is a match by itself.
+MARKS = re.compile(rb"(?<=[a-zA-Z])[.,](?= |\Z)")
 DUCKDB = {"threads": 1, "memory_limit": "150MB"}
 
+# A row's place is its word and its position in one number, so that one sort finds the next token of all words.
 CONTRACT = """
 with recursive step as (
-    select w, pos, tok, true as live from bytes
+    select w, w::bigint * 1024 + pos as place, tok, true as live from bytes
     union all
-    select w, pos, tok, live from (
+    select w, place, tok, live from (
         with pairs as (
-            select w, pos, tok, lead(tok) over by_word as next_tok, lead(pos) over by_word as next_pos
-            from step where live window by_word as (partition by w order by pos)),
+            select w, place, tok, lead(w) over by_place as next_w, lead(tok) over by_place as next_tok, lead(place) over by_place as next_place
+            from step where live window by_place as (order by place)),
         ranked as (
-            select p.*, m.merged, m.merged * 1048576 + p.pos as place
-            from pairs p left join merges m on m.pair = p.tok::bigint * 1048576 + p.next_tok),
-        best as (select w, min(place) as place, arg_min(next_pos, place) as gone from ranked group by w)
-        select r.w, r.pos, case when r.place = b.place then r.merged::int else r.tok end as tok, b.place is not null as live
-        from ranked r join best b using (w) where b.place is null or r.pos <> b.gone
+            select p.*, m.merged, m.merged * 1024 + p.place % 1024 as turn
+            from pairs p left join merges m on m.pair = case when p.next_w = p.w then p.tok::bigint * 1048576 + p.next_tok end),
+        best as (select w, min(turn) as turn, arg_min(next_place, turn) as gone from ranked group by w)
+        select r.w, r.place, case when r.turn = b.turn then r.merged::int else r.tok end as tok, b.turn is not null as live
+        from ranked r join best b using (w) where b.turn is null or r.place <> b.gone
     )
 )
-select w, pos, tok from step where not live order by w, pos
+select w, tok from step where not live order by place
 """
-DECODE = "select t.w, unhex(string_agg(v.hex, '' order by t.pos)) as bytes from tokens t join vocabulary v on v.id = t.tok group by t.w order by t.w"
+# One ordered aggregation for all words of a block; the widths of their tokens say where each word ends.
+DECODE = "select unhex(string_agg(v.hex, '' order by t.place)) as bytes from tokens t join vocabulary v on v.id = t.tok"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -101,15 +107,15 @@ class Codec:
         self.con.register("given", given)
         self.con.execute("create table vocabulary as select * from given")
         self.con.unregister("given")
-        #: Of each key its ids, and in `plain` the bytes that they decode to.
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.plain: dict[str, bytes] = {}
-        self.older_plain: dict[str, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
-        self.older_words: dict[bytes, bytes] = {}
-        #: Words whose ids decode to other bytes.
-        self.odd: dict[bytes, bytes] = {}
+        self.width = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        for token, rank in self.ranks.items():
+            self.width[rank] = len(token)
+        #: Of each key its ids and the bytes that they decode to.
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        #: The same of the words of keys with several.
+        self.words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older_words: dict[bytes, tuple[bytes, bytes]] = {}
 
     def close(self) -> None:
         self.con.close()
@@ -167,7 +173,11 @@ class Codec:
                 todo.append(i)
         for k in range(0, len(todo), QUERY_WORDS):
             part = todo[k : k + QUERY_WORDS]
-            self.con.register("bytes", self._rows([np.frombuffer(words[i], np.uint8) for i in part], self.byte))
+            flat = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
+            lengths = np.array([len(words[i]) for i in part])
+            starts = np.cumsum(lengths) - lengths
+            rows = {"w": np.repeat(np.arange(len(part), dtype=np.int32), lengths), "pos": (np.arange(len(flat)) - np.repeat(starts, lengths)).astype(np.int32), "tok": self.byte[flat]}
+            self.con.register("bytes", pa.table(rows))
             got = self.con.sql(CONTRACT).to_arrow_table()
             self.con.unregister("bytes")
             ends = (np.searchsorted(got.column("w").to_numpy(), np.arange(len(part) + 1)) * 4).tolist()
@@ -176,91 +186,101 @@ class Codec:
                 out[i] = raw[ends[n] : ends[n + 1]]
         return out
 
-    @staticmethod
-    def _rows(parts: list[np.ndarray], of: np.ndarray | None = None) -> pa.Table:
-        """Token-position rows of lists of bytes or ids."""
-        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-        flat = np.concatenate(parts)
-        pos = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        return pa.table({"w": np.repeat(np.arange(len(parts), dtype=np.int32), lengths), "pos": pos.astype(np.int32), "tok": (flat if of is None else of[flat]).astype(np.int32)})
-
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Bytes of each string of ids; an id that the vocabulary lacks raises an error."""
-        out = [b""] * len(ids)
+        out = []
         for k in range(0, len(ids), QUERY_WORDS):
-            rows = self._rows([np.frombuffer(x, "<u4") for x in ids[k : k + QUERY_WORDS]])
-            if not rows.num_rows:
-                continue
-            if int(rows.column("tok").to_numpy().view(np.uint32).max()) >= len(self.ranks):
+            part = ids[k : k + QUERY_WORDS]
+            flat = np.frombuffer(b"".join(part), "<u4")
+            if len(flat) and int(flat.max()) >= len(self.width):
                 raise ValueError("id without an entry in the vocabulary")
-            self.con.register("tokens", rows)
-            got = self.con.sql(DECODE).to_arrow_table()
+            self.con.register("tokens", pa.table({"place": np.arange(len(flat)), "tok": flat.astype(np.int32)}))
+            ((raw,),) = self.con.sql(DECODE).fetchall()
             self.con.unregister("tokens")
-            for w, b in zip(got.column("w").to_numpy().tolist(), got.column("bytes").to_pylist(), strict=True):
-                out[k + w] = b
+            at = np.concatenate([[0], np.cumsum(self.width[flat])])
+            ends = at[np.cumsum([0, *map(len, part)]) // 4].tolist()
+            out += [(raw or b"")[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         return out
 
-    def chunks(self, text: str) -> list[str]:
-        """Keys of strings at whose borders a match always begins, so that each is matched by itself.
+    def chunks(self, texts: list[str]) -> tuple[pa.Array, list[int], list[int]]:
+        """Keys of strings at whose borders a match always begins, so that each is matched by itself; and where each text's keys begin and end.
 
         A key is FIRST and a string, PIECE and a match, a line break and a string, or a string that a blank precedes.
         """
-        flat = text.replace("\n", " ")
-        if " ".join(flat.split()) != flat or not text:
-            return [PIECE + m for m in self.pattern.findall(text)]
-        # Every white space is one blank or line break between words: a match begins at each of them.
-        return (FIRST + text.replace("\n", " \n")).split(" ")
-
-    def pieces(self, key: str) -> list[bytes]:
+        even: list[bytes] = []
+        odd: list[bytes] = []
+        begin, count, late = [0] * len(texts), [0] * len(texts), []
+        n = 0
+        for i, t in enumerate(texts):
+            flat = t.replace("\n", " ")
+            if not t or " ".join(flat.split()) != flat:
+                begin[i] = len(odd)
+                odd += [PIECE + m.encode() for m in self.pattern.findall(t)]
+                count[i] = len(odd) - begin[i]
+                late.append(i)
+            else:
+                # Every white space is one blank or line break between words: a match begins at each of them.
+                even.append(FIRST + MARKS.sub(b" \xff\\g<0>", t.encode().replace(b"\n", b" \n")))
+                begin[i], count[i] = n, even[-1].count(b" ") + 1
+                n += count[i]
+        keys = pa.array(odd, pa.large_binary())
+        if even:
+            keys = pa.concat_arrays([pc.split_pattern(pa.array([b" ".join(even)], pa.large_binary()), b" ").flatten(), keys])
+        for i in late:
+            begin[i] += n
+        return keys, begin, [b + c for b, c in zip(begin, count, strict=True)]
+
+    def pieces(self, key: bytes) -> list[bytes]:
         """The matches that a key stands for, long ones cut."""
-        if key.isalpha():
-            found = [" " + key]
-        elif key[:-1].isalpha() and key[-1] in ".,":
-            found = [" " + key[:-1], key[-1]]
-        elif key[0] == PIECE:
+        text = key.decode() if key[:1] < FIRST else key[1:].decode()
+        if key[:1] == PIECE:
             found = [key[1:]]
+        elif text.isalpha() and key[:1] != FIRST:
+            found = [b" " + key]
         else:
-            found = self.pattern.findall(key[1:] if key[0] == FIRST else key if key[0] == "\n" else " " + key)
-        return [p for m in found for p in self.cut(m.encode())] if len(key) > LONG // 4 else [m.encode() for m in found]
+            found = [m.encode() for m in self.pattern.findall(text if key[:1] in (FIRST, b"\n") else " " + text)]
+        return found if len(key) <= LONG else [p for m in found for p in self.cut(m)]
 
-    def learn(self, keys: set[str]) -> None:
-        """Afterwards `known` has the ids of each key and `plain` the bytes decoded from them."""
+    def learn(self, keys: list[bytes]) -> None:
+        """Afterwards `known` has each key."""
         if len(self.known) > CACHE_WORDS:
             self.older, self.known = self.known, {}
-            self.older_plain, self.plain = self.plain, {}
             self.older_words, self.words = self.words, {}
-        new = []
+        known, older = self.known, self.older
+        new, some = [], []
         for key in keys:
-            if key not in self.known:
-                if (x := self.older.get(key)) is not None:
-                    self.known[key] = x
-                    self.plain[key] = self.older_plain[key]
-                else:
+            if key not in known:
+                if (x := older.get(key)) is not None:
+                    known[key] = x
+                elif len(key) < LONG and key.isalpha():
                     new.append(key)
-        pieces = list(map(self.pieces, new))
-        words, older = self.words, self.older_words
-        unseen = [w for w in dict.fromkeys(p for ps in pieces for p in ps) if w not in words and w not in older]
-        ids = self.contract(unseen)
-        for w, i, d in zip(unseen, ids, self.decode(ids), strict=True):
-            if d != w:
-                self.odd[w] = d
-            words[w] = i
-        for key, ps in zip(new, pieces, strict=True):
-            if len(ps) == 1:
-                (p,) = ps
-                self.known[key] = words[p] if p in words else older[p]
-                self.plain[key] = self.odd.get(p, p) if self.odd else p
-            else:
-                self.known[key] = b"".join([words[p] if p in words else older[p] for p in ps])
-                self.plain[key] = b"".join([self.odd.get(p, p) for p in ps] if self.odd else ps)
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+                else:
+                    some.append(key)
+        parts = list(map(self.pieces, some))
+        unseen = {p for ps in parts for p in ps if p not in self.words and p not in self.older_words}
+        words = [b" " + key for key in new] + list(unseen)
+        ids = self.contract(words)
+        found = list(zip(ids, self.decode(ids), strict=True))
+        known.update(zip(new, found, strict=False))
+        self.words.update(zip(words[len(new) :], found[len(new) :], strict=True))
+        for key, ps in zip(some, parts, strict=True):
+            of = [self.words.get(p) or self.older_words[p] for p in ps]
+            known[key] = of[0] if len(of) == 1 else (b"".join([x[0] for x in of]), b"".join([x[1] for x in of]))
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[memoryview, memoryview]]:
         """Of each text the ids as little-endian 32-bit integers and the bytes decoded from them."""
-        cut = [self.chunks(t) for t in texts]
-        self.learn(set().union(*cut))
-        for t, keys in zip(texts, cut, strict=True):
-            # Ids decode one by one, so a text's bytes are those decoded from its words' ids, in order.
-            yield b"".join(map(self.known.__getitem__, keys)), b"".join(map(self.plain.__getitem__, keys))
+        keys, begin, end = self.chunks(texts)
+        found = keys.dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        self.learn(distinct)
+        each = [self.known[k] for k in distinct]
+        # Ids decode one by one, so a text's bytes are those decoded from its words' ids, in order.
+        joined = [pa.array([x[side] for x in each], pa.large_binary()).take(found.indices) for side in (0, 1)]
+        views = [memoryview(x.buffers()[2] or b"") for x in joined]
+        places = [np.frombuffer(x.buffers()[1], np.int64) if len(x) else np.zeros(1, np.int64) for x in joined]
+        (ids, plain), (a, b) = views, places
+        for i, k in zip(begin, end, strict=True):
+            yield ids[a[i] : a[k]], plain[b[i] : b[k]]
 
 
 def codec(path: str, pattern: str) -> Codec:
@@ -312,7 +332,7 @@ def decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                ids = [np.array(x or [], np.int32) for x in part.column(1).to_pylist()]
+                ids = [np.array(x or [], np.int32).tobytes() for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own.decode(ids), pa.binary())], names=["doc_id", "bytes"])
 
     return arrow_map(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "ids"), run, "doc_id long, bytes binary", keeps="bpe")
