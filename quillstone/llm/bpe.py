@@ -271,18 +271,25 @@ class Codec:
         """Of each text the ids as little-endian 32-bit integers and the bytes decoded from them."""
         keys, begin, end = self.chunks(texts)
         found = keys.dictionary_encode()
-        distinct = found.dictionary.to_pylist()
+        places, raw = _parts(found.dictionary)
+        raw, ends = bytes(raw), places.tolist()
+        distinct = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
         self.learn(distinct)
         each = [self.known[k] for k in distinct]
         # Ids decode one by one, so a text's bytes are those decoded from its words' ids, in order.
-        joined = [pa.array([x[side] for x in each], pa.large_binary()).take(found.indices) for side in (0, 1)]
-        views = [memoryview(x.buffers()[2] or b"") for x in joined]
-        places = [np.frombuffer(x.buffers()[1], np.int64) if len(x) else np.zeros(1, np.int64) for x in joined]
-        (ids, plain), (a, b) = views, places
+        a, ids = _parts(pa.array([x[0] for x in each], pa.large_binary()).take(found.indices))
+        b, plain = _parts(pa.array([x[1] for x in each], pa.large_binary()).take(found.indices))
         for i, k in zip(begin, end, strict=True):
             yield ids[a[i] : a[k]], plain[b[i] : b[k]]
 
 
+def _parts(strings: pa.LargeBinaryArray) -> tuple[np.ndarray, memoryview]:
+    """Where each string begins and ends in the bytes of all."""
+    _, places, raw = strings.buffers()
+    begin = np.frombuffer(places, np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    return begin, memoryview(raw or b"").cast("B")
+
+
 def codec(path: str, pattern: str) -> Codec:
     """The worker's codec for a vocabulary; let go when the worker turns to another operator."""
     return kept(("bpe", path, pattern), lambda: Codec(path, pattern), Codec.close)
