@@ -44,6 +44,8 @@ RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|sel
 OUTSIDE = set("nav footer aside form dialog menu fieldset head".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 MARKS = re.compile(r"(?i)(^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|foot(er)?|header|masthead|cookies?|notices?|consent|gdpr|pop-?up|modal|newsletter|subscri\w+|share|sharing|social|related|recommend\w*|comments?|disqus|replies|breadcrumbs?|pagination|pager|widget|toolbar)($|[\s_-])")
+#: Open elements that a start tag of the name ends, besides paragraphs and headings.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}} | {k: {"td", "th", "tr", "tbody", "thead", "tfoot"} for k in ("tbody", "thead", "tfoot")}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
@@ -71,6 +73,16 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool, bool]]:
     stack: list[tuple[str, bool]] = []
     out = []
     path, hidden, article, header = "", 0, 0, 0
+
+    def shut() -> str:
+        """Ends the innermost open element; its name."""
+        nonlocal hidden, article, header
+        top, was = stack.pop()
+        hidden -= was
+        article -= top in ("article", "main")
+        header -= top == "header"
+        return top
+
     for m in TOKEN.finditer(page):
         s = m[0]
         if s[0] != "<" or s == "<":
@@ -89,17 +101,12 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool, bool]]:
             continue
         if close:
             if any(x[0] == name for x in stack):
-                while True:
-                    top, was = stack.pop()
-                    hidden -= was
-                    article -= top in ("article", "main")
-                    header -= top == "header"
-                    if top == name:
-                        break
+                while shut() != name:
+                    pass
                 path = "/".join(x[0] for x in stack)
         elif name not in VOID and not attrs.endswith("/"):
-            while stack and stack[-1][0] in ("p", *HEADING) or stack and stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
+            while stack and (stack[-1][0] in ("p", *HEADING) or stack[-1][0] in ENDS.get(name, ())):
+                shut()
             was = _outside(name, attrs, article > 0)
             stack.append((name, was))
             hidden += was

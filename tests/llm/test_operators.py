@@ -182,6 +182,14 @@ def test_html(spark):
     assert html_text.extract_text(given.limit(0)).collect() == []
 
 
+def test_html_omitted_end_tags():
+    for menu in ("<ul><li class='menu-item'>Home<li class='menu-item'>About</ul>", "<p class='notice'>Beware", "<table><tr><td class='ad'>Buy<td class='ad'>Now</table>", "<table><tr><th class='ad'>Buy<tr><td>Row</table>", "<dl><dt class='ad'>Buy<dd>Row</dl>"):
+        text = html_text.main_text(f"<body>{menu}<article><h1>Head</h1><p>Text</article></body>")
+        assert text == "Head\nText", menu
+    assert html_text.main_text("<body><table><tr><th class='ad'>Buy<tr><td>Row</table>") == "Row"
+    assert html_text.main_text("<article><p class='notice'>Beware<p>One<ul><li class='share'>Share<li>Two</ul><p>Three</article>") == "One\nTwo\nThree"
+
+
 def test_substring_dedup(docs, none):
     rows = base_rows() + dirty_rows()
     got = substring_dedup.remove_repeated_spans(docs, 30)
