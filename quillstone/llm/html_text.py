@@ -8,9 +8,9 @@ the host's pages have, of two tokens or more, make the host's template; their nu
 the page's own content.
 
 A slot is main text if it lies in the article (or `main`; without either, in the body), outside elements that the template's tags, roles and class names mark as
-menus, headers, footers, sidebars, notices, adverts, forms or comments. Without an article, text nodes of the template (the same on most pages) are
-no content either. Inside of an article nothing is dropped for being repeated: copies of one page on a host would lose their text. A host with less than MIN_PAGES pages has no
-template; there the marks alone decide.
+menus, headers, footers, sidebars, notices, adverts, forms or comments, and no text node of the template (the same on most pages), inside of an article or not.
+Copies of one page make a template of their whole text: a page whose own text is less than a COPY-th of what the marks leave inside of an article (without one: a page
+with no own text at all) counts as a copy, and loses nothing for being repeated. A host with less than MIN_PAGES pages has no template; there the marks alone decide.
 
 Defined results. Null or empty html: empty text. Broken markup: unclosed elements end with the element around them, a cut-off page
 ends all. Null url: a host of its own. Repeated rows: each is returned. Null page_id: kept as null. Extra columns are ignored.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import arrow_map, cut
 
 MIN_PAGES = 3
+#: A page of an article with less than one part in so many of text of its own is a copy.
+COPY = 5
 #: Entries of all templates together (two numbers each, 32 MB) up to which they are broadcast.
 BROADCAST_ENTRIES = 2_000_000
 #: Parts that a host's pages are dealt to beyond that.
@@ -125,11 +127,16 @@ def main_text(page: str, template: dict[int, int] | None = None) -> str:
     """The page's main text; template: the class of each of the host's template tokens."""
     seq = tokens(page)
     whole = any(t[3] and t[1].strip() and not t[4] for t in seq)
+    content = {i: len(t[1].strip()) for i, t in enumerate(seq) if t[1].strip() and not t[4] and (t[3] or not whole)}
     fixed: set[int] = set()
-    if template and not whole:
+    if template:
         numbers = [_number(t[0]) if t[0] != " " else None for t in seq]
         place = [(i, template[n]) for i, n in enumerate(numbers) if n in template]
-        fixed = {i for i, k in place if k in _nested([k for _, k in place])}
+        valid = _nested([k for _, k in place])
+        fixed = {i for i, k in place if k in valid}
+        own = sum(n for i, n in content.items() if i not in fixed)
+        if not own or whole and COPY * own < sum(content.values()):
+            fixed = set()
     blocks, cur = [], []
     for i, (_, text, ends, article, outside) in enumerate(seq):
         if ends:

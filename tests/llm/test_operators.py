@@ -182,6 +182,20 @@ def test_html(spark):
     assert html_text.extract_text(given.limit(0)).collect() == []
 
 
+def test_html_template_inside_articles(spark):
+    page = lambda host, i, body: (i, f"http://{host}.example/{i}", f"<html><body><main><div class='c2'>All our shops</div>{body}<p>Written by the staff</p></main></body></html>")
+    own = [page("a", i, f"<h1>Head {i}</h1><p>Story {i} is told here, at some length</p>") for i in range(6)]
+    copies = [page("b", 10 + i, "<h1>Head</h1><p>One story for all</p>") for i in range(6)]
+    near = [page("c", 20 + i, f"<h1>Head</h1><p>{'One story for all. ' * 20}</p><p>Version {i}</p>") for i in range(6)]
+    bare = [(30 + i, f"http://d.example/{i}", "<html><body><div><p>One</p><p>text</p></div></body></html>") for i in range(4)]
+    given = spark.createDataFrame(own + copies + near + bare, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(given).collect()}
+    assert [got[i] for i in range(6)] == [f"Head {i}\nStory {i} is told here, at some length" for i in range(6)]
+    assert {got[10 + i] for i in range(6)} == {"All our shops\nHead\nOne story for all\nWritten by the staff"}
+    assert all(f"One story for all.\nVersion {i}" in got[20 + i] for i in range(6))
+    assert {got[30 + i] for i in range(4)} == {"One\ntext"}
+
+
 def test_html_omitted_end_tags():
     for menu in ("<ul><li class='menu-item'>Home<li class='menu-item'>About</ul>", "<p class='notice'>Beware", "<table><tr><td class='ad'>Buy<td class='ad'>Now</table>", "<table><tr><th class='ad'>Buy<tr><td>Row</table>", "<dl><dt class='ad'>Buy<dd>Row</dl>"):
         text = html_text.main_text(f"<body>{menu}<article><h1>Head</h1><p>Text</article></body>")
