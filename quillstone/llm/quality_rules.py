@@ -3,8 +3,8 @@
 Base statistics are exact counts over whole texts. Documents that fail the base rules go at once. For the others, a vector of five transformed statistics
 is compared with the minimum-covariance-determinant estimate of its language and source: concentration steps start from medians and median deviations, and each keeps the
 `share` of the group that is nearest by Mahalanobis distance and estimates mean and covariance from it, which never
-raises the determinant. A variance floor for each statistic keeps estimates regular where a statistic is constant (the usual case
-for clean text). A document goes if its squared distance, made consistent for the normal model, is above `cutoff`.
+raises the determinant, until the moments of no group move. A variance floor for each statistic keeps estimates regular where a statistic is constant (the usual case
+for clean text); it is about what one count more or less makes in a document. A document goes if its squared distance, made consistent for the normal model, is above `cutoff`.
 
 Groups with fewer than `least` documents use the estimate of their language, and languages with fewer that of all. Every estimate is an
 aggregation with map-side combine over the numeric rows, and its result has one row for each group; no group is gathered in one task.
@@ -24,15 +24,17 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Transformed statistics, and the least standard deviation that an estimate gives each.
 STATS = {
-    "ln(1 + n_words)": 0.50,
-    "word_chars / n_words": 0.60,
-    "sqrt(n_symbols / word_chars)": 0.10,
-    "ln(1 + n_dup_lines)": 0.50,
-    "sqrt(n_repeat_words / n_words)": 0.12,
+    "ln(1 + n_words)": 0.05,
+    "word_chars / n_words": 0.05,
+    "sqrt(n_symbols / word_chars)": 0.03,
+    "ln(1 + n_dup_lines)": 0.35,
+    "sqrt(n_repeat_words / n_words)": 0.08,
 }
 D = len(STATS)
 #: Chi-square quantile of D = 5 degrees at 0.99999, and the consistency factor of the best three quarters.
 CUTOFF, FACTOR = 30.86, 1.41
+#: Concentration steps at most, and the move of a moment, in standard deviations, that counts as none: what the approximate quantile leaves open.
+STEPS, STILL = 50, 0.01
 
 
 def base_stats(docs: DataFrame) -> DataFrame:
@@ -98,8 +100,8 @@ def _with_distance(rows: DataFrame, moments: DataFrame, how: str = "inner") -> D
     return rows.join(white, "grp", how).withColumn("d2", F.expr(d2)).drop(*(c for c in white.columns if c != "grp"))
 
 
-def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4, accuracy: int = 2000) -> DataFrame:
-    """Robust moments by grp of rows (grp, x0 .. x4)."""
+def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4, accuracy: int = 2000, still: float | None = None) -> DataFrame:
+    """Robust moments by grp of rows (grp, x0 .. x4): after `steps` steps or, with `still`, once no moment moves by more than so many standard deviations."""
     quart = rows.groupBy("grp").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], accuracy).alias(f"q{i}") for i in range(D)))
     floors = list(STATS.values())
     start = [F.element_at(f"q{i}", 2).alias(f"m{i}") for i in range(D)]
@@ -111,10 +113,21 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4, accuracy: int = 20
     for _ in range(steps):
         near = _with_distance(rows, moments)
         limit = near.groupBy("grp").agg(F.percentile_approx("d2", share, accuracy).alias("limit"))
-        moments = _moments(near.join(limit, "grp").where("d2 <= limit"))
+        last, moments = moments, _moments(near.join(limit, "grp").where("d2 <= limit"))
+        if still is not None:
+            moments = cut(moments)
+            if (_moved(last, moments) or 0.0) <= still:
+                break
     return moments
 
 
+def _moved(last: DataFrame, moments: DataFrame) -> float | None:
+    """The greatest difference of a group's moments, in standard deviations and their products."""
+    unit = {f"m{i}": F.sqrt(f"v{i}{i}") for i in range(D)} | {f"v{i}{j}": F.sqrt(F.col(f"v{i}{i}") * F.col(f"v{j}{j}")) for i in range(D) for j in range(i, D)}
+    both = moments.join(last.select("grp", *(F.col(c).alias(f"{c}_") for c in unit)), "grp")
+    return both.agg(F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"{c}_")) / u for c, u in unit.items())))).first()[0]
+
+
 def judge(stats: DataFrame, least: int = 100, cutoff: float = CUTOFF, factor: float = FACTOR) -> DataFrame:
     """stats with the column kept."""
     x = stats.withColumns({f"x{i}": F.when(~F.col("base_failed"), F.expr(f"cast({s.replace('/ word_chars', '/ greatest(word_chars, 1)').replace('/ n_words', '/ greatest(n_words, 1)')} as double)")) for i, s in enumerate(STATS)})
@@ -122,7 +135,7 @@ def judge(stats: DataFrame, least: int = 100, cutoff: float = CUTOFF, factor: fl
     levels = x.where("not base_failed").select(F.posexplode(names).alias("level", "grp"), *(f"x{i}" for i in range(D)))
     sizes = levels.groupBy("grp").agg(F.count("*").alias("n"), F.min("level").alias("level"))
     rows = levels.join(sizes.where((F.col("n") >= least) | (F.col("level") == 2)).select("grp"), "grp", "left_semi")
-    moments = cut(mcd(rows.drop("level")).join(sizes.select("grp", "n"), "grp"))
+    moments = cut(mcd(rows.drop("level"), steps=STEPS, still=STILL).join(sizes.select("grp", "n"), "grp"))
     # The finest group that has an estimate.
     ready = moments.select("grp").withColumn("has", F.lit(True))
     pick = x

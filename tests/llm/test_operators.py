@@ -274,6 +274,27 @@ def test_quality_outliers_against_numpy(spark):
     assert sum(v.d2 > 60 for v in far) == 60
 
 
+def test_quality_rejects_symbol_junk(spark):
+    r = random.Random(4)
+    prose = lambda: [r.choice("river stone light morning walk under bridge small green".split()) + str(r.randrange(99)) for _ in range(r.randint(60, 200))]
+    table = lambda w: " ".join(x + " |" * (k % 2) for k, x in enumerate(w))
+    rows = [(i, " ".join(prose()) if i % 20 else table(prose()), "en", "a") for i in range(400)] + [(500, " ".join(prose()) + " R&D", "en", "a")]
+    kept = {x.doc_id: x.kept for x in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(kept[i] for i in range(0, 400, 20))  # symbol share about 8 %
+    assert sum(kept[i] for i in range(400) if i % 20) >= 375 and kept[500]
+
+
+def test_quality_outliers_converge(spark):
+    r = np.random.default_rng(8)
+    x = r.standard_normal((600, 5)) * np.array(list(quality_rules.STATS.values())) * 3
+    x[:140] += np.array([1.5, 0.5, 0.2, 1.0, 0.3])
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "grp string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    m = quality_rules.mcd(rows, steps=50, accuracy=100_000, still=1e-9)
+    again = quality_rules._with_distance(rows, m)
+    limit = again.selectExpr("percentile_approx(d2, 0.75, 100000)").first()[0]
+    assert quality_rules._moved(m, quality_rules._moments(again.where(F.col("d2") <= limit))) < 1e-9
+
+
 def test_mixing(docs, none):
     plain = docs.select("doc_id", "text", "lang", "source")
     assert mixing.mix(docs).columns == [*(c for c in docs.columns if c not in mixing.OWN), *mixing.OWN]
