@@ -348,6 +348,12 @@ def test_classifier(spark, docs, none):
     assert all(x.kept and x.score == 0.5 for x in classifier.score(d, None).take(5))
 
 
+def test_pipeline_returns_ids(spark, docs):
+    own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(VOCABULARY), special_tokens={})
+    got = Counter((r.doc_id, tuple(r.ids)) for r in corpus_pipeline.tokens(spark, docs, "").collect())
+    assert got == Counter((r[0], tuple(own.encode_ordinary(r[1] or ""))) for r in base_rows() + dirty_rows())
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     plain.write.parquet(str(tmp_path / "documents.parquet"))
