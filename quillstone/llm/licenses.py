@@ -1,21 +1,23 @@
 """Operator 1: license scans by conditional compression.
 
-A block (a line; of a long line, each sentence) that names a licence, a copyright or a permission is a candidate. It is compressed by itself
-and with each template as a zstandard raw dictionary; templates are ranked by the bytes that they save. The best
-RANKED are compared word by word with the block, and the one with the fewest differing words
-is confirmed if these are at most `max_diff` of the template's words (holders' names, years and words that stand before or after the template's wording
-don't count).
+Around each word that names a licence, a copyright or a permission, as many words as the longest template may take are searched, across line
+breaks. A template can only stand where one of its pieces stands unchanged (it has one piece more than differences allowed); there it is compared word by word, and
+confirmed if the differing words are at most `max_diff` of its words (holders' names, years and words that stand before or after its wording
+don't count) and it saves bytes as the zstandard raw dictionary of the text that it covers. Of confirmed templates that overlap, the one with the most words stays.
 
-One scan without any exchange: a document is read where it lies; equal blocks are compared once per worker.
+One scan without any exchange: a document is read where it lies; equal surroundings are compared once per worker.
 
-Defined results. Null or empty text: no rows. A block with no confirmed template: no row. Ties: fewer differences, then more bytes saved, then the template's name.
+Defined results. Null or empty text: no rows. No confirmed template: no row. Ties of overlapping templates: fewer differences, then more bytes saved, then the template's name.
+A row's block is the line (of a long line, the sentence) where its template begins; a block has a row for each of its templates.
 Repeated rows give repeated results. Null doc_id: kept as null. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import difflib
+import itertools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,8 +49,7 @@ TEMPLATES = {
     "cc0_1": "Released under CC0 1.0 Universal.",
     "reserved": "All rights reserved.",
 }
-CANDIDATE = r"(?i)licen[cs]e|copyright|permission|all rights reserved|redistribut|\bCC[ -]?(BY|0)"
-RANKED = 3
+CANDIDATE = r"(?i)licen[cs]e|copyright|permission|all\s+rights\s+reserved|redistribut|\bCC[\s-]?(BY|0)"
 LONG_LINE = 60
 _WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9.'\-]*")
 
@@ -57,64 +58,97 @@ def wording(text: str) -> list[str]:
     return [w.rstrip(".'-").lower() for w in _WORD.findall(text)]
 
 
-def blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(number, text) of candidate blocks, numbered over all blocks of the document."""
-    names, at = re.compile(CANDIDATE), 0
-    for line in text.split("\n"):
-        parts = [line] if len(line.split()) <= LONG_LINE else sentences(line)
-        for part in parts:
-            if names.search(part):
-                yield at, part.strip()
-            at += 1
+def blocks(text: str) -> list[int]:
+    """Where the blocks of the document begin: lines, and sentences of long lines."""
+    parts = (sentences(line + "\n") if len(line.split()) > LONG_LINE else [line + "\n"] for line in text.split("\n"))
+    return [0, *itertools.accumulate(len(x) for part in parts for x in part)][:-1]
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], max_diff: float):
         self.max_diff = max_diff
-        self.words = {k: wording(v) for k, v in templates.items()}
+        self.words = {k: w for k, v in templates.items() if (w := wording(v))}
+        self.slack = {k: int(max_diff * len(w)) for k, w in self.words.items()}
+        self.reach = max((len(w) + self.slack[k] for k, w in self.words.items()), default=0)
+        self.pieces: dict[str, list[tuple[str, int, list[str]]]] = {}
+        for k, w in self.words.items():
+            n = min(self.slack[k] + 1, len(w))
+            for i in range(n):
+                a, b = len(w) * i // n, len(w) * (i + 1) // n
+                self.pieces.setdefault(w[a], []).append((k, a, w[a:b]))
         self.alone = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
         self.given = {k: zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k, v in templates.items()}
-        self.known: dict[str, tuple | None] = {}
-
-    def differences(self, name: str, block: list[str]) -> tuple[int, int]:
-        """Words of the template that the block lacks, and words that it puts between the template's first and last."""
-        own = self.words[name]
-        same = [m for m in difflib.SequenceMatcher(None, own, block, autojunk=False).get_matching_blocks() if m.size]
-        if not same:
-            return len(own), 0
-        hit = sum(m.size for m in same)
-        return len(own) - hit, same[-1].b + same[-1].size - same[0].b - hit
-
-    def scan(self, block: str) -> tuple | None:
-        """(template, bytes saved, missing, extra) of the confirmed template."""
-        if block not in self.known:
+        self.known: dict[str, list[tuple]] = {}
+
+    def differences(self, name: str, words: list[str]) -> tuple[int, int, int, int]:
+        """Words of the template that `words` lack, words put between those that it has, and from where to where it stands, at its best."""
+        own, best = self.words[name], (len(self.words[name]), 0, 0, 0)
+        same = [m for m in difflib.SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks() if m.size]
+        for i in range(len(same)):
+            hit = 0
+            for m in same[i:]:
+                hit += m.size
+                a, b = same[i].b, m.b + m.size
+                best = min(best, (len(own) - hit, b - a - hit, a, b), key=lambda x: (x[0] + x[1], x))
+        return best
+
+    def saved(self, name: str, text: str) -> int:
+        return len(self.alone.compress(text.encode())) - len(self.given[name].compress(text.encode()))
+
+    def scan(self, text: str) -> list[tuple]:
+        """(from, to, template, bytes saved, missing, extra) of the confirmed templates of the text, in order."""
+        if text not in self.known:
             if len(self.known) > 20_000:
                 self.known.clear()
-            raw = block.encode()
-            plain = len(self.alone.compress(raw))
-            saved = sorted(((plain - len(c.compress(raw)), k) for k, c in self.given.items()), key=lambda x: (-x[0], x[1]))
-            # A tie with the last of the best stays in.
-            least, words, best = saved[min(RANKED, len(saved)) - 1][0], wording(block), None
-            for gain, k in saved:
-                if gain < max(least, 1):
-                    break
-                missing, extra = self.differences(k, words)
-                if missing + extra <= self.max_diff * len(self.words[k]):
-                    rank = (missing + extra, -gain, k)
-                    if best is None or rank < best[0]:
-                        best = (rank, (k, gain, missing, extra))
-            self.known[block] = best and best[1]
-        return self.known[block]
+            spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+            words, tried, found = wording(text), set(), []
+            for at, word in enumerate(words):
+                for k, offset, piece in self.pieces.get(word, ()):
+                    low = at - offset - self.slack[k]
+                    if (k, low) in tried or words[at : at + len(piece)] != piece:
+                        continue
+                    tried.add((k, low))
+                    start = max(low, 0)
+                    missing, extra, a, b = self.differences(k, words[start : low + len(self.words[k]) + 2 * self.slack[k]])
+                    if b and missing + extra <= self.max_diff * len(self.words[k]):
+                        first, last = spans[start + a][0], spans[start + b - 1][1]
+                        gain = self.saved(k, " ".join(text[first:last].split()))
+                        if gain > 0:
+                            found.append((extra + missing - len(self.words[k]) + missing, missing + extra, -gain, k, first, last, missing, extra))
+            kept: list[tuple] = []
+            for _, _, gain, k, first, last, missing, extra in sorted(found):
+                if all(last <= x[0] or first >= x[1] for x in kept):
+                    kept.append((first, last, k, -gain, missing, extra))
+            self.known[text] = sorted(kept)
+        return self.known[text]
+
+    def document(self, text: str) -> Iterator[tuple]:
+        """(block, template, bytes saved, missing, extra, text) of the document's confirmed templates."""
+        named = [(m.start(), m.end()) for m in re.finditer(CANDIDATE, text)]
+        if not named:
+            return
+        words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        starts, places, regions = [w[0] for w in words], blocks(text), []
+        for first, last in named:
+            low, high = max(bisect_right(starts, first) - 1 - self.reach, 0), min(bisect_right(starts, last) + self.reach, len(words))
+            if regions and low <= regions[-1][1]:
+                regions[-1][1] = high
+            elif low < high:
+                regions.append([low, high])
+        for low, high in regions:
+            start = words[low][0]
+            for first, last, *hit in self.scan(text[start : words[high - 1][1]]):
+                yield bisect_right(places, start + first) - 1, *hit, text[start + first : start + last]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, max_diff: float = 0.1) -> DataFrame:
-    """(doc_id, block, license, saved_bytes, missing_words, extra_words, text): a row for each confirmed block."""
+    """(doc_id, block, license, saved_bytes, missing_words, extra_words, text): a row for each confirmed template."""
     given = templates or TEMPLATES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(given, max_diff)
         for batch in batches:
-            rows = [(i, at, *hit, b) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for at, b in blocks((t or b"").decode("utf-8", "replace")) if (hit := scanner.scan(b))]
+            rows = [(i, *hit) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for hit in scanner.document((t or b"").decode("utf-8", "replace"))]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "block", "license", "saved_bytes", "missing_words", "extra_words", "text"])
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -332,6 +333,19 @@ def test_licenses(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_across_lines_and_in_one_line():
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.1)
+    names = lambda t: [h[1] for h in scanner.document(t)]
+    for name, notice in licenses.TEMPLATES.items():
+        assert names("Text before.\n\n" + textwrap.fill(notice, 40) + "\n\nText after.") == [name]
+        assert names("/*\n" + textwrap.indent(textwrap.fill(notice, 78), " * ") + "\n */") == [name]
+        assert names(" ".join(["word"] * 70) + " " + notice + " " + " ".join(["word"] * 70)) == [name]
+    assert names("Released under the MIT License. Licensed under CC BY-NC 4.0.") == ["mit_notice", "cc_by_nc_4"]
+    mit = licenses.TEMPLATES["mit"].split()
+    assert names(textwrap.fill(" ".join(w for i, w in enumerate(mit) if i % 12), 78)) == ["mit"]
+    assert names(textwrap.fill(" ".join(w for i, w in enumerate(mit) if i % 5), 78)) == []
+
+
 def test_classifier(spark, docs, none):
     r = random.Random(9)
     good = lambda: " ".join(r.choices("river stone light morning walk under bridge small green".split(), k=40))
