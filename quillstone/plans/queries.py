@@ -294,7 +294,7 @@ def _code_walk(direction: str):
     def run(s: Store) -> DataFrame:
         f, y, e = s.code()
         start = s.spark.createDataFrame([(10,)], "id long")
-        return code.walk_named(code.walk(e.where("src <= 400 and dst <= 400"), start, 3, direction), y, f).groupBy("id", "hop", "kind", "qualified_name").agg(F.count("*").alias("ways"))
+        return code.walk_named(code.walk(e, start, 3, direction), y, f).groupBy("id", "hop", "kind", "qualified_name").agg(F.count("*").alias("ways"))
 
     return run
 
