@@ -52,7 +52,7 @@ class Store:
 
     def changes(self) -> DataFrame:
         """Changed files, named after the words of documents so that notes mention them."""
-        p = read(self.spark, self.dir, "part").where("p_partkey <= 60")
+        p = read(self.spark, self.dir, "part")
         status = F.element_at(F.array(*map(F.lit, "AMDR")), (F.col("p_partkey") % 4 + 1).cast("int"))
         return p.select(F.concat(F.lit("pkg/f"), "p_partkey", F.lit(".go")).alias("path"), status.alias("status"), F.col("p_size").cast("long").alias("additions"), (F.col("p_size") * 2).cast("long").alias("deletions"))
 
@@ -266,7 +266,7 @@ def _drift(s: Store) -> DataFrame:
 
 
 def _uncovered(s: Store) -> DataFrame:
-    return hygiene.uncovered(s.notes().where("id <> 'd7'").where(F.regexp_extract("id", r"(\d+)", 1).cast("long") % 80 < 30), s.changes())
+    return hygiene.uncovered(s.notes(), s.changes())
 
 
 def _prune(s: Store) -> DataFrame:
@@ -344,7 +344,7 @@ def _replay(s: Store) -> DataFrame:
 
 
 def _redaction(s: Store) -> DataFrame:
-    c = read(s.spark, s.dir, "conversations").where("length(text) < 2000").select("conv_id", "turn", F.to_json(F.struct(F.md5("text").alias("prompt"), "role")).alias("payload"))
+    c = read(s.spark, s.dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.md5("text").alias("prompt"), "role")).alias("payload"))
     r = events.redact()
     return c.select("conv_id", "turn", r["payload"].alias("payload"), r["payload_hash"].alias("payload_hash"))
 
