@@ -15,7 +15,6 @@ Repeated rows give repeated results. Null doc_id: kept as null. Extra columns ar
 from __future__ import annotations
 
 import difflib
-import itertools
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -26,7 +25,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import arrow_map
-from quillstone.llm.substring_dedup import sentences
 
 #: Public wordings of licence notices.
 TEMPLATES = {
@@ -51,6 +49,7 @@ TEMPLATES = {
 }
 CANDIDATE = r"(?i)licen[cs]e|copyright|permission|all\s+rights\s+reserved|redistribut|\bCC[\s-]?(BY|0)"
 LONG_LINE = 60
+_STOP = re.compile(r"(?<=[.!?])\s+")
 _WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9.'\-]*")
 
 
@@ -60,8 +59,13 @@ def wording(text: str) -> list[str]:
 
 def blocks(text: str) -> list[int]:
     """Where the blocks of the document begin: lines, and sentences of long lines."""
-    parts = (sentences(line + "\n") if len(line.split()) > LONG_LINE else [line + "\n"] for line in text.split("\n"))
-    return [0, *itertools.accumulate(len(x) for part in parts for x in part)][:-1]
+    out, begin = [], 0
+    for line in text.split("\n"):
+        out.append(begin)
+        if len(line.split()) > LONG_LINE:
+            out += [begin + m.end() for m in _STOP.finditer(line) if m.end() < len(line)]
+        begin += len(line) + 1
+    return out
 
 
 class Scanner:

@@ -39,7 +39,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_sentences", "n_removed")
+    return substring_dedup.remove_repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,28 @@
 """Operator 7: removal of repeated passages by sliding sentence spans.
 
-Each text is cut into sentences. From every sentence on, and up to every sentence, the shortest run of
-consecutive sentences with at least `min_words` words is a *span*; so any passage of that length that holds
-whole sentences is covered by spans inside of it. All spans' hashes (128 bits of the words, white space
+Each text is cut into sentences: after a stop, at a line break, and before a capital that follows a word without one, so that a passage
+that was put inside of another sentence begins a sentence of its own. Sentences of over LONG words are cut on after commas and the like and after
+words that their own hash picks, which lie alike in every copy. From every sentence on, and up to every sentence, the shortest run of
+SEVERAL consecutive sentences or more with at least `min_words` words is a *span*; so a passage of whole sentences that long
+is covered by spans inside of it. All spans' hashes (128 bits of the words, white space
 made one blank) meet in one exchange; a span that occurs earlier, by (doc_id, place), anywhere in the
 corpus is repeated, and its sentences go. Of equal spans in one batch only the first goes through the exchange by its hash:
 the others are repeated for certain. So a passage that a third of the documents hold sends a row per batch, and
 the exchange sorts and streams: no group is held in memory.
 
-Defined results. Null text: stays null, 0 sentences. Empty text: stays. The first occurrence of a span stays, whole;
+`min_words` is less than the length of the passages sought (over 50 words), as these begin and end inside of a sentence
+at times: what is left of them between sentences is at least that long.
+
+Defined results. Null text: stays null. Empty text: stays. The first occurrence of a span stays, whole;
 in an exact copy all sentences go where it has min_words words, and its text is then empty. Rows that are equal in doc_id and text
 are one occurrence: both stay. Rows of one doc_id and other texts are told apart. Null doc_id: the row stays unchanged and takes
-no part. What stays of a text is unchanged, white space included. Extra columns are passed through.
+no part. What stays of a text is unchanged, white space included. Extra columns are passed through, but for one that is named n_removed where counts are asked for.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,17 +34,40 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import arrow_map
 
-#: A sentence ends after . ! or ? (and symbols upon it) before white space, or at a line break.
-END = re.compile(r"[.!?][^\w\s]*(?:\s+|$)|\n\s*")
+#: A sentence ends after a stop (and symbols upon it) before white space, or at a line break.
+END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][^\w\s]*(?:\s+|$)|\n\s*")
+#: Blanks before what may be a capital.
+CAPITAL = re.compile(r"(?<=\S)[^\S\n]+(?=[^\W\d_a-z])")
+WORD = re.compile(r"\S+\s*")
+#: Words from which on a sentence is cut on; one word in PICK of them ends a part.
+LONG, PICK = 16, 8
+#: Sentences that a span has at least.
+SEVERAL = 2
 KEY, SPANS, RESULT = "__span_key", "__spans", "__span_result"
 
 
 def sentence_ends(text: str) -> list[int]:
     """Ends of the sentences, with the white space that follows each; they cover the text."""
-    ends = [m.end() for m in END.finditer(text)]
-    if text and (not ends or ends[-1] < len(text)):
-        ends.append(len(text))
-    return ends
+    ends = {m.end() for m in END.finditer(text)}
+    for m in CAPITAL.finditer(text):
+        if text[m.end()].isupper():
+            before = text[max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1]
+            if not before.isupper():
+                ends.add(m.end())
+    if text:
+        ends.add(len(text))
+    out, begin = [], 0
+    for end in sorted(ends):
+        if text.count(" ", begin, end) >= LONG:
+            for m in WORD.finditer(text, begin, end):
+                word = m[0].rstrip()
+                if word[-1:] in ",;:" or zlib.crc32(word.encode("utf-8", "replace")) % PICK == 0:
+                    out.append(m.end())
+            if out and out[-1] == end:
+                out.pop()
+        out.append(end)
+        begin = end
+    return out
 
 
 def sentences(text: str) -> list[str]:
@@ -46,19 +75,18 @@ def sentences(text: str) -> list[str]:
     return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
-def spans(parts: list[list[str]], min_words: int) -> list[tuple[int, int]]:
-    """(first, last) of the shortest runs of min_words words from, and up to, every sentence."""
-    n = np.cumsum([0, *map(len, parts)])
+def spans(counts: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """(first, last) of the shortest runs of SEVERAL sentences and min_words words from, and up to, every sentence; counts: the words of each."""
+    n = np.concatenate([[0], np.cumsum(counts)])
     if n[-1] < min_words:
         return []
-    last = np.searchsorted(n, n[:-1] + min_words) - 1
-    first = np.searchsorted(n, n[1:] - min_words, side="right") - 1
-    here = np.arange(len(parts))
-    up = last < len(parts)
-    down = n[1:] >= min_words
+    here = np.arange(len(counts))
+    last = np.maximum(np.searchsorted(n, n[:-1] + min_words) - 1, here + SEVERAL - 1)
+    first = np.minimum(np.searchsorted(n, n[1:] - min_words, side="right") - 1, here - SEVERAL + 1)
     # Sentences without words neither begin nor end a span.
     some = np.diff(n) > 0
-    return sorted({*zip(here[up & some].tolist(), last[up & some].tolist(), strict=True), *zip(first[down & some].tolist(), here[down & some].tolist(), strict=True)})
+    on, back = some & (last < len(counts)), some & (first >= 0)
+    return sorted({*zip(here[on].tolist(), last[on].tolist(), strict=True), *zip(first[back].tolist(), here[back].tolist(), strict=True)})
 
 
 def _hashes(min_words: int):
@@ -67,25 +95,32 @@ def _hashes(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            seen: dict[bytes, tuple[int, int, int, int]] = {}
+            seen: dict[bytes, tuple[int, int, int]] = {}
             out: list[tuple[bytes, int, int, int, int, bool]] = []
             order = sorted(range(len(ids)), key=lambda i: (ids[i], keys[i]))
             texts = batch.column(2)
             for i in order:
-                text = texts[i].as_py().decode("utf-8", "replace")
-                parts = [s.split() for s in sentences(text)]
-                joined = [" ".join(p) for p in parts]
-                for a, b in spans(parts, min_words):
-                    h = xxhash.xxh3_128_digest(" ".join(s for s in joined[a : b + 1] if s))
-                    had = seen.setdefault(h, (ids[i], keys[i], a, b))
-                    if had == (ids[i], keys[i], a, b):
-                        out.append((h, keys[i], ids[i], a, b, False))
-                    else:
-                        out.append((keys[i].to_bytes(8, "little", signed=True) + b"\0" * 8, keys[i], ids[i], a, b, True))
+                parts = [s.split() for s in sentences(texts[i].as_py().decode("utf-8", "replace"))]
+                words = [" ".join(p).encode("utf-8", "replace") for p in parts if p]
+                # Where each sentence begins in the words of the whole text, one blank between any two.
+                at, k = [], 0
+                sizes = iter(words)
+                for p in parts:
+                    at.append(k)
+                    k += len(next(sizes)) + 1 if p else 0
+                at.append(k)
+                flat = memoryview(b" ".join(words))
+                key, own = keys[i], ids[i]
+                sure = key.to_bytes(8, "little", signed=True) + b"\0" * 8
+                for a, b in spans(np.fromiter(map(len, parts), np.int64, len(parts)), min_words):
+                    h = xxhash.xxh3_128_digest(flat[at[a] : at[b + 1] - 1])
+                    place = (own, key, a)
+                    repeated = seen.setdefault(h, place) != place
+                    out.append((sure if repeated else h, key, own, a, b, repeated))
             if out:
                 h = np.frombuffer(b"".join(o[0] for o in out), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2, 3, 4)), pa.array([o[5] for o in out])],
+                    [pa.array(h[:, 0]), pa.array(h[:, 1]), *(pa.array([o[k] for o in out], pa.int64()) for k in (1, 2)), *(pa.array([o[k] for o in out], pa.int32()) for k in (3, 4)), pa.array([o[5] for o in out])],
                     names=["h1", "h2", "key", "id", "first", "last", "sure"],
                 )
 
@@ -117,31 +152,30 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _without(text: pd.Series, first: pd.Series, last: pd.Series) -> pd.DataFrame:
     rows = []
     for t, a, b in zip(text, first, last, strict=True):
-        if t is None:
-            rows.append((None, 0, 0))
-            continue
         if a is None:
-            rows.append((t, len(sentence_ends(t)), 0))
+            rows.append((None, 0))
             continue
         parts = sentences(t)
         gone = np.zeros(len(parts) + 1, np.int64)
         np.add.at(gone, np.asarray(a), 1)
         np.add.at(gone, np.asarray(b) + 1, -1)
         gone = np.cumsum(gone)[:-1] > 0
-        rows.append(("".join(p for p, g in zip(parts, gone, strict=True) if not g), len(parts), int(gone.sum())))
-    return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
+        rows.append(("".join(p for p, g in zip(parts, gone, strict=True) if not g), int(gone.sum())))
+    return pd.DataFrame(rows, columns=["text", "n_removed"])
 
 
-def remove_repeated_spans(docs: DataFrame, min_words: int = 50, counts: bool = True) -> DataFrame:
-    """`docs` with repeated spans cut out of `text`; with counts, columns n_sentences and n_removed follow."""
+def remove_repeated_spans(docs: DataFrame, min_words: int = 40, counts: bool = True) -> DataFrame:
+    """`docs` with repeated spans cut out of `text`; with counts, the column n_removed (sentences) follows."""
     keyed = docs.withColumn(KEY, F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
     given = keyed.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), KEY, F.col("text").cast("binary"))
-    found = arrow_map(given, _hashes(min_words), "h1 long, h2 long, key long, id long, first long, last long, sure boolean")
+    found = arrow_map(given, _hashes(min_words), "h1 long, h2 long, key long, id long, first int, last int, sure boolean")
     dealt = found.repartition("h1", "h2").sortWithinPartitions("sure", "h1", "h2", "id", "key", "first")
-    hits = arrow_map(dealt, _repeated, "key long, first long, last long")
+    hits = arrow_map(dealt, _repeated, "key long, first int, last int")
     flags = hits.groupBy(F.col("key").alias(KEY)).agg(F.collect_set(F.struct("first", "last")).alias(SPANS))
     joined = keyed.join(flags, KEY, "left")
-    done = joined.withColumn(RESULT, F.pandas_udf(_without, "text string, n_sentences long, n_removed long")("text", F.col(f"{SPANS}.first"), F.col(f"{SPANS}.last")))
-    own = [F.col(f"{RESULT}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    more = [F.col(f"{RESULT}.{c}").alias(c) for c in ("n_sentences", "n_removed")] if counts else []
-    return done.select(*own, *more)
+    # Texts without a repeated span don't go to Python.
+    cut = F.pandas_udf(_without, "text string, n_removed long")(F.when(F.col(SPANS).isNotNull(), F.col("text")), F.col(f"{SPANS}.first"), F.col(f"{SPANS}.last"))
+    done = joined.withColumn(RESULT, cut)
+    text = F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(F.col(f"{RESULT}.text")).alias("text")
+    more = [F.coalesce(f"{RESULT}.n_removed", F.lit(0)).alias("n_removed")] if counts else []
+    return done.select(*(text if c == "text" else F.col(f"`{c}`") for c in docs.columns if not (counts and c == "n_removed")), *more)

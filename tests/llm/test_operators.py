@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -205,39 +206,94 @@ def test_html_omitted_end_tags():
     assert html_text.main_text("<article><p class='notice'>Beware<p>One<ul><li class='share'>Share<li>Two</ul><p>Three</article>") == "One\nTwo\nThree"
 
 
+def cut_up(text):
+    """Sentences by a word-by-word reading of the rule, apart from the module's expressions."""
+    tokens = re.findall(r"\s*\S+\s*" if text[:1].isspace() else r"\S+\s*", text)
+    if text and not tokens:
+        tokens = [text]
+    out, cur = [], []
+    for k, tok in enumerate(tokens):
+        cur.append(tok)
+        word, gap = tok.strip(), tok[len(tok.rstrip()) :]
+        stop = re.search(r"[.!?\u2026\u3002\uff01\uff1f][^\w\s]*$", word)
+        after = tokens[k + 1].strip()[:1] if k + 1 < len(tokens) else ""
+        if stop or "\n" in gap or (after.isupper() and not word[:1].isupper()):
+            out.append(cur)
+            cur = []
+    out += [cur] if cur else []
+    parts = []
+    for sentence in out:
+        cur = []
+        for k, tok in enumerate(sentence):
+            cur.append(tok)
+            word = tok.strip()
+            if "".join(sentence).count(" ") >= 16 and k + 1 < len(sentence) and (word[-1:] in ",;:" or zlib.crc32(word.encode()) % 8 == 0):
+                parts.append("".join(cur))
+                cur = []
+        parts.append("".join(cur))
+    return parts
+
+
+def test_sentences_word_by_word():
+    for _, text, _, _ in base_rows():
+        assert substring_dedup.sentences(text) == cut_up(text)
+    assert substring_dedup.sentences("Of the river The. small, and so on.\nIn Old York") == ["Of the river ", "The. ", "small, and so on.\n", "In Old York"]
+
+
+def brute_dedup(rows, min_words):
+    """(doc_id, text) that stay: every run of sentences from each place, as short as it may be, compared with all that came before."""
+    runs = {}
+    for i, t in sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1]}):
+        parts = cut_up(t)
+        n = [len(p.split()) for p in parts]
+        found = set()
+        for a in range(len(parts)):
+            forward = next((b for b in range(a + 1, len(parts)) if sum(n[a : b + 1]) >= min_words), None)
+            back = next((b for b in range(a - 1, -1, -1) if sum(n[b : a + 1]) >= min_words), None)
+            if n[a]:
+                found |= ({(a, forward)} if forward is not None else set()) | ({(back, a)} if back is not None else set())
+        for a, b in found:
+            runs.setdefault(tuple(" ".join(parts[a : b + 1]).split()), []).append((i, a, b, t))
+    cover = {}
+    for places in runs.values():
+        for i, a, b, t in sorted(places, key=lambda x: x[:2])[1:]:
+            cover.setdefault((i, t), set()).update(range(a, b + 1))
+    return Counter((r[0], r[1] and (r[1] if r[0] is None else "".join(p for k, p in enumerate(cut_up(r[1])) if k not in cover.get((r[0], r[1]), ())))) for r in rows)
+
+
 def test_substring_dedup(docs, none):
     rows = base_rows() + dirty_rows()
     got = substring_dedup.remove_repeated_spans(docs, 30)
-    assert got.columns == [*docs.columns, "n_sentences", "n_removed"]
+    assert got.columns == [*docs.columns, "n_removed"]
     out = got.collect()
-    assert len(out) == len(rows)
-    seen, cover = {}, {}
-    for i, t in sorted({(r[0], r[1]) for r in rows if r[0] is not None and r[1]}, key=lambda x: (x[0], x[1])):
-        parts = [s.split() for s in substring_dedup.sentences(t)]
-        for a, b in substring_dedup.spans(parts, 30):
-            key = " ".join(w for p in parts[a : b + 1] for w in p)
-            seen.setdefault(key, []).append((i, t, a, b))
-    for places in seen.values():
-        for i, t, a, b in places[1:]:
-            cover.setdefault((i, t), set()).update(range(a, b + 1))
-    want = Counter()
-    for i, t, _, _ in rows:
-        keep = t and "".join(s for k, s in enumerate(substring_dedup.sentences(t)) if i is None or k not in cover.get((i, t), ()))
-        want[i, keep] += 1
-    assert Counter((r.doc_id, r.text) for r in out if r.doc_id != 204) == Counter({k: v for k, v in want.items() if k[0] != 204})
+    assert Counter((r.doc_id, r.text) for r in out) == brute_dedup(rows, 30)
     assert sum(r.n_removed > 0 for r in out) > 30
     assert substring_dedup.remove_repeated_spans(none).count() == 0
+    assert substring_dedup.remove_repeated_spans(got).columns == got.columns
+
+
+def test_substring_dedup_of_one_id(spark):
+    """Two texts of one id are two occurrences; equal rows are one."""
+    r = random.Random(3)
+    passage = " ".join(f"The {r.randrange(10**6)} of {r.randrange(10**6)} is." for _ in range(12))
+    rows = [(1, passage), (1, "Before. " + passage + " After."), (1, passage), (2, "in the middle of a line " + passage + " and more of it")]
+    got = substring_dedup.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"))
+    left = Counter((x.doc_id, x.text) for x in got.collect())
+    assert left[2, "in the middle of a line and more of it"] == 1
+    first = {(1, passage): 2} | {(1, "Before. After."): 1}
+    second = {(1, ""): 2} | {(1, "Before. " + passage + " After."): 1}
+    assert left in (Counter(first | {(2, "in the middle of a line and more of it"): 1}), Counter(second | {(2, "in the middle of a line and more of it"): 1}))
 
 
 def test_spans_cover_every_long_passage():
     r = random.Random(1)
     for _ in range(200):
-        parts = [["w"] * r.choice([0, 1, 3, 9, 30]) for _ in range(r.randint(1, 12))]
-        got = {k for a, b in substring_dedup.spans(parts, 20) for k in range(a, b + 1)}
-        for a, b in substring_dedup.spans(parts, 20):
-            assert sum(map(len, parts[a : b + 1])) >= 20
-        if sum(map(len, parts)) >= 20:
-            assert all(k in got for k, p in enumerate(parts) if p)
+        n = np.array([r.choice([0, 1, 3, 9, 15]) for _ in range(r.randint(2, 12))])
+        got = substring_dedup.spans(n, 20)
+        assert all(n[a : b + 1].sum() >= 20 and b > a for a, b in got)
+        if n.sum() >= 20:
+            covered = {k for a, b in got for k in range(a, b + 1)}
+            assert all(k in covered for k in np.flatnonzero(n))
 
 
 def test_quality_base(docs, none):
