@@ -221,13 +221,13 @@ def cut_up(text):
             out.append(cur)
             cur = []
     out += [cur] if cur else []
-    parts = []
-    for sentence in out:
+    parts = [text] if not text.strip() and text else []
+    for sentence in out if text.strip() else []:
         cur = []
         for k, tok in enumerate(sentence):
             cur.append(tok)
             word = tok.strip()
-            if "".join(sentence).count(" ") >= 16 and k + 1 < len(sentence) and (word[-1:] in ",;:" or zlib.crc32(word.encode()) % 8 == 0):
+            if len(sentence) > 16 and k + 1 < len(sentence) and (word[-1:] in ",;:" or zlib.crc32(word.encode()) % 8 == 0):
                 parts.append("".join(cur))
                 cur = []
         parts.append("".join(cur))
@@ -288,12 +288,16 @@ def test_substring_dedup_of_one_id(spark):
 def test_spans_cover_every_long_passage():
     r = random.Random(1)
     for _ in range(200):
-        n = np.array([r.choice([0, 1, 3, 9, 15]) for _ in range(r.randint(2, 12))])
-        got = substring_dedup.spans(n, 20)
-        assert all(n[a : b + 1].sum() >= 20 and b > a for a, b in got)
-        if n.sum() >= 20:
-            covered = {k for a, b in got for k in range(a, b + 1)}
-            assert all(k in covered for k in np.flatnonzero(n))
+        texts = [[r.choice([1, 3, 9, 15]) for _ in range(r.randint(1, 12))] for _ in range(3)]
+        n = np.array(sum(texts, []))
+        ends = np.cumsum(n)
+        stops = np.cumsum([len(t) for t in texts])
+        owner = np.searchsorted(stops, np.arange(len(n)), side="right")
+        low, high = np.append(0, stops)[owner], stops[owner] - 1
+        got = list(zip(*substring_dedup.spans(ends - n, ends, low, high, 20)))
+        assert len(set(got)) == len(got) and all(n[a : b + 1].sum() >= 20 and b > a and owner[a] == owner[b] for a, b in got)
+        covered = {k for a, b in got for k in range(a, b + 1)}
+        assert all(k in covered for k in range(len(n)) if sum(texts[owner[k]]) >= 20 and len(texts[owner[k]]) > 1)
 
 
 def test_quality_base(docs, none):
