@@ -12,35 +12,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe, classifier, mixing, ngram_join, substring_dedup
-from quillstone.llm.common import shared_dir, table
+from quillstone.llm.common import SPACE, delete, shared_dir, table
+
+#: Names of two keys of a row inside of a stage.
+K1, K2 = "__row_key", "__row_key_too"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier rejects go."""
+    """Documents that the co-trained classifier rejects go.
+
+    Null and empty texts are scored by their metadata; equal rows, ties and repeated ids get equal verdicts. Without labels all stay. Extra columns are passed through.
+    """
     return classifier.keep_good(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, Jaccard 0.8) the document with the least id stays; rows without an id all do."""
-    found = ngram_join.ngram_components(docs, words=5, num=80, den=100)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    # Equal rows are copies too.
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    """Of each group of near duplicates (five-word shingles, Jaccard 0.8) one row stays: that of the least id, null last.
+
+    Rows are told apart by all their columns (128 bits), so texts that share an id have a verdict each; of equal rows one stays.
+    Texts without words are linked with nothing: all of them stay. Extra columns are passed through.
+    """
+    own = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    facts = [x for c in own for x in (c.isNull(), c)]
+    keyed = docs.withColumns({K1: F.xxhash64(*facts), K2: F.xxhash64(F.lit(1), *facts)})
+    found = ngram_join.ngram_components(keyed, words=5, num=80, den=100, carry=(K1, K2))
+    order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", K1, K2)
+    best = found.where("n_shingles > 0").groupBy("label").agg(F.min(order).alias("b")).select(f"b.{K1}", f"b.{K2}")
+    some = F.length(F.translate(F.coalesce(F.col("text"), F.lit("")), SPACE, "")) > 0
+    # Equal rows meet in the scan first; the join then needs no other exchange.
+    kept = keyed.where(some).dropDuplicates([K1, K2]).join(best, [K1, K2], "left_semi")
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where(~some))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sentences of passages that an earlier document holds go."""
+    """Sentences of passages that an earlier document (by id, then place) holds go.
+
+    Null and empty texts, and rows without an id, stay as they are; of texts that share an id each is a document; equal rows stay equal. Extra columns are passed through.
+    """
     return substring_dedup.remove_repeated_spans(docs, counts=False)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their targets; a document stands as often as it is taken."""
+    """Sources mixed to their targets; a document stands as often as it is taken.
+
+    Texts without words (null and empty ones) fill no target and are not taken. A null source is one of its own. Equal rows and ids are documents of their own; the mix
+    depends on the rows alone, not on their order. Extra columns are passed through.
+    """
     return mixing.take(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every row, checked by decoding."""
+    """doc_id, digests and token ids of every row, checked by decoding.
+
+    Null and empty texts have no ids. Repeated rows and ids are encoded each. Other columns end here.
+    """
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -57,11 +82,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. Each stage's rows are written to the shared folder; those of a stage are deleted once the next has used them."""
     docs = table(spark, sf_dir, "documents")
     place = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:
+            delete(spark, f"{place}/{k - 1}")
     return docs
 
 

@@ -20,12 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. A session without one (tests) gets a temporary folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="quillstone-")
+    """The folder that all executors share. A session without one gets a temporary folder if its executors are in this process (tests), else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    named = named or tempfile.mkdtemp(prefix="quillstone-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
     return spark.conf.get("spark.checkpoint.dir", None) or named
@@ -37,6 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of a checkpoint (a frame that `cut` gave) that nothing will read again."""
+    named = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if named.isDefined():
+        delete(df.sparkSession, named.get())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cased (A-Z only) words `[^\\x20\\x09-\\x0D]+`."""
     return text.lower().split() if text else []
@@ -64,13 +75,10 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(a.view(np.int64))
 
 
-def set_key(shingles: np.ndarray) -> int:
-    """One signed 64-bit key for a whole shingle set."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes()) - (1 << 63)
-
-
-def binary_rows(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
-    return batch.column(name).to_pylist()
+def set_keys(shingles: np.ndarray) -> tuple[int, int]:
+    """Two signed 64-bit keys for a whole shingle set."""
+    h = xxhash.xxh3_128_digest(shingles.tobytes())
+    return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
 def list_array(parts: list[np.ndarray]) -> pa.ListArray:
@@ -95,7 +103,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = cut(small.distinct())
+        last, e = e, cut(small.distinct())
+        release(last)
         now = e.agg(F.count("*"), F.bit_xor("v"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
             break

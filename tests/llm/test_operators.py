@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -97,6 +98,43 @@ def test_divide_skip_finds_all_links():
         assert set(index.search(a, lambda b: False)) == want
 
 
+def test_divide_skip_across_blocks():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 60, 40)) for _ in range(80)]
+    comp = r.integers(0, 30, 80)
+    rows = [(i, len(sets[i]), int(comp[i]), sets[i].tolist(), a) for a in (False, True) for i in (range(50) if not a else range(40, 80))]
+    tab = pa.table({"cid": [x[0] for x in rows], "n": [x[1] for x in rows], "comp": [x[2] for x in rows], "arr": pa.array([x[3] for x in rows], pa.list_(pa.int64())), "asked": [x[4] for x in rows]})
+    got = ngram_join._searched(50, 100)(tab)
+    tree, want = ngram_join.Tree(110), ngram_join.Tree(110)
+    for t in (tree, want):
+        for i in range(80):
+            t.join(80 + comp[i], i)
+    for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist()):
+        assert 2 * len(set(sets[a]) & set(sets[b])) >= len(set(sets[a]) | set(sets[b])) and comp[a] != comp[b]
+        tree.join(a, b)
+    for a in range(40, 80):
+        for b in range(50):
+            if 2 * len(set(sets[a]) & set(sets[b])) >= len(set(sets[a]) | set(sets[b])):
+                want.join(a, b)
+    same = lambda t: [[t.find(i) == t.find(j) for j in range(80)] for i in range(80)]
+    assert same(tree) == same(want)
+
+
+def test_equal_keys_of_classes(spark):
+    rows = spark.createDataFrame([(5, 1, 2, 1), (5, 1, 2, 2), (5, 9, 3, 3), (6, 1, 2, 4), (0, 0, -1, None), (0, 0, 0, 7)], "cid long, c2 long, n long, doc_id long")
+    out, changed = ngram_join._apart(rows)
+    key = {r.doc_id: r.cid for r in out.collect()}
+    assert key[1] == key[2] == 5 and key[4] == 6 and key[7] == key[None] == 0
+    assert key[3] not in (5, 6) and changed == {(5, 9): key[3]}
+    assert ngram_join._apart(rows.where("c2 < 9"))[1] == {}
+
+
+def test_texts_read_again(docs):
+    ids = docs.where("doc_id % 7 = 0").select("doc_id").distinct()
+    got = Counter(bytes(r.text) for r in ngram_join._again(docs, ids).collect() if r.text is not None)
+    assert got == Counter(t.encode() for i, t, _, _ in base_rows() + dirty_rows() if t is not None and (i is None or i % 7 == 0))
+
+
 def test_bpe(docs, none):
     own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=bpe.read_ranks(VOCABULARY), special_tokens={})
     got = Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256, tuple(r.ids)) for r in bpe.encode(docs, VOCABULARY, PATTERN).collect())
@@ -428,6 +466,35 @@ def test_pipeline_returns_ids(spark, docs):
     assert got == Counter((r[0], tuple(own.encode_ordinary(r[1] or ""))) for r in base_rows() + dirty_rows())
 
 
+def brute_near(rows):
+    """Rows (doc_id, text) that stay, with the number of each: one of every group of linked texts."""
+    sets = [shingles(t, 5) for _, t in rows]
+    left, out = set(range(len(rows))), Counter()
+    while left:
+        group, todo = set(), [min(left)]
+        while todo:
+            i = todo.pop()
+            group.add(i)
+            todo += [j for j in left - group - set(todo) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+        left -= group
+        ids = {rows[i][0] for i in group}
+        out[min(ids - {None}, default=None), frozenset(rows[i][1] for i in group if rows[i][0] == min(ids - {None}, default=None))] += 1
+    return out
+
+
+def test_near_duplicates(spark, docs):
+    more = [(7, "all the rivers of the land run down into the sea " * 3, "en", "a"), (7, "we like cakes of all kinds and sizes but not pies " * 3, "en", "a"), (None, "one text that has no number of its own at all", "en", "a"), (None, "one text that has no number of its own at all", "en", "a"), (None, "another text that has no number of its own either", "fr", "a")]
+    given = base_rows() + dirty_rows() + more
+    frame = spark.createDataFrame([(*r, "e") for r in given], "doc_id long, text string, lang string, source string, label string")
+    for rows in (frame, frame.repartition(5, "text"), frame.orderBy(F.rand(3))):
+        got = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, rows, "").collect())
+        want = brute_near([r[:2] for r in given])
+        assert sum(got.values()) == sum(want.values())
+        for i, texts in want:
+            assert sum(got[i, t] for t in texts) == sum(n for (j, u), n in want.items() if (j, u) == (i, texts))
+    assert corpus_pipeline.near_duplicates(spark, frame, "").columns == frame.columns
+
+
 def test_pipeline_stages(spark, docs, tmp_path):
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     plain.write.parquet(str(tmp_path / "documents.parquet"))
@@ -437,8 +504,6 @@ def test_pipeline_stages(spark, docs, tmp_path):
         out = stage(spark, found, str(tmp_path))
         assert out.columns == plain.columns, name
         found = out.cache()
-    near = Counter({(k[0], k[2]) for k in brute_components(base_rows() + dirty_rows(), 5, 80, 100)})
-    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, plain, "").select("doc_id").collect()} == {i for i, c in near if i == c or i is None}
     final = corpus_pipeline.run(spark, str(tmp_path))
     assert final.count() == found.count() and corpus_pipeline.summary(final).first().n_tokens > 0
     for name, stage in corpus_pipeline.STAGES:
