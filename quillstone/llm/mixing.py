@@ -4,15 +4,15 @@ Sources are aggregated to their sizes. The level (words for each unit of weight)
 share passes `epochs` times their size are clamped there, and the rest of the total goes to the others by weight,
 which raises the level, until none is above. Each round is one small aggregation, of which the driver gets two numbers.
 
-A document is then taken floor(target / source size) times whole. The fraction is dealt by a seeded hash of the doc_id: a histogram of
+A document is then taken floor(target / source size) times whole. The fraction is dealt by a seeded hash of the doc_id and text: a histogram of
 each source's words over BINS ranges of the hash gives the range in which the wanted words are
 reached; all documents below it are taken, and those in it, in order of the hash, up to the nearest sum. So
 each source meets its target up to half a document, no sort ever holds more than a range of a source,
 and a rerun takes the same documents.
 
 Defined results. Null text or one without words: size 0, taken 0. Null source: a source of its own, last. A source without words:
-target 0. Null doc_id: hashed as 'null'. Repeated rows are documents of their own with one hash: they are taken in any
-order, which doesn't show. Extra columns are passed through. An empty table gives no rows.
+target 0. Null doc_id: hashed as 'null', and told apart by the text. Ties of the hash are ordered by a hash of the row, so only rows that are equal
+throughout are taken in any order, which doesn't show. Extra columns are passed through. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ def n_words(col: str = "text"):
     return F.size(F.filter(F.split(flat, " "), lambda w: w != "")).cast("long")
 
 
-def seeded(seed: int, col: str = "doc_id"):
-    """A number in [0, 2^32) from the id and the seed, the same in any engine that has MD5."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(col).cast("string"), F.lit("null")))
+def seeded(seed: int):
+    """A number in [0, 2^32) from the seed, doc_id and text, the same in any engine that has MD5."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
@@ -57,7 +57,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 def _planned(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = WEIGHTS, epochs: int = 3, seed: int = 42) -> DataFrame:
     """doc (the columns to keep), size, source_size, target and times of every row of docs."""
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.col("source").cast("string").alias("source"), "doc_id", n_words().alias("size"), seeded(seed).alias("u"))
+    kinds = dict(docs.dtypes)
+    facts = [x for c in [*keep, "text"] if "map<" not in kinds[c] for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("doc"), F.col("source").cast("string").alias("source"), n_words().alias("size"), seeded(seed).alias("u"), F.xxhash64(*facts).alias("tie"))
     base = rows.withColumn("bin", F.floor(F.col("u") * BINS / (1 << 32)))
     # (source, bin): what the targets and the histogram need, from one aggregation.
     bins = cut(base.groupBy("source", "bin").agg(F.sum("size").alias("words")))
@@ -74,7 +76,7 @@ def _planned(docs: DataFrame, keep: list[str], weights: tuple[int, ...] = WEIGHT
     joined = base.join(info, base["source"].eqNullSafe(info["s"]) & (base["bin"] == info["b"]))
     # Other ranges are spread over partitions by their hash, so that the window deals out no source.
     salt = F.when(F.col("split"), F.lit(-1)).otherwise(F.col("u"))
-    upto = F.sum(F.when(F.col("split"), F.col("size")).otherwise(0)).over(Window.partitionBy("source", "bin", salt).orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum(F.when(F.col("split"), F.col("size")).otherwise(0)).over(Window.partitionBy("source", "bin", salt).orderBy("u", "tie").rowsBetween(Window.unboundedPreceding, 0))
     nearest = F.col("before") + F.col("upto") - F.col("size") / 2 <= F.col("want")
     extra = F.when(F.col("split"), nearest.cast("long")).otherwise(F.col("all_in").cast("long"))
     return joined.withColumn("upto", upto).select("doc", *OWN[:3], (F.col("whole") + extra).alias("times"))

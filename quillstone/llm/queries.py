@@ -79,7 +79,7 @@ select query_id, rank, id, distance from ranked where rank <= 10
 MIXING = r"""
 with recursive sized as (
     select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-        ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint as u
+        ('0x' || substr(md5('42:' || coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 8))::bigint as u
     from documents),
 sources as (
     select source, sum(size)::bigint as source_size, (row_number() over (order by source is null, source) - 1) % 3 as k
@@ -101,7 +101,7 @@ ranges as (select *, coalesce(sum(words) over (partition by source order by bin
 joined as (
     select s.*, p.source_size, p.target, p.whole, p.want, r.before, r.words,
         r.before < p.want and r.before + r.words > p.want as split,
-        sum(s.size) over (partition by s.source, r.bin order by s.u, s.doc_id rows between unbounded preceding and current row) as upto
+        sum(s.size) over (partition by s.source, r.bin order by s.u rows between unbounded preceding and current row) as upto
     from sized s join plan p on s.source is not distinct from p.source
     join ranges r on r.source is not distinct from s.source and r.bin = s.u * 4096 // 4294967296)
 select doc_id, size, source_size, round(target, 6) as target,

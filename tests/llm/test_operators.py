@@ -423,6 +423,17 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_of_tied_ids(spark):
+    r = random.Random(6)
+    rows = [(None if i % 2 else i % 40, " ".join(["w"] * r.randint(1, 60)) + f" {i}", r.choice(["en", "fr"]), r.choice("ab")) for i in range(400)]
+    rows += [(3, "the same text of one id", la, "a") for la in ("en", "fr", "de") * 9]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    mixes = [Counter(tuple(x) for x in mixing.mix(f).collect()) for f in (frame, frame.repartition(5), frame.orderBy("text"), frame.orderBy(F.desc("lang"), F.rand(1)))]
+    assert mixes[0] == mixes[1] == mixes[2] == mixes[3]
+    assert len({x[-1] for x in mixes[0]}) > 1
+    assert Counter(tuple(x) for x in mixing.take(frame).collect()) == Counter(tuple(x) for x in mixing.take(frame.repartition(3)).collect())
+
+
 def test_licenses(spark, none):
     text = "Some words here.\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.\nCopyright of nothing.\nLicensed under the Apache License, Version 2.0."
     rows = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (3, "", "x"), (None, "All rights reserved.", "x"), (4, LONG + " Licensed under CC BY-SA 4.0. " + LONG, "x"), (5, "the license of a fish", "x")], "doc_id long, text string, block string")
