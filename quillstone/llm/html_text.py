@@ -1,13 +1,13 @@
 """Operator 6: main text of web pages by template deduction from equivalence classes.
 
 Tokens are a page's tags with the path of their open elements, and its text nodes with theirs. A token's occurrence vector over the pages
-of its host is folded into one number as it is summed (page hash times count, modulo 2^64), so that vectors of any length meet
-in one aggregation with map-side combine; tokens of one host with equal numbers are an equivalence class. Classes that half of
+of its host is folded as it is summed (both halves of a hash of page and count), so that vectors of any length meet
+in one aggregation with map-side combine; tokens of one host with equal sums are an equivalence class. Classes that more than half of
 the host's pages have, of two tokens or more, make the host's template; their number is bounded by twice the tokens of a page. On each page the valid ones
 (those whose tokens come in the template's one order, each inside one slot of its parent) are nested, and the slots between their tokens hold
 the page's own content.
 
-A slot is main text if it lies in the article (or `main`; without either, in the body), outside elements that the template's tags, roles and class names mark as
+A slot is main text if it lies in the article (or `main`; without either, in the body), outside elements that tags, roles and whole class names mark as
 menus, headers, footers, sidebars, notices, adverts, forms or comments, and no text node of the template (the same on most pages), inside of an article or not.
 Copies of one page make a template of their whole text: a page whose own text is less than a COPY-th of what the marks leave inside of an article (without one: a page
 with no own text at all) counts as a copy, and loses nothing for being repeated. A host with less than MIN_PAGES pages has no template; there the marks alone decide.
@@ -45,7 +45,13 @@ INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark
 RAW = "script|style|noscript|template|textarea|svg|math|iframe|object|canvas|select|button|title"
 OUTSIDE = set("nav footer aside form dialog menu fieldset head".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
-MARKS = re.compile(r"(?i)(^|[\s_-])(ads?|advert\w*|sponsor\w*|promo\w*|banner|side-?bar|menu|nav\w*|foot(er)?|header|masthead|cookies?|notices?|consent|gdpr|pop-?up|modal|newsletter|subscri\w+|share|sharing|social|related|recommend\w*|comments?|disqus|replies|breadcrumbs?|pagination|pager|widget|toolbar)($|[\s_-])")
+MARKS = re.compile(
+    r"(?i)(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|mobile|sticky|fixed|post|article|entry)[-_]?)?(?:"
+    r"ads?|adsense|advert(?:isement|ising)?s?|sponsor(?:ed)?s?|promos?|promotions?|banners?|side-?bars?|menus?|nav(?:bar|igation)?|foot(?:er)?s?|masthead|cookies?|notices?|consent|gdpr|pop-?up|modal|newsletters?|subscribe|subscription"
+    r"|shar(?:e|ing)|related|recommend(?:ed|ations?)|comments?|disqus|replies|breadcrumbs?|pagination|pager|widgets?|toolbar"
+    r")(?:[-_]?(?:box|bar|area|item|link|list|links|items|wrap|wrapper|container|inner|block|section|banner|notice|thread|form|buttons?|unit|slot|posts|articles|menu|\d+))*"
+    r"|(?:site|page|main|global|top)[-_]?header|header|social(?:[-_](?:links?|icons?|media|share|sharing|buttons?|bar))?"
+)
 #: Open elements that a start tag of the name ends, besides paragraphs and headings.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}} | {k: {"td", "th", "tr", "tbody", "thead", "tfoot"} for k in ("tbody", "thead", "tfoot")}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -61,7 +67,7 @@ def _outside(name: str, attrs: str, in_article: bool) -> bool:
         return False
     for m in ATTRIBUTE.finditer(attrs):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and name not in ("body", "html", "article", "main") and MARKS.search(value):
+        if key in ("class", "id") and name not in ("body", "html", "article", "main") and any(map(MARKS.fullmatch, value.split())):
             return True
         if key in ("class", "id") and name == "article" and re.search(r"(?i)\bcomment", value):
             return True
@@ -173,28 +179,29 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             text = (page or b"").decode("utf-8", "replace")
             for token, n in Counter(t[0] for t in tokens(text) if t[0] != " ").items():
-                v = vector.setdefault((host, _number(token)), [0, 0])
-                v[0] ^= xxhash.xxh3_64_intdigest(f"{key} {n}")
-                v[1] += 1
-            v = vector.setdefault((host, 0), [0, 0])
-            v[1] += 1
+                v = vector.setdefault((host, _number(token)), [0, 0, 0])
+                part = xxhash.xxh3_64_intdigest(f"{key} {n}")
+                v[0] += part & 0xFFFFFFFF
+                v[1] += part >> 32
+                v[2] += 1
+            vector.setdefault((host, 0), [0, 0, 0])[2] += 1
         rows = list(vector.items())
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k, _ in rows]), pa.array([k[1] for k, _ in rows], pa.int64()), pa.array([v[0] - (1 << 63) if v[0] >= 1 << 63 else v[0] for _, v in rows], pa.int64()), pa.array([v[1] for _, v in rows], pa.int64())],
-            names=["host", "token", "vector", "pages"],
+            [pa.array([k[0] for k, _ in rows], pa.string()), pa.array([k[1] for k, _ in rows], pa.int64()), *(pa.array([v[j] for _, v in rows], pa.int64()) for j in range(3))],
+            names=["host", "token", "low", "high", "pages"],
         )
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """(host, template array<struct<token, class>>) of the hosts with MIN_PAGES pages; pages: (host, html binary, key)."""
-    # Vectors are folded by exclusive or of (page, count): the same for equal vectors, in any order of summing.
-    parts = arrow_map(pages.select("host", "html", "key"), _occurrences, "host string, token long, vector long, pages long")
+    # Sums are the same for equal vectors, in any order of summing; those of halves stay within 64 bits for 2^31 pages of a host.
+    parts = arrow_map(pages.select("host", "html", "key"), _occurrences, "host string, token long, low long, high long, pages long")
     # Written once: it is read twice, and its pages need not be parsed again.
-    seen = cut(parts.groupBy("host", "token").agg(F.bit_xor("vector").alias("vector"), F.sum("pages").alias("pages")))
+    seen = cut(parts.groupBy("host", "token").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.sum("pages").alias("pages")))
     size = seen.where("token = 0").select("host", F.col("pages").alias("of")).where(f"of >= {MIN_PAGES}")
-    often = seen.where("token <> 0").join(size, "host").where("2 * pages >= of")
-    classes = often.groupBy("host", "vector").agg(F.collect_list("token").alias("tokens")).where("size(tokens) > 1")
-    entries = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.col("vector").alias("class")))
+    often = seen.where("token <> 0").join(size, "host").where("2 * pages > of")
+    classes = often.groupBy("host", "low", "high").agg(F.collect_list("token").alias("tokens")).where("size(tokens) > 1")
+    entries = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.xxhash64("low", "high").alias("class")))
     return classes.groupBy("host").agg(F.flatten(F.collect_list(entries)).alias("template"))
 
 

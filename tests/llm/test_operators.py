@@ -236,6 +236,42 @@ def test_html_template_inside_articles(spark):
     assert {got[30 + i] for i in range(4)} == {"One\ntext"}
 
 
+def test_html_template_against_vectors(spark):
+    """Classes of tokens with equal occurrence vectors, put together page by page."""
+    r = random.Random(7)
+    part = lambda i: "".join(f"<div><p>{w}</p></div>" * r.randint(0, 2) for w in ("one", "two", "three", "four")) + f"<p>own {i}</p>"
+    pages = [("a", i, f"<body><ul><li>Home<li>About</ul>{part(i)}<hr><p>foot</p></body>") for i in range(9)] + [("b", i, f"<p>{i}</p>") for i in range(2)]
+    pages += pages[:2]
+    frame = spark.createDataFrame([(h, bytearray(t.encode()), i) for h, i, t in pages], "host string, html binary, key long")
+    got = {(x.host, frozenset(t for t, k in ((e.token, e["class"]) for e in x.template) if k == c)) for x in html_text.deduce_templates(frame).collect() for c in {e["class"] for e in x.template}}
+    vectors: dict = {}
+    for k, (h, _, t) in enumerate(pages):
+        for token, n in Counter(x[0] for x in html_text.tokens(t) if x[0] != " ").items():
+            vectors.setdefault((h, html_text._number(token)), {})[k] = n
+    classes: dict = {}
+    for (h, token), v in vectors.items():
+        if h == "a" and 2 * len(v) > 11:
+            classes.setdefault(tuple(sorted(v.items())), set()).add(token)
+    assert got == {("a", frozenset(c)) for c in classes.values() if len(c) > 1} and len(got) > 0
+
+
+def test_html_repeated_rows(spark):
+    page = lambda i: f"<html><body><div><p>Story {i} of the day</p><p>More of {i}</p></div></body></html>"
+    rows = [(i, "http://h.example/x", page(i % 2)) for i in range(4)]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i % 2} of the day\nMore of {i % 2}" for i in range(4)}
+    long = "<p>word &amp; word</p>" * 30_000
+    (one,) = html_text.extract_text(spark.createDataFrame([(1, "u", f"<article>{long}</article>")], "page_id long, url string, html string")).collect()
+    assert one.text == "\n".join(["word & word"] * 30_000)
+
+
+def test_html_whole_class_names():
+    for around in ("<div class='content no-sidebar'><article>{}</article></div>", "<article class='elementor-widget'>{}</article>", "<article id='social-impact'>{}</article>", "<div id='social-impact'><article>{}</article></div>", "<article><div class='entry-header'><h1>Head</h1></div>Text</article>", "<div class='elementor-widget'><div class='post-shared'>{}</div></div>", "<main class='menu-of-the-day'>{}</main>"):
+        assert html_text.main_text("<body>" + around.format("<h1>Head</h1>Text") + "</body>") == "Head\nText", around
+    for name in ("ad", "ads", "sidebar", "site-header", "cookie-notice", "related-posts", "menu-item", "comments", "comment-list", "share", "social-links", "newsletter", "sponsored", "main-nav", "footer"):
+        assert html_text.main_text(f"<body><p>Text</p><div class='x {name}'>Gone</div></body>") == "Text", name
+
+
 def test_html_omitted_end_tags():
     for menu in ("<ul><li class='menu-item'>Home<li class='menu-item'>About</ul>", "<p class='notice'>Beware", "<table><tr><td class='ad'>Buy<td class='ad'>Now</table>", "<table><tr><th class='ad'>Buy<tr><td>Row</table>", "<dl><dt class='ad'>Buy<dd>Row</dl>"):
         text = html_text.main_text(f"<body>{menu}<article><h1>Head</h1><p>Text</article></body>")
