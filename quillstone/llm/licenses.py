@@ -1,20 +1,20 @@
 """Operator 1: license scans by conditional compression.
 
-Around each word that names a licence, a copyright or a permission, as many words as the longest template may take are searched, across line
-breaks. A template can only stand where one of its pieces stands unchanged (it has one piece more than differences allowed); there it is compared word by word, and
-confirmed if the differing words are at most `max_diff` of its words (holders' names, years and words that stand before or after its wording
-don't count) and it saves bytes as the zstandard raw dictionary of the text that it covers. Of confirmed templates that overlap, the one with the most words stays.
+Every text is searched whole, across line breaks. A template can only stand where one of its pieces stands unchanged (it has one piece more than
+differences allowed): the words around it, as many as the template may take, are a candidate block. The block is compressed with the template as
+zstandard raw dictionary; candidates are ranked by what that saves, and confirmed in this order by comparing word by word: the
+differing words are at most `max_diff` of the template's (holders' names, years and words that stand before or after its wording
+don't count). Of confirmed templates that overlap, the first in rank stays.
 
-One scan without any exchange: a document is read where it lies; equal surroundings are compared once per worker.
+One scan without any exchange: a document is read where it lies.
 
-Defined results. Null or empty text: no rows. No confirmed template: no row. Ties of overlapping templates: fewer differences, then more bytes saved, then the template's name.
+Defined results. Null or empty text: no rows. No confirmed template: no row. Ties in rank: the longer template, then its name, then the place.
 A row's block is the line (of a long line, the sentence) where its template begins; a block has a row for each of its templates.
 Repeated rows give repeated results. Null doc_id: kept as null. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -31,6 +31,11 @@ TEMPLATES = {
     "mit_notice": "Released under the MIT License.",
     "mit_licensed": "Licensed under the MIT License.",
     "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "mit_text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "apache_2": "Licensed under the Apache License, Version 2.0.",
     "apache_2_notice": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
     "gpl_3": "This work is licensed under the GNU General Public License, version 3.",
@@ -39,6 +44,25 @@ TEMPLATES = {
     "lgpl_3": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "mpl_2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "bsd_3": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsd_2_text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "bsd_3_text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.""",
+    "isc_text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "cc_by_4": "Licensed under CC BY 4.0.",
     "cc_by_sa_4": "Licensed under CC BY-SA 4.0.",
@@ -47,7 +71,6 @@ TEMPLATES = {
     "cc0_1": "Released under CC0 1.0 Universal.",
     "reserved": "All rights reserved.",
 }
-CANDIDATE = r"(?i)licen[cs]e|copyright|permission|all\s+rights\s+reserved|redistribut|\bCC[\s-]?(BY|0)"
 LONG_LINE = 60
 _STOP = re.compile(r"(?<=[.!?])\s+")
 _WORD = re.compile(r"[A-Za-z0-9][A-Za-z0-9.'\-]*")
@@ -73,7 +96,6 @@ class Scanner:
         self.max_diff = max_diff
         self.words = {k: w for k, v in templates.items() if (w := wording(v))}
         self.slack = {k: int(max_diff * len(w)) for k, w in self.words.items()}
-        self.reach = max((len(w) + self.slack[k] for k, w in self.words.items()), default=0)
         self.pieces: dict[str, list[tuple[str, int, list[str]]]] = {}
         for k, w in self.words.items():
             n = min(self.slack[k] + 1, len(w))
@@ -82,67 +104,68 @@ class Scanner:
                 self.pieces.setdefault(w[a], []).append((k, a, w[a:b]))
         self.alone = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
         self.given = {k: zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k, v in templates.items()}
-        self.known: dict[str, list[tuple]] = {}
-
-    def differences(self, name: str, words: list[str]) -> tuple[int, int, int, int]:
-        """Words of the template that `words` lack, words put between those that it has, and from where to where it stands, at its best."""
-        own, best = self.words[name], (len(self.words[name]), 0, 0, 0)
-        same = [m for m in difflib.SequenceMatcher(None, own, words, autojunk=False).get_matching_blocks() if m.size]
-        for i in range(len(same)):
-            hit = 0
-            for m in same[i:]:
-                hit += m.size
-                a, b = same[i].b, m.b + m.size
-                best = min(best, (len(own) - hit, b - a - hit, a, b), key=lambda x: (x[0] + x[1], x))
-        return best
+
+    def differences(self, name: str, words: list[str]) -> tuple[int, int, int, int] | None:
+        """Words of the template that `words` lack, words put between those that it has, and from where to where it stands; None beyond `max_diff`.
+
+        The least edit distance by leaving out and putting in, with nothing to pay for words before and after; ties to fewer words put in, then to the first place.
+        """
+        most = self.max_diff * len(self.words[name])
+        # (differences, extra, from) of the best way to end before each word.
+        row = [(0, 0, j) for j in range(len(words) + 1)]
+        for own in self.words[name]:
+            cost, extra, begin = row[0]
+            left = (cost + 1, extra, begin)
+            new = [left]
+            for j, word in enumerate(words):
+                cost, extra, begin = row[j + 1]
+                best = (cost + 1, extra, begin)
+                inside = (left[0] + 1, left[1] + 1, left[2])
+                if inside < best:
+                    best = inside
+                if own == word and row[j] < best:
+                    best = row[j]
+                new.append(best)
+                left = best
+            row = new
+            if min(row)[0] > most:
+                return None
+        (cost, extra, begin), end = min((x, j) for j, x in enumerate(row))
+        return (cost - extra, extra, begin, end) if begin < end else None
 
     def saved(self, name: str, text: str) -> int:
         return len(self.alone.compress(text.encode())) - len(self.given[name].compress(text.encode()))
 
-    def scan(self, text: str) -> list[tuple]:
-        """(from, to, template, bytes saved, missing, extra) of the confirmed templates of the text, in order."""
-        if text not in self.known:
-            if len(self.known) > 20_000:
-                self.known.clear()
-            spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-            words, tried, found = wording(text), set(), []
-            for at, word in enumerate(words):
-                for k, offset, piece in self.pieces.get(word, ()):
+    def candidates(self, words: list[str]) -> dict[tuple[str, int], tuple[int, int]]:
+        """Of each (template, place) that has a piece of the template: the words from and to that it may take."""
+        found: dict[tuple[str, int], tuple[int, int]] = {}
+        for at, word in enumerate(words):
+            if word in self.pieces:
+                for k, offset, piece in self.pieces[word]:
                     low = at - offset - self.slack[k]
-                    if (k, low) in tried or words[at : at + len(piece)] != piece:
-                        continue
-                    tried.add((k, low))
-                    start = max(low, 0)
-                    missing, extra, a, b = self.differences(k, words[start : low + len(self.words[k]) + 2 * self.slack[k]])
-                    if b and missing + extra <= self.max_diff * len(self.words[k]):
-                        first, last = spans[start + a][0], spans[start + b - 1][1]
-                        gain = self.saved(k, " ".join(text[first:last].split()))
-                        if gain > 0:
-                            found.append((extra + missing - len(self.words[k]) + missing, missing + extra, -gain, k, first, last, missing, extra))
-            kept: list[tuple] = []
-            for _, _, gain, k, first, last, missing, extra in sorted(found):
+                    if (k, low) not in found and words[at : at + len(piece)] == piece:
+                        found[k, low] = (max(low, 0), min(low + len(self.words[k]) + 2 * self.slack[k], len(words)))
+        return found
+
+    def document(self, text: str) -> list[tuple]:
+        """(block, template, bytes saved, missing, extra, text) of the document's confirmed templates, in order."""
+        words = wording(text)
+        found = self.candidates(words)
+        if not found:
+            return []
+        spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+        ranked = sorted((-self.saved(k, " ".join(text[spans[a][0] : spans[b - 1][1]].split())), -len(self.words[k]), k, a, b) for (k, _), (a, b) in found.items())
+        kept: list[tuple] = []
+        for gain, _, k, start, end in ranked:
+            if gain >= 0:
+                break
+            if hit := self.differences(k, words[start:end]):
+                missing, extra, a, b = hit
+                first, last = spans[start + a][0], spans[start + b - 1][1]
                 if all(last <= x[0] or first >= x[1] for x in kept):
-                    kept.append((first, last, k, -gain, missing, extra))
-            self.known[text] = sorted(kept)
-        return self.known[text]
-
-    def document(self, text: str) -> Iterator[tuple]:
-        """(block, template, bytes saved, missing, extra, text) of the document's confirmed templates."""
-        named = [(m.start(), m.end()) for m in re.finditer(CANDIDATE, text)]
-        if not named:
-            return
-        words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-        starts, places, regions = [w[0] for w in words], blocks(text), []
-        for first, last in named:
-            low, high = max(bisect_right(starts, first) - 1 - self.reach, 0), min(bisect_right(starts, last) + self.reach, len(words))
-            if regions and low <= regions[-1][1]:
-                regions[-1][1] = high
-            elif low < high:
-                regions.append([low, high])
-        for low, high in regions:
-            start = words[low][0]
-            for first, last, *hit in self.scan(text[start : words[high - 1][1]]):
-                yield bisect_right(places, start + first) - 1, *hit, text[start + first : start + last]
+                    kept.append((first, last, k, self.saved(k, " ".join(text[first:last].split())), missing, extra))
+        places = blocks(text)
+        return [(bisect_right(places, first) - 1, *hit, text[first:last]) for first, last, *hit in sorted(kept)]
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, max_diff: float = 0.1) -> DataFrame:
@@ -156,5 +179,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, max_
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["doc_id", "block", "license", "saved_bytes", "missing_words", "extra_words", "text"])
 
-    named = docs.where(F.col("text").rlike(CANDIDATE)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return arrow_map(named, run, "doc_id long, block long, license string, saved_bytes long, missing_words long, extra_words long, text string")
+    given_texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    return arrow_map(given_texts, run, "doc_id long, block long, license string, saved_bytes long, missing_words long, extra_words long, text string")

@@ -491,6 +491,46 @@ def test_licenses_across_lines_and_in_one_line():
     assert names(textwrap.fill(" ".join(w for i, w in enumerate(mit) if i % 5), 78)) == []
 
 
+def edits(a, b):
+    """The least number of words of a and of a beginning of b that a longest common subsequence of the two leaves out."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
+        row = new
+    return min(len(a) + j - 2 * n for j, n in enumerate(row))
+
+
+def test_licenses_against_every_place(spark):
+    """Each template at each word of each text, without pieces or ranks in between; repeated rows, ties and long texts too."""
+    r = random.Random(12)
+    scanner = licenses.Scanner(licenses.TEMPLATES, 0.1)
+    spoil = lambda t, p: " ".join(w for x in t.split() for w in ([] if r.random() < p else [x, "so"] if r.random() < p else [x]))
+    filler = lambda n: " ".join(r.choices("the of this software is under a work copy rights permission license and".split(), k=n))
+    texts = [f"{filler(20)}\n{spoil(t, p)}\n{filler(15)}" for t in licenses.TEMPLATES.values() for p in (0, 0.03)]
+    texts += [f"{spoil(a, 0.01)} {b}" for a, b in zip(licenses.TEMPLATES.values(), reversed(licenses.TEMPLATES.values()))]
+    names = list(licenses.TEMPLATES)
+    for t in texts:
+        words = licenses.wording(t)
+        places = [m.start() for m in licenses._WORD.finditer(t)]
+        sure = set()
+        for k in names:
+            n, slack = len(scanner.words[k]), scanner.slack[k]
+            for at in range(len(words)):
+                if words[at] in scanner.words[k][: slack + 1] and edits(scanner.words[k], words[at : at + n + slack]) <= 0.1 * n:
+                    sure.add((k, places[at]))
+        got = scanner.document(t)
+        found = {h[1] for h in got}
+        assert found <= {k for k, _ in sure}
+        # What is confirmed and not returned overlaps with a template that is.
+        inside = [(t.index(h[5]), t.index(h[5]) + len(h[5])) for h in got]
+        lost = {(k, t[p : p + 300]) for k, p in sure if not (k in found or any(a <= p < b for a, b in inside) or any(p <= a < p + 2 * len(licenses.TEMPLATES[k]) for a, _ in inside))}
+        assert not lost, (t, got)
+    rows = spark.createDataFrame([(1, LONG + "\n" + licenses.TEMPLATES["mit_text"] + "\n" + LONG)] * 2 + [(2, "Released under the MIT License. " * 2)], "doc_id long, text string")
+    assert Counter((x.doc_id, x.license) for x in licenses.scan_licenses(rows).collect()) == {(1, "mit_text"): 2, (2, "mit_notice"): 2}
+
+
 def test_classifier(spark, docs, none):
     r = random.Random(9)
     good = lambda: " ".join(r.choices("river stone light morning walk under bridge small green".split(), k=40))
