@@ -7,7 +7,8 @@ raises the determinant, until the moments of no group move. A variance floor for
 for clean text); it is about what one count more or less makes in a document. A document goes if its squared distance, made consistent for the normal model, is above `cutoff`.
 
 Groups with fewer than `least` documents use the estimate of their language, and languages with fewer that of all. Every estimate is an
-aggregation with map-side combine over the numeric rows, and its result has one row for each group; no group is gathered in one task.
+aggregation with map-side combine over the numeric rows, and its result has one row for each group; no group is gathered in one task. Estimates meet
+their rows by broadcast up to BROADCAST_GROUPS groups, and beyond that by group and salt, as one group holds all rows.
 
 Defined results. Null text: no words, all counts 0, base_failed. Null lang or source count as ''. A document with no estimate (empty groups) is
 kept unless it fails the base rules. Null doc_id: kept as null. Repeated rows: each is returned, and each counts. Extra columns are ignored.
@@ -33,6 +34,8 @@ STATS = {
 D = len(STATS)
 #: Chi-square quantile of D = 5 degrees at 0.99999, and the consistency factor of the best three quarters.
 CUTOFF, FACTOR = 30.86, 1.41
+#: Groups up to which estimates (about 400 bytes each) are broadcast, and the parts that a group is dealt to beyond that.
+BROADCAST_GROUPS, SALTS = 20_000, 64
 #: Concentration steps at most, and the move of a moment, in standard deviations, that counts as none: what the approximate quantile leaves open.
 STEPS, STILL = 50, 0.01
 
@@ -93,14 +96,24 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("grp").agg(*aggs)
 
 
-def _with_distance(rows: DataFrame, moments: DataFrame, how: str = "inner") -> DataFrame:
+def _meet(rows: DataFrame, groups: DataFrame, few: bool, on: str = "grp", how: str = "inner") -> DataFrame:
+    """rows joined with groups, which has one row for each value of `on`; few: so few that they are broadcast."""
+    if few:
+        return rows.join(F.broadcast(groups), on, how)
+    facts = [F.col(c) for c in rows.columns]
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*facts), F.lit(SALTS)))
+    copies = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(copies, [on, "salt"], how).drop("salt")
+
+
+def _with_distance(rows: DataFrame, moments: DataFrame, how: str = "inner", few: bool = True) -> DataFrame:
     """rows with d2, the squared Mahalanobis distance to their group's moments."""
     white = cut(_whitening(moments))
     d2 = " + ".join(f"pow({' + '.join(f'w{i}{k} * (x{k} - m{k})' for k in range(i + 1))}, 2)" for i in range(D))
-    return rows.join(white, "grp", how).withColumn("d2", F.expr(d2)).drop(*(c for c in white.columns if c != "grp"))
+    return _meet(rows, white, few, how=how).withColumn("d2", F.expr(d2)).drop(*(c for c in white.columns if c != "grp"))
 
 
-def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4, accuracy: int = 2000, still: float | None = None) -> DataFrame:
+def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4, accuracy: int = 2000, still: float | None = None, few: bool = True) -> DataFrame:
     """Robust moments by grp of rows (grp, x0 .. x4): after `steps` steps or, with `still`, once no moment moves by more than so many standard deviations."""
     quart = rows.groupBy("grp").agg(*(F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], accuracy).alias(f"q{i}") for i in range(D)))
     floors = list(STATS.values())
@@ -111,9 +124,9 @@ def mcd(rows: DataFrame, share: float = 0.75, steps: int = 4, accuracy: int = 20
             start.append((spread * spread + F.lit(floors[i] ** 2) if i == j else F.lit(0.0)).alias(f"v{i}{j}"))
     moments = quart.select("grp", *start)
     for _ in range(steps):
-        near = _with_distance(rows, moments)
+        near = _with_distance(rows, moments, few=few)
         limit = near.groupBy("grp").agg(F.percentile_approx("d2", share, accuracy).alias("limit"))
-        last, moments = moments, _moments(near.join(limit, "grp").where("d2 <= limit"))
+        last, moments = moments, _moments(_meet(near, limit, few).where("d2 <= limit"))
         if still is not None:
             moments = cut(moments)
             if (_moved(last, moments) or 0.0) <= still:
@@ -128,22 +141,24 @@ def _moved(last: DataFrame, moments: DataFrame) -> float | None:
     return both.agg(F.max(F.greatest(*(F.abs(F.col(c) - F.col(f"{c}_")) / u for c, u in unit.items())))).first()[0]
 
 
-def judge(stats: DataFrame, least: int = 100, cutoff: float = CUTOFF, factor: float = FACTOR) -> DataFrame:
+def judge(stats: DataFrame, least: int = 100, cutoff: float = CUTOFF, factor: float = FACTOR, broadcast_groups: int = BROADCAST_GROUPS) -> DataFrame:
     """stats with the column kept."""
     x = stats.withColumns({f"x{i}": F.when(~F.col("base_failed"), F.expr(f"cast({s.replace('/ word_chars', '/ greatest(word_chars, 1)').replace('/ n_words', '/ greatest(n_words, 1)')} as double)")) for i, s in enumerate(STATS)})
     names = F.array(F.concat_ws("\u0001", F.lit("s"), "lang", "source"), F.concat_ws("\u0001", F.lit("l"), "lang"), F.lit("all"))
     levels = x.where("not base_failed").select(F.posexplode(names).alias("level", "grp"), *(f"x{i}" for i in range(D)))
-    sizes = levels.groupBy("grp").agg(F.count("*").alias("n"), F.min("level").alias("level"))
-    rows = levels.join(sizes.where((F.col("n") >= least) | (F.col("level") == 2)).select("grp"), "grp", "left_semi")
-    moments = cut(mcd(rows.drop("level"), steps=STEPS, still=STILL).join(sizes.select("grp", "n"), "grp"))
+    sizes = levels.groupBy("grp").agg(F.count("*").alias("n"), F.min("level").alias("level")).where((F.col("n") >= least) | (F.col("level") == 2))
+    sizes = cut(sizes.select("grp"))
+    few = sizes.count() <= broadcast_groups
+    rows = _meet(levels, sizes, few, how="left_semi")
+    moments = cut(mcd(rows.drop("level"), steps=STEPS, still=STILL, few=few))
     # The finest group that has an estimate.
     ready = moments.select("grp").withColumn("has", F.lit(True))
     pick = x
     for k in range(3):
         own = ready.select(F.col("grp").alias(f"g{k}"), F.col("has").alias(f"has{k}"))
-        pick = pick.withColumn(f"g{k}", names[k]).join(own, f"g{k}", "left")
+        pick = _meet(pick.withColumn(f"g{k}", names[k]), own, few, f"g{k}", "left")
     pick = pick.withColumn("grp", F.coalesce(*(F.when(F.col(f"has{k}"), F.col(f"g{k}")) for k in range(3)))).drop(*(f"{a}{k}" for a in ("g", "has") for k in range(3)))
-    far = _with_distance(pick, moments.drop("n"), "left").withColumn("distance", F.sqrt(F.col("d2") / F.lit(factor)))
+    far = _with_distance(pick, moments, "left", few).withColumn("distance", F.sqrt(F.col("d2") / F.lit(factor)))
     kept = ~F.col("base_failed") & ~F.coalesce(F.col("d2") / F.lit(factor) > F.lit(cutoff), F.lit(False))
     return far.withColumn("kept", kept).drop("grp", "d2", *(f"x{i}" for i in range(D)))
 

@@ -430,6 +430,54 @@ def test_quality_outliers_converge(spark):
     assert quality_rules._moved(m, quality_rules._moments(again.where(F.col("d2") <= limit))) < 1e-9
 
 
+def brute_judge(rows, least):
+    """kept by doc_id, with numpy: groups of language and source, else of language, else all."""
+    stats = {r.doc_id: [np.log1p(r.n_words), r.word_chars / max(r.n_words, 1), (r.n_symbols / max(r.word_chars, 1)) ** 0.5, np.log1p(r.n_dup_lines), (r.n_repeat_words / max(r.n_words, 1)) ** 0.5] for r in rows}
+    fine = [r for r in rows if not r.base_failed]
+    floors = np.diag(np.array(list(quality_rules.STATS.values())) ** 2)
+    groups: dict = {}
+    for r in fine:
+        for g in ((r.lang, r.source), (r.lang,), ()):
+            groups.setdefault(g, []).append(stats[r.doc_id])
+    found = {}
+    for g, xs in groups.items():
+        if g and len(xs) < least:
+            continue
+        x = np.array(xs)
+        q = np.quantile(x, [0.25, 0.5, 0.75], axis=0, method="inverted_cdf")
+        mean, cov = q[1], np.diag(((q[2] - q[0]) / 1.349) ** 2) + floors
+        for _ in range(quality_rules.STEPS):
+            d = np.einsum("ni,ij,nj->n", x - mean, np.linalg.inv(cov), x - mean)
+            near = x[d <= np.quantile(d, 0.75, method="inverted_cdf")]
+            was, (mean, cov) = (mean, cov), (near.mean(0), np.cov(near.T, bias=True) + floors)
+            unit = np.sqrt(np.diag(cov))
+            if max(np.abs((mean - was[0]) / unit).max(), np.abs((cov - was[1]) / np.outer(unit, unit)).max()) <= quality_rules.STILL:
+                break
+        found[g] = (mean, np.linalg.inv(cov))
+    kept = {}
+    for r in rows:
+        mean, inv = next(found[g] for g in ((r.lang, r.source), (r.lang,), ()) if g in found)
+        d = np.array(stats[r.doc_id]) - mean
+        kept[r.doc_id] = not r.base_failed and d @ inv @ d / quality_rules.FACTOR <= quality_rules.CUTOFF
+    return kept
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_quality_judge_against_numpy(spark, most):
+    r = random.Random(11)
+    words = lambda n, c: " ".join("".join(r.choices("abcdefgh", k=c + r.randint(-1, 1))) for _ in range(n))
+    rows = []
+    for i in range(500):
+        la, so = r.choice(["en", "fr", None]), r.choice(["a", "a", "b", None])
+        text = words(r.randint(15, 300), 5 if la else 7)
+        rows.append((i, text + " |" * r.choice([0] * 20 + [40]) + ("\nline" * 40 if r.random() < 0.02 else ""), la, so))
+    rows.append((500, "x" * 3000 + " " + words(30, 5), "de", "c"))
+    stats = quality_rules.base_stats(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).cache()
+    want = brute_judge(stats.collect(), 60)
+    got = {x.doc_id: x.kept for x in quality_rules.judge(stats, least=60, broadcast_groups=most).collect()}
+    assert got == want and 0 < sum(want.values()) < len(want) - 10
+
+
 def test_mixing(docs, none):
     plain = docs.select("doc_id", "text", "lang", "source")
     assert mixing.mix(docs).columns == [*(c for c in docs.columns if c not in mixing.OWN), *mixing.OWN]
@@ -538,6 +586,12 @@ def test_classifier(spark, docs, none):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 600, 2)] + [(1, 0, 1), (1, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
     model = classifier.train(d, labels)
+    for text in (None, "", " \n"):
+        odd = spark.createDataFrame([(1, text, None, None)], "doc_id long, text string, lang string, source string")
+        (x,) = classifier.score(odd, model).collect()
+        ids, stats = classifier.text_features((text or "").encode())
+        want = model.score([ids], np.array([stats]), [classifier.meta_features((text or "").encode(), None, None)])
+        assert np.allclose((x.p_text, x.p_meta, x.score), [v[0] for v in want]) and x.kept == (want[2][0] >= model.threshold)
     out = classifier.score(d, model).collect()
     assert sum(x.kept == (x.doc_id % 3 > 0) for x in out) >= 890  # two thirds of them were held out
     assert classifier.keep_good(d, model).count() == sum(x.kept for x in out)
