@@ -372,9 +372,10 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
 def _whole(words: int, changed: dict[tuple[int, int], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for t in batch.column(0).to_pylist() if len(s := shingle_set(t, words))]
-            keys = [changed.get(k, k[0]) for k in map(set_keys, sets)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), list_array(sets)], names=["cid", "n", "arr"])
+            for at in range(0, batch.num_rows, 1000):
+                sets = [s for t in batch.column(0).slice(at, 1000).to_pylist() if len(s := shingle_set(t, words))]
+                keys = [changed.get(k, k[0]) for k in map(set_keys, sets)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), list_array(sets)], names=["cid", "n", "arr"])
 
     return run
 

@@ -42,7 +42,7 @@ LONG, PICK = 16, 8
 #: Sentences that a span has at least.
 SEVERAL = 2
 #: Bytes of text that are worked on at once, and words whose hashes a task keeps.
-TEXT_BYTES, KEPT_WORDS = 4_000_000, 100_000
+TEXT_BYTES, KEPT_WORDS = 1_000_000, 60_000
 #: Bits of a word: ends in a stop, begins with a capital, ends a part of a long sentence.
 STOPS, CAPITAL, PART = 1, 2, 4
 #: Odd multipliers of the two span hashes.
