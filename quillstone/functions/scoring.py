@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 STATUS_WEIGHTS = {"EXTRACTED": 1.0, "INFERRED": 0.6, "TAG": 0.3}
 SEVERITIES = {"CRITICAL": 1.0, "HIGH": 0.7, "MEDIUM": 0.4, "LOW": 0.1}
-PALETTE = "#6366f1 #22c55e #f59e0b #ef4444 #06b6d4 #a855f7 #ec4899 #84cc16 #f97316 #14b8a6 #3b82f6 #eab308".split()
+#: Colours of communities, of note types, of other nodes and of a root (fixed values).
+PALETTE = "#6366f1 #ec4899 #14b8a6 #f59e0b #8b5cf6 #06b6d4 #10b981 #f43f5e #3b82f6 #84cc16 #d946ef #eab308".split()
+TYPE_COLORS = {"decision": "#f43f5e", "adr": "#f43f5e", "concept": "#3b82f6", "guide": "#10b981", "howto": "#10b981", "tutorial": "#10b981", "reference": "#a855f7", "doc": "#a855f7", "docs": "#a855f7", "synthesis": "#ec4899", "compiled": "#ec4899", "hub": "#eab308", "god_node": "#eab308"}
+NEUTRAL, ROOT = "#64748b", "#f59e0b"
+#: Parts of a node's name that tell its type, the first that is found (fixed values).
+NOTE_TYPES = {"decision": "decision", "adr": "decision", "concept": "concept", "guide": "guide", "howto": "guide", "tutorial": "guide", "synthes": "synthesis", "compiled": "synthesis", "reference": "reference", "doc": "reference"}
 
 
 def edge_weight(weight="weight", status="status") -> Column:
@@ -61,14 +66,22 @@ def drift_severity(score) -> Column:
 
 def note_type(node) -> Column:
     n = F.lower(F.col(node))
-    out = F.when(n.startswith("#"), "tag")
-    for part, kind in (("adr", "decision"), ("architecture", "architecture"), ("concept", "concept"), ("skill", "skill"), ("memory", "memory"), ("project", "project")):
+    out = F.when(F.lit(False), "other")
+    for part, kind in NOTE_TYPES.items():
         out = out.when(n.contains(part), kind)
-    return out.otherwise("note")
+    return out.otherwise("other")
+
+
+def type_color(t) -> Column:
+    out = F.when(F.lit(False), NEUTRAL)
+    for kind, color in TYPE_COLORS.items():
+        out = out.when(F.col(t) == kind, color)
+    return out.otherwise(NEUTRAL)
 
 
 def community_color(c) -> Column:
-    return F.when(F.col(c) <= 0, "#94a3b8").otherwise(F.element_at(F.array(*map(F.lit, PALETTE)), ((F.col(c) - 1) % len(PALETTE) + 1).cast("int")))
+    place = ((F.col(c) - 1) % len(PALETTE) + 1).cast("int")
+    return F.when(F.col(c) > 0, F.element_at(F.array(*map(F.lit, PALETTE)), F.greatest(place, F.lit(1)))).otherwise(NEUTRAL)
 
 
 def cosine(a, b) -> Column:

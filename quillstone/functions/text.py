@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Relations that a link prefix may name (fixed values).
-RELATIONS = "links_to references depends_on implements contradicts supersedes part_of related_to extends blocks tagged_as derived_from mentions".split()
+RELATIONS = "links_to implements depends_on supports refutes extends derived_from fixes causes part_of related_to similar_to tagged_as".split()
 #: Letters folded by the fuzzy match (fixed values).
 ACCENTS, PLAIN = "áàâãäéèêëíìîïóòôõöúùûüçñ", "aaaaaeeeeiiiiooooouuuucn"
 #: Extensions of code files (fixed values).
-CODE_EXTENSIONS = "go py js ts tsx jsx java c h cpp hpp rs rb php cs kt swift scala sh sql".split()
-LANGUAGES = {"go": "go", "py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "rs": "rust", "c": "c", "h": "c", "cpp": "cpp", "hpp": "cpp", "rb": "ruby", "sh": "bash"}
+CODE_EXTENSIONS = "go py ts js tsx jsx rs java c cpp h hpp cs rb php swift kt sql sh ps1".split()
+#: Extensions and interpreters of the languages of the code index (fixed values).
+LANGUAGES = {
+    "go": "go", "py": "python", "pyi": "python", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "rs": "rust", "java": "java",
+    "c": "cpp", "h": "cpp", "cpp": "cpp", "hpp": "cpp", "cc": "cpp", "hh": "cpp", "cxx": "cpp", "rb": "ruby", "php": "php", "sh": "shell", "bash": "shell",
+}
+INTERPRETERS = {"python": "python", "python3": "python", "ruby": "ruby", "sh": "shell", "bash": "shell"}
+#: Letters with marks and the plain letters that they are folded to, by Unicode's decompositions.
+MARKED = [(c, d[0]) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.combining(x) for x in d[1:])]
 
 
 def _c(x) -> Column:
@@ -25,12 +33,18 @@ def words(x) -> Column:
 
 
 def chunk_text(x, size: int = 200, overlap: int = 30) -> Column:
-    """Word windows; a text of at most `size` words stays as it is, a blank one has none."""
+    """Word windows; a text of at most `size` words stays as it is, a blank or null one has none."""
     step = size - overlap if size > overlap else max(1, size // 2)
-    w, n = words(x), F.size(words(x))
-    last = F.ceil((n - size) / F.lit(step)).cast("int")
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-    return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(_c(x))).otherwise(windows)
+    text = F.coalesce(_c(x), F.lit(""))
+
+    def windows(w: Column) -> Column:
+        n = F.size(w)
+        last = F.ceil((n - size) / F.lit(step)).cast("int")
+        many = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
+        return F.when(n == 0, F.array().cast("array<string>")).when(n <= size, F.array(text)).otherwise(many)
+
+    # The text is split once: the words are the variable of an outer lambda, not an expression that each window repeats.
+    return F.element_at(F.transform(F.array(words(text)), windows), 1)
 
 
 def strip_code(x) -> Column:
@@ -84,19 +98,31 @@ def truncate_runes(x, n: int) -> Column:
     return _c(x) if n <= 0 else F.when(F.length(_c(x)) > n, F.concat(F.substring(_c(x), 1, n), F.lit(" ... [truncado]"))).otherwise(_c(x))
 
 
+def fold(x) -> Column:
+    """Lower case without marks on letters."""
+    plain = F.translate(_c(x), "".join(m for m, _ in MARKED), "".join(p for _, p in MARKED))
+    return F.lower(F.regexp_replace(plain, r"\p{M}", ""))
+
+
 def lexical_tokens(x) -> Column:
-    """Runs of letters and digits in lower case."""
-    return F.regexp_extract_all(F.lower(_c(x)), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
+    """Runs of letters and digits in lower case, without marks."""
+    return F.regexp_extract_all(fold(x), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
+
+
+def tokens_of(q: str) -> list[str]:
+    """lexical_tokens of a text at the driver."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", q) if not unicodedata.combining(c))
+    return re.findall(r"[^\W_]+", plain.lower())
 
 
 def long_tokens(x) -> Column:
-    """Distinct tokens of three bytes or more."""
-    return F.array_distinct(F.filter(lexical_tokens(x), lambda t: F.octet_length(t) >= 3))
+    """Distinct runs of letters and digits of three bytes or more, in lower case."""
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(_c(x)), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)), lambda t: F.octet_length(t) >= 3))
 
 
-def query_terms(q: str) -> list[str]:
-    """Terms of a lexical query: every other sign is a blank; all terms must match."""
-    return list(dict.fromkeys(re.sub(r"[^\w]", " ", q.lower()).split()))
+def query_phrases(q: str) -> list[list[str]]:
+    """Phrases of a lexical query: other signs than letters, digits and _ are blanks, each field is a phrase of its tokens; all must match."""
+    return [list(p) for p in dict.fromkeys(tuple(tokens_of(field)) for field in re.sub(r"[^\w]", " ", q).split()) if p]
 
 
 def sanitize_query(x) -> Column:
@@ -200,10 +226,10 @@ def is_code_file(path) -> Column:
 
 
 def detect_language(path, head) -> Column:
-    """By extension, else by the interpreter line; null if unknown."""
+    """By extension, else by the interpreter of the first line; null if unknown."""
     by = F.create_map(*(F.lit(v) for kv in LANGUAGES.items() for v in kv))
-    shell = F.regexp_extract(_c(head), r"^#!.*?([a-z]+)[0-9.]*\s*(?:\n|$)", 1)
-    names = F.create_map(*(F.lit(v) for kv in {"python": "python", "node": "javascript", "bash": "bash", "sh": "bash", "ruby": "ruby"}.items() for v in kv))
+    shell = F.regexp_extract(_c(head), r"^#!\s*(?:/usr/bin/env )?(?:[^\n]*/)?([^/\n]*?)\s*(?:\n|$)", 1)
+    names = F.create_map(*(F.lit(v) for kv in INTERPRETERS.items() for v in kv))
     return F.coalesce(F.element_at(by, extension(path)), F.element_at(names, shell))
 
 
@@ -267,3 +293,22 @@ def qualified_shape(q) -> Column:
 
 def last_segment(s) -> Column:
     return F.substring_index(_c(s), ".", -1)
+
+
+def camel_or_pascal(s) -> Column:
+    """Both an upper and a lower ASCII letter."""
+    return _c(s).rlike("[A-Z]") & _c(s).rlike("[a-z]")
+
+
+def light_wikilinks(x) -> Column:
+    """Raw text between brackets, in order, repeated ones too; code is not left out."""
+    return F.regexp_extract_all(_c(x), F.lit(r"\[\[(.*?)\]\]"), F.lit(1))
+
+
+def merged(*lists) -> Column:
+    """Values of all lists in order, each at its first place."""
+    return F.array_distinct(F.filter(F.concat(*(F.coalesce(_c(x), F.array().cast("array<string>")) for x in lists)), lambda v: v.isNotNull()))
+
+
+def repo_id() -> Column:
+    return F.concat(F.lit("repo_"), F.substring(F.sha2(F.uuid(), 256), 1, 12))

@@ -105,3 +105,8 @@ def health(log: DataFrame, now: str) -> DataFrame:
 
 def with_revision(log: DataFrame) -> DataFrame:
     return log.withColumn("revision", F.row_number().over(Window.partitionBy("aggregate_id").orderBy("sequence")))
+
+
+def by_json(log: DataFrame, path: str, value: str) -> DataFrame:
+    """Events whose payload has the value at a JSON path; payloads that are no JSON don't match."""
+    return log.where(F.get_json_object("payload", path) == value)

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.functions.scoring import edge_cost, edge_weight, note_type, risk_level, risk_score, severity, severity_weight
+from quillstone.functions.scoring import ROOT, community_color, edge_cost, edge_weight, note_type, type_color, risk_level, risk_score, severity, severity_weight
 from quillstone.functions.text import token_estimate
 from quillstone.plans.lineage import cut
 
@@ -147,7 +147,7 @@ def community_summary(found: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def impact(edges: DataFrame, root: str, depth: int = 2, ranks: DataFrame | None = None) -> DataFrame:
-    """(node, depth, relation, via, severity): what reaches the root within `depth` reverse hops, strongest first."""
+    """(node, depth, relation, via, severity): what reaches the root within `depth` reverse hops, by depth, then the strongest first."""
     spark = edges.sparkSession
     order = F.struct(F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "HIGH", 1).when(F.col("severity") == "MEDIUM", 2).otherwise(3).alias("s"), "relation", "via")
     seen = spark.createDataFrame([(root,)], "node string")
@@ -159,7 +159,8 @@ def impact(edges: DataFrame, root: str, depth: int = 2, ranks: DataFrame | None
         out = best if out is None else out.union(best)
         wave = best.select("node")
         seen = seen.union(wave)
-    return out
+    rank = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "HIGH", 1).when(F.col("severity") == "MEDIUM", 2).otherwise(3)
+    return out.orderBy("depth", rank, "node")
 
 
 def impact_summary(found: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -215,28 +216,78 @@ def pack(edges: DataFrame, nodes: DataFrame, root: str, depth: int = 2, budget:
     return row.select(F.posexplode(F.expr(fold)).alias("position", "i")).select("i.node", "position", "i.depth", "i.tokens", "i.place")
 
 
-def inspect(edges: DataFrame, known: DataFrame, root: str) -> DataFrame:
-    """(side, node, relation, severity, exists): a node's inbound and outbound edges; known: (node)."""
+def named_degrees(edges: DataFrame, docs: DataFrame, limit: int | None = None) -> DataFrame:
+    """degrees with `name`: the document's title, else the node."""
+    names = docs.select(F.col("id").alias("node"), F.nullif(F.trim("title"), F.lit("")).alias("title"))
+    out = degrees(edges, limit).join(names, "node", "left").withColumn("name", F.coalesce("title", "node")).drop("title")
+    return out.orderBy(F.desc("total"), F.desc("in_degree"), "node")
+
+
+def pagerank_order(edges: DataFrame, ranks: DataFrame, limit: int) -> DataFrame:
+    """(place, node, rank, in_degree) of the first nodes by rank, then inbound edges, then name. The top is kept in each partition before it is numbered."""
+    ins = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("in_degree"))
+    rows = ranks.join(ins, "node", "left").withColumn("in_degree", F.coalesce("in_degree", F.lit(0)))
+    order = [F.desc(F.round("rank", 12)), F.desc("in_degree"), "node"]
+    top = rows.orderBy(*order).limit(limit)
+    return top.select(F.row_number().over(Window.orderBy(*order)).alias("place"), "node", "rank", "in_degree")
+
+
+def inspect(edges: DataFrame, known: DataFrame, root: str, ranks: DataFrame | None = None) -> DataFrame:
+    """(side, node, relation, severity, exists, rank): a node's inbound edges, the severest first, then by rank; then the outbound ones, those to known nodes first. known: (node)."""
     inb = edges.where(F.col("dst") == root).select(F.lit("in").alias("side"), F.col("src").alias("node"), "relation")
     out = edges.where(F.col("src") == root).select(F.lit("out").alias("side"), F.col("dst").alias("node"), "relation")
     rows = inb.union(out).withColumn("depth", F.lit(1)).withColumn("severity", severity("relation", "depth")).drop("depth")
-    return rows.join(known.select("node").distinct().withColumn("e", F.lit(True)), "node", "left").select("side", "node", "relation", "severity", F.coalesce("e", F.lit(False)).alias("exists"))
+    rows = rows.join(known.select("node").distinct().withColumn("e", F.lit(True)), "node", "left")
+    rows = rows.join(ranks.select("node", "rank"), "node", "left") if ranks is not None else rows.withColumn("rank", F.lit(0.0))
+    rows = rows.select("side", "node", "relation", "severity", F.coalesce("e", F.lit(False)).alias("exists"), F.coalesce("rank", F.lit(0.0)).alias("rank"))
+    strong = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "HIGH", 1).when(F.col("severity") == "MEDIUM", 2).otherwise(3)
+    inside = F.col("side") == "in"
+    return rows.orderBy("side", F.when(inside, strong), F.when(inside, -F.col("rank")), F.when(~inside, ~F.col("exists")), F.when(~inside, F.col("relation")), "node")
 
 
-def stats(edges: DataFrame) -> DataFrame:
-    """(nodes, edges, max_degree, avg_degree, density, hubs)."""
+def stats(edges: DataFrame, ranks: DataFrame | None = None) -> DataFrame:
+    """(nodes, edges, max_degree, avg_degree, density, hubs); hubs have four edges or, with ranks, over 0.6 of the greatest rank."""
     d = degrees(edges)
-    agg = d.agg(F.count("*").alias("nodes"), (F.sum("total") / 2).cast("long").alias("edges"), F.max("total").alias("max_degree"), F.avg("total").alias("avg_degree"), F.sum(F.when(F.col("total") >= 4, 1).otherwise(0)).alias("hubs"))
+    hub = F.col("total") >= 4
+    if ranks is not None:
+        d = d.join(ranks.select("node", "rank"), "node", "left").join(F.broadcast(ranks.agg(F.max("rank").alias("top"))))  # one row
+        hub = hub | (F.coalesce("rank", F.lit(0.0)) / F.col("top") > 0.6)
+    agg = d.agg(F.count("*").alias("nodes"), (F.sum("total") / 2).cast("long").alias("edges"), F.max("total").alias("max_degree"), F.avg("total").alias("avg_degree"), F.sum(F.when(hub, 1).otherwise(0)).alias("hubs"))
     n = F.col("nodes")
     return agg.withColumn("density", F.when(n > 1, F.col("edges") / (n * (n - 1))).otherwise(0.0))
 
 
-def view(edges: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(node, type, degree, rank, radius, hub): what a drawing needs of each node."""
+def view(edges: DataFrame, ranks: DataFrame, root: str = "", found: DataFrame | None = None) -> DataFrame:
+    """(node, type, degree, rank, radius, hub, color, community, community_color): what a drawing needs of each node; found: (node, community)."""
     top = ranks.agg(F.max("rank").alias("top"))
     rows = degrees(edges).join(ranks, "node").join(F.broadcast(top))  # one row
-    hub = (F.col("total") >= 4) | (F.col("rank") / F.col("top") > 0.6)
-    return rows.select("node", note_type("node").alias("type"), F.col("total").alias("degree"), "rank", (8 + 20 * F.col("rank") / F.col("top") + F.when(hub, 0).otherwise(0)).alias("radius"), hub.alias("hub"))
+    share = F.col("rank") / F.when(F.col("top") > 0, F.col("top")).otherwise(1.0)
+    is_root = F.col("node") == root if root else F.lit(False)
+    rows = rows.select("node", note_type("node").alias("type"), F.col("total").alias("degree"), "rank", F.round(8 + 20 * share + F.when(is_root, 6.0).otherwise(0.0), 1).alias("radius"), ((F.col("total") >= 4) | (share > 0.6)).alias("hub"), is_root.alias("root"))
+    rows = rows.withColumn("color", F.when(F.col("root"), ROOT).otherwise(type_color("type")))
+    rows = rows.join(found.select("node", "community"), "node", "left") if found is not None else rows.withColumn("community", F.lit(0))
+    return rows.withColumn("community", F.coalesce("community", F.lit(0))).withColumn("community_color", community_color("community")).drop("root")
+
+
+def view_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(json) of a view and its edges, nodes and edges in order."""
+    n = nodes.agg(F.sort_array(F.collect_list(F.struct("node", *(c for c in nodes.columns if c != "node")))).alias("nodes"))
+    color = F.when(F.col("status") == "INFERRED", "#818cf8").otherwise("#475569").alias("color")
+    e = edges.agg(F.sort_array(F.collect_list(F.struct("src", "dst", "relation", "status", "weight", color))).alias("edges"))
+    return n.join(e).select(F.to_json(F.struct("nodes", "edges")).alias("json"))
+
+
+def bundle(packed: DataFrame, nodes: DataFrame, root: str, depth: int, budget: int) -> DataFrame:
+    """(text): a pack as Markdown; packed as pack() gives it, nodes: (id, title, content, abstract)."""
+    rows = packed.join(nodes.withColumnRenamed("id", "node"), "node", "left").withColumn("name", F.coalesce(F.nullif("title", F.lit("")), "node"))
+    core = F.format_string("### %s\n- **ID:** `%s`\n- **Distância:** %d salto(s) | **Tokens Est.:** ~%d\n\n%s\n\n---\n\n", "name", "node", "depth", "tokens", F.coalesce("content", F.lit("")))
+    fringe = F.format_string("| %d | **%s** (`%s`) | %d | %s |\n", "depth", "name", "node", "tokens", F.replace(F.coalesce("abstract", F.lit("")), F.lit("\n"), F.lit(" ")))
+    line = F.when(F.col("place") == "core", core).when(F.col("place") == "fringe", fringe).otherwise(F.format_string("- `%s`\n", "node"))
+    all_ = rows.agg(F.array_sort(F.collect_list(F.struct("position", "place", line.alias("line")))).alias("x"), F.sum("tokens").alias("tokens"), F.count(F.when(F.col("place") != "omitted", 1)).alias("n"), F.max(F.when(F.col("node") == root, F.col("name"))).alias("title"))
+    part = lambda place, head: F.when(F.exists("x", lambda e: e["place"] == place), F.concat(F.lit(head), F.array_join(F.transform(F.filter("x", lambda e: e["place"] == place), lambda e: e["line"]), ""), F.lit("\n"))).otherwise("")
+    head = F.format_string("# 📦 Pacote de Contexto: %s\n\n> **Nó Raiz:** `%s` | **Profundidade:** %d saltos | **Orçamento:** ~%d / %d tokens | **Nós Coletados:** %d\n\n", F.coalesce("title", F.lit(root)), F.lit(root), F.lit(depth), F.coalesce("tokens", F.lit(0)), F.lit(budget), "n")
+    table = "## 📑 Resumos Periféricos (L0/L1 Micro-Abstracts)\n\n| Distância | Título / ID | Tokens | Resumo |\n| :---: | :--- | :---: | :--- |\n"
+    return all_.select(F.concat(head, part("core", "## 📄 Documentos Centrais (Texto Integral)\n\n"), part("fringe", table), part("omitted", "## Omitidos\n\n")).alias("text"))
 
 
 def canvas(near: DataFrame, root: str) -> DataFrame:

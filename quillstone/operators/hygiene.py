@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.scoring import drift_score, drift_severity
-from quillstone.functions.text import fuzzy, fuzzy_tokens, is_code_file, occurrences
+from quillstone.functions.text import fuzzy, fuzzy_tokens, is_code_file
 
 #: Paths that are orphans by design (fixed values).
-BY_DESIGN = r"(^|[/\\])(templates?|archive|inbox|daily|\.github)([/\\]|$)"
+BY_DESIGN = r"(?i)(docs[/\\]adr|\.specs|\.agents[/\\]skills|\.memory|\.github)[/\\]"
+#: What is advised for code that no note names, by status (fixed values).
+ADVICE = {"A": "Criar nova especificação ou ADR para novo módulo de código", "D": "Verificar remoção de dependências e documentar depreciação"}
+OTHER_ADVICE = "Documentar mudanças arquiteturais ou criar nota de componente"
 
 
 def dead_links(edges: DataFrame, docs: DataFrame) -> DataFrame:
@@ -73,29 +76,47 @@ def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def mentions(notes: DataFrame, changes: DataFrame, least: int = 2) -> DataFrame:
-    """(id, path, n): notes (id, content, updated_at) that name a changed path at least twice. Changes are those of a few commits; tokens that look like paths are joined first."""
-    tokens = notes.select("id", "content", "updated_at", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"[\w./\-]+"), F.lit(0)))).alias("token"))
-    tokens = tokens.withColumn("token", F.regexp_replace("token", r"^[./]+|[.]+$", ""))
-    near = tokens.join(changes.withColumn("token", F.lower("path")), "token").dropDuplicates(["id", "path"])
-    return near.withColumn("n", occurrences("content", "path")).where(F.col("n") >= least).drop("token", "content")
+    """(id, path, n, updated_at): notes (id, content, updated_at) that name a changed path `least` times or more.
+
+    Runs of path characters are counted by each of their ends that begin after a slash, so that `./src/pkg/f.go` names `pkg/f.go`; they meet the paths by equality. A path
+    inside of a longer name (`pkg/f.gox`) is not named by it. No text is carried beyond the first scan.
+    """
+    run = F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{Nd}_./\\\-]+"), F.lit(0)))
+    tokens = notes.select("id", "updated_at", run.alias("token")).withColumn("token", F.regexp_replace(F.replace("token", F.lit("\\"), F.lit("/")), r"^[./]+|[./]+$", ""))
+    parts = tokens.select("id", "updated_at", F.split("token", "/").alias("p"))
+    ends = parts.select("id", "updated_at", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "/"))).alias("token"))
+    # Slices run to the end; map-side sums leave a row for each note and end.
+    counted = ends.groupBy("id", "updated_at", "token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counted.join(changes.withColumn("token", F.lower("path")), "token").drop("token")
 
 
 def drift(notes: DataFrame, changes: DataFrame, commits: DataFrame, pagerank: float = 0.015, least: int = 2) -> DataFrame:
-    """(id, paths, commits_behind, churn, score, severity); changes (path, additions, deletions), commits (at)."""
+    """(id, paths, commits_behind, churn, score, severity), the greatest score first; changes (path, additions, deletions), commits (at)."""
     code = changes.where(is_code_file("path"))
     m = mentions(notes, code, least).groupBy("id").agg(F.count("*").alias("paths"), F.sum(F.col("additions") + F.col("deletions")).alias("churn"), F.first("updated_at").alias("updated_at"))
-    behind = m.join(commits, F.col("at") > F.col("updated_at"), "left").groupBy("id").agg(F.count("at").alias("behind"))
-    rows = m.join(behind, "id").withColumn("commits_behind", F.greatest(F.lit(1), F.col("behind")))
+    # Commits after each distinct time of an update: both are short lists, and notes meet them by equality.
+    times = m.select("updated_at").distinct()
+    behind = times.join(commits, F.col("at") > F.col("updated_at"), "left").groupBy("updated_at").agg(F.count("at").alias("behind"))
+    rows = m.join(behind, "updated_at").withColumn("commits_behind", F.greatest(F.lit(1), F.col("behind")))
     score = drift_score(F.col("commits_behind"), F.lit(pagerank), F.col("churn"))
-    return rows.select("id", "paths", "commits_behind", "churn", score.alias("score")).withColumn("severity", drift_severity(F.col("score")))
+    return rows.select("id", "paths", "commits_behind", "churn", score.alias("score")).withColumn("severity", drift_severity(F.col("score"))).orderBy(F.desc("score"), "id")
+
+
+def drift_overall(found: DataFrame, threshold: float = 0.0) -> DataFrame:
+    """(notes, overall, critical, high, medium, low) of drifted notes: the mean of the scores that reach the threshold (a share of 100), and notes by severity."""
+    n = lambda s: F.count(F.when(F.col("severity") == s, 1)).alias(s.lower())
+    in_ = (F.col("score") / 100 >= threshold) if threshold > 0 else F.lit(True)
+    return found.agg(F.count(F.when(in_, 1)).alias("notes"), F.coalesce(F.round(F.avg(F.when(in_, F.col("score"))), 1), F.lit(0.0)).alias("overall"), *map(n, ("CRITICAL", "HIGH", "MEDIUM", "LOW")))
 
 
-def uncovered(notes: DataFrame, changes: DataFrame) -> DataFrame:
-    """(path, status, churn, action): changed code that no note names."""
+def uncovered(notes: DataFrame, changes: DataFrame, least: int = 2) -> DataFrame:
+    """(path, package, status, churn, action), the most churn first: changed code that no note names often enough."""
     code = changes.where(is_code_file("path"))
-    seen = mentions(notes, code, 1).select("path").distinct()
-    action = F.when(F.col("status") == "A", "document").when(F.col("status") == "D", "archive").when(F.col("status") == "R", "rename").otherwise("review")
-    return code.join(seen, "path", "left_anti").select("path", "status", (F.col("additions") + F.col("deletions")).alias("churn"), action.alias("action"))
+    seen = mentions(notes, code, least).select("path").distinct()
+    action = F.when(F.col("status") == "A", ADVICE["A"]).when(F.col("status") == "D", ADVICE["D"]).otherwise(OTHER_ADVICE)
+    package = F.when(F.contains("path", F.lit("/")), F.regexp_extract("path", r"([^/]*)/[^/]*$", 1)).otherwise(".")
+    rows = code.join(seen, "path", "left_anti").select("path", package.alias("package"), "status", (F.col("additions") + F.col("deletions")).alias("churn"), action.alias("action"))
+    return rows.orderBy(F.desc("churn"), "path")
 
 
 def prune(docs: DataFrame, active: DataFrame, root: str) -> DataFrame:

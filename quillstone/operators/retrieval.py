@@ -2,49 +2,128 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.scoring import cosine, l2, time_decay
-from quillstone.functions.text import fallback_abstract, lexical_tokens, query_terms
+from quillstone.functions.text import fallback_abstract, lexical_tokens, query_phrases
+from quillstone.plans.lineage import cut
 
 K1, B = 1.2, 0.75
+#: Sources of a search in their order.
+SOURCES = ("fts", "vector", "graph")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, term, tf, len) of every chunk."""
-    t = chunks.select(F.col("id").alias("chunk_id"), lexical_tokens("content").alias("t")).withColumn("len", F.size("t"))
-    return t.select("chunk_id", "len", F.explode("t").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
-
-
-def bm25(chunks: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """(chunk_id, score) of chunks that hold all terms of the query, best first.
-
-    Only counts of the query's terms leave a chunk: the scan makes one row for each chunk, and statistics are two small aggregations.
-    """
-    terms = query_terms(query)
-    t = lexical_tokens("content")
+#: Parts that an index's terms are dealt to.
+BUCKETS = 64
 
-    def count(term: str):
-        return F.size(F.filter("t", lambda w: w == F.lit(term)))
 
-    tf = [count(q).alias(f"tf{i}") for i, q in enumerate(terms)]
-    rows = chunks.select(F.col("id").alias("chunk_id"), t.alias("t")).select("chunk_id", F.size("t").alias("len"), *tf)
-    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))))
-    hit = F.lit(bool(terms))
-    for i in range(len(terms)):
-        hit = hit & (F.col(f"tf{i}") > 0)
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, len, places) of every chunk (id, content); places: where the term stands, for phrases."""
+    t = chunks.select(F.col("id").alias("chunk_id"), lexical_tokens("content").alias("t"))
+    words = t.select("chunk_id", F.size("t").alias("len"), F.posexplode("t").alias("place", "term"))
+    # A chunk's words are in one partition, so its terms are put together before anything is dealt.
+    return words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.sort_array(F.collect_list("place")).alias("places"))
+
+
+def _minus(n: int) -> Callable[[Column], Column]:
+    return lambda x: x - n
+
+
+class LexicalIndex:
+    """Postings of a set of chunks in a folder, by term, and the statistics of all chunks; a query reads the parts of its own terms."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    @classmethod
+    def build(cls, chunks: DataFrame, folder: str) -> LexicalIndex:
+        """Writes the index of chunks (id, content): one scan for the postings, one for the statistics."""
+        rows = postings(chunks).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
+        rows.repartition(BUCKETS, "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        found = cls(chunks.sparkSession, folder)
+        known = found.spark.read.parquet(f"{folder}/postings").groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.sum("len").alias("words"))
+        chunks.agg(F.count("*").alias("n")).join(known).select("n", (F.coalesce("words", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avg_len")).write.mode("overwrite").parquet(f"{folder}/stats")
+        return found
+
+    def phrase(self, terms: list[str]) -> DataFrame:
+        """(chunk_id, len, tf): chunks with the terms side by side, and how often."""
+        rows = self.spark.read.parquet(f"{self.folder}/postings")
+        # Bucket numbers come from the driver, so that only their folders are read.
+        keys = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).collect()
+        rows = rows.where(F.col("bucket").isin(sorted({k[0] for k in keys})))
+        out = None
+        for i, term in enumerate(terms):
+            one = rows.where(F.col("term") == term).select("chunk_id", "len", F.transform("places", _minus(i)).alias("at"))
+            if out is None:
+                out = one
+            else:
+                out = out.join(one.select("chunk_id", F.col("at").alias("also")), "chunk_id").select("chunk_id", "len", F.array_intersect("at", "also").alias("at"))
+        return out.select("chunk_id", "len", F.size("at").alias("tf")).where("tf > 0")
+
+    def bm25(self, query: str, limit: int | None = None, within: DataFrame | None = None) -> DataFrame:
+        """(chunk_id, score) of chunks that hold all phrases of the query, best first; within: only chunks (chunk_id) of a subset, whose own statistics count."""
+        phrases = query_phrases(query)
+        stats = self.spark.read.parquet(f"{self.folder}/stats")
+        if not phrases:
+            return stats.where(F.lit(False)).select(F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"))
+        parts = [self.phrase(p) for p in phrases]
+        if within is not None:
+            parts = [p.join(within, "chunk_id", "left_semi") for p in parts]
+            lens = self.spark.read.parquet(f"{self.folder}/postings").groupBy("chunk_id").agg(F.first("len").alias("len"))
+            stats = within.join(lens, "chunk_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0))).alias("avg_len"))
+        rows = None
+        for i, part in enumerate(parts):
+            df = part.agg(F.count("*").alias(f"df{i}"))
+            stats = stats.join(F.broadcast(df))  # one row each
+            one = part.select("chunk_id", F.col("tf").alias(f"tf{i}"), *([] if i else ["len"]))
+            rows = one if rows is None else rows.join(one, "chunk_id")
+        return _scored(rows, stats, len(parts), limit)
+
+
+def _scored(rows: DataFrame, stats: DataFrame, n: int, limit: int | None) -> DataFrame:
     score = F.lit(0.0)
-    for i in range(len(terms)):
+    for i in range(n):
         idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
         score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    out = rows.where(hit).join(F.broadcast(stats)).select("chunk_id", score.alias("score"))  # stats: one row
+    out = rows.join(F.broadcast(stats)).select("chunk_id", score.alias("score"))  # stats: one row
     return out.orderBy(F.desc("score"), "chunk_id").limit(limit) if limit else out
 
 
+def bm25(chunks: DataFrame, query: str, limit: int | None = None) -> DataFrame:
+    """(chunk_id, score) of chunks that hold all phrases of the query, best first, without an index.
+
+    Only counts of the query's phrases leave a chunk: one scan, whose rows of numbers are written and read for statistics and hits.
+    """
+    phrases = query_phrases(query)
+
+    def count(t: Column, phrase: list[str]) -> Column:
+        first, *more = phrase
+        if not more:
+            return F.size(F.filter(t, lambda w: w == F.lit(first)))
+        whole = F.array(*map(F.lit, phrase))
+        places = F.sequence(F.lit(1), F.greatest(F.size(t), F.lit(1)))
+        return F.size(F.filter(places, lambda i: F.slice(t, i, len(phrase)) == whole))
+
+    def numbers(t: Column) -> Column:
+        return F.struct(F.size(t).alias("len"), *(count(t, p).alias(f"tf{i}") for i, p in enumerate(phrases)))
+
+    # The tokens are the variable of a lambda: they are made once for a chunk.
+    made = F.transform(F.array(lexical_tokens("content")), numbers)
+    rows = cut(chunks.select(F.col("id").alias("chunk_id"), F.explode(made).alias("x")).select("chunk_id", "x.*"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(phrases))))
+    hit = F.lit(bool(phrases))
+    for i in range(len(phrases)):
+        hit = hit & (F.col(f"tf{i}") > 0)
+    return _scored(rows.where(hit), stats, len(phrases), limit)
+
+
 def knn(vectors: DataFrame, query: list[float], limit: int, metric: str = "cosine") -> DataFrame:
     """(chunk_id, distance) of the nearest vectors; ties by id. Top-k is kept in each partition before it is merged."""
     q = F.array(*(F.lit(float(x)) for x in query))
@@ -111,12 +190,15 @@ def ranked(hits: DataFrame, source: str, order: list) -> DataFrame:
     return hits.select(F.lit(source).alias("source"), F.row_number().over(Window.orderBy(*order)).alias("rank"), F.col("chunk_id").alias("item"))
 
 
-def rrf(lists: DataFrame, k: int = 60) -> DataFrame:
-    """(item, score, n_sources, sources) of ranked lists (source, rank, item); each source counts once for an item."""
+def rrf(lists: DataFrame, k: int = 60, order: tuple[str, ...] = SOURCES) -> DataFrame:
+    """(item, score, n_sources, sources) of ranked lists (source, rank, item), best first; each source counts once for an item. order: that of the sources in `sources`, others follow by name."""
     k = k if k > 0 else 60
     best = lists.groupBy("item", "source").agg(F.min("rank").alias("rank"))
-    names = F.array_join(F.array_sort(F.collect_list(F.concat("source", F.lit(":"), "rank"))), ",")
-    return best.groupBy("item").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.count("*").alias("n_sources"), names.alias("sources"))
+    turn = F.array_position(F.array(*map(F.lit, order)), F.col("source"))
+    entry = F.struct(F.when(turn > 0, turn).otherwise(len(order) + 1).alias("turn"), "source", F.concat("source", F.lit(":"), "rank").alias("text"))
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"]), ",")
+    out = best.groupBy("item").agg(F.sum(1.0 / (k + F.col("rank"))).alias("score"), F.count("*").alias("n_sources"), names.alias("sources"))
+    return out.orderBy(F.desc("score"), F.desc("n_sources"), "item")
 
 
 def with_document(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -143,18 +225,39 @@ def graph_expansion(start: DataFrame, edges: DataFrame, chunks: DataFrame, per_d
     return hit.select(F.lit("graph").alias("source"), F.row_number().over(Window.orderBy("seed", "document_id", "chunk_index")).alias("rank"), F.col("id").alias("item"))
 
 
-def hybrid(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFrame, query: str, vector: list[float], limit: int = 5, k: int = 60, category: str = "", decay: dict | None = None, level: str = "l1") -> DataFrame:
-    """Lexical, vector and graph candidates in one plan: rank, chunk_id, document_id, score, n_sources, sources, category, title, content."""
+def hybrid(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFrame, query: str, vector: list[float], limit: int = 5, k: int = 60, category: str = "", decay: dict | None = None, level: str = "l1", repository: str = "", mode: str = "hybrid", index: LexicalIndex | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """Lexical, vector and graph candidates in one plan: rank, chunk_id, document_id, score, n_sources, sources, category, title, content.
+
+    repository: '' for all; it limits what is searched. category: hits of others keep their places in the lists and are left out of the fusion. mode: hybrid, fts or vector.
+    index: of the chunks, else they are scanned. codes: four-bit codes that answer if the vectors give nothing.
+    """
     many = max(10, 2 * limit)
+    within = None
+    if repository:
+        docs = docs.where(F.col("repository") == repository)
+        chunks = chunks.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+        within = chunks.select(F.col("id").alias("chunk_id"))
+        vectors = vectors.join(within, "chunk_id", "left_semi")
+    found = []
+    if mode in ("hybrid", "fts"):
+        hits = index.bm25(query, many, within) if index else bm25(chunks, query, many)
+        # Short lists, of which several parts of the plan are made.
+        found.append(cut(ranked(hits, "fts", [F.desc("score"), "chunk_id"])))
+    if mode in ("hybrid", "vector"):
+        found.append(cut(ranked(knn_or_codes(vectors, codes, vector, many), "vector", ["distance", "chunk_id"])))
+    if mode == "hybrid":
+        found.append(cut(graph_expansion(seeds(*found, chunks), edges, chunks)))
+    lists = found[0]
+    for more in found[1:]:
+        lists = lists.union(more)
     if category:
-        docs_in = docs.where(F.lower(F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("resource"))) == category.lower()).select("id")
-        chunks = chunks.join(docs_in.withColumnRenamed("id", "document_id"), "document_id", "left_semi")
-        vectors = vectors.join(chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-    lex = ranked(bm25(chunks, query, many), "fts", [F.desc("score"), "chunk_id"])
-    vec = ranked(knn(vectors, vector, many), "vector", ["distance", "chunk_id"])
-    gra = graph_expansion(seeds(lex, vec, chunks), edges, chunks)
-    fused = rrf(lex.union(vec).union(gra), k).withColumnRenamed("item", "chunk_id")
-    full = with_document(fused, chunks, docs)
+        own = F.lower(F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("resource"))) == category.lower()
+        # A few dozen items: they are looked up, not the other way round.
+        some = cut(chunks.join(F.broadcast(lists.select(F.col("item").alias("id")).distinct()), "id").select(F.col("id").alias("item"), "document_id"))
+        some = some.join(docs.where(own).select(F.col("id").alias("document_id")), "document_id", "left_semi").select("item")
+        lists = lists.join(some, "item", "left_semi").select("source", "rank", "item")
+    fused = cut(rrf(lists, k).withColumnRenamed("item", "chunk_id"))
+    full = with_document(F.broadcast(fused), chunks, docs)  # at most `many` of each list
     if decay:
         full = full.withColumn("score", F.col("score") * time_decay("updated_at", **decay))
     order = [F.desc(F.round("score", 12)), F.desc("n_sources"), "chunk_id", "document_id"]
@@ -165,14 +268,73 @@ def hybrid(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFr
     return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), *cols)
 
 
+def knn_or_codes(vectors: DataFrame, codes: DataFrame | None, query: list[float], limit: int, metric: str = "cosine") -> DataFrame:
+    """knn; where that gives nothing, or fails, the four-bit codes answer."""
+    if codes is None:
+        return knn(vectors, query, limit, metric)
+    try:
+        near = cut(knn(vectors, query, limit, metric))
+        if near.limit(1).count():
+            return near
+    except PySparkException:
+        pass
+    return quantized_knn(codes, query, limit)
+
+
+def with_vectors(chunks: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+    """chunks with their embedding, zeros where there is none."""
+    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
+    return chunks.join(vectors.select(F.col("chunk_id").alias("id"), "embedding"), "id", "left").withColumn("embedding", F.coalesce("embedding", zero))
+
+
+def to_blob(v: str = "embedding") -> Column:
+    """A vector as little-endian 32-bit floats; null stays null."""
+    pack = F.pandas_udf(lambda s: s.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes()), "binary")
+    return pack(F.col(v))
+
+
+def from_blob(b: str = "data") -> Column:
+    """The floats of a blob; one whose length is no multiple of four gives null."""
+    unpack = F.pandas_udf(lambda s: s.map(lambda x: None if x is None or len(x) % 4 else np.frombuffer(x, "<f4").tolist()), "array<float>")
+    return unpack(F.col(b))
+
+
+def merge_first(rows: DataFrame) -> DataFrame:
+    """One row for each chunk_id of rows (chunk_id, position, content, abstract, category, updated_at, neighbors array): first non-empty texts, the newest time, the first category
+    other than resource, and all neighbours in order, each once."""
+    first = lambda c, ok: F.min_by(F.when(ok, F.col(c)), F.when(ok, F.col("position")))
+    some = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
+    kind = F.coalesce(first("category", some("category") & (F.lower("category") != "resource")), first("category", some("category")), F.lit("resource"))
+    near = F.transform(F.array_sort(F.collect_list(F.struct("position", F.coalesce("neighbors", F.array().cast("array<string>")).alias("v")))), lambda x: x["v"])
+    return rows.groupBy("chunk_id").agg(F.coalesce(first("content", some("content")), F.lit("")).alias("content"), F.coalesce(first("abstract", some("abstract")), F.lit("")).alias("abstract"), kind.alias("category"), F.max("updated_at").alias("updated_at"), F.array_distinct(F.flatten(near)).alias("neighbors"))
+
+
 def federate(local: DataFrame, central: DataFrame, limit: int = 5, k: int = 60) -> DataFrame:
     """(item, score, origin, sources) of two ranked lists (rank, item)."""
     both = local.select(F.lit("local").alias("source"), "rank", "item").union(central.select(F.lit("central").alias("source"), "rank", "item"))
-    out = rrf(both, k)
+    out = rrf(both, k, ("local", "central"))
     origin = F.when(F.col("n_sources") > 1, "[local+central]").when(F.col("sources").startswith("local"), "[local]").otherwise("[central]")
     return out.withColumn("origin", origin).orderBy(F.desc(F.round("score", 12)), "item").limit(limit)
 
 
+def federated_search(local: Callable[[], DataFrame], central: Callable[[], DataFrame] | None, limit: int = 5, k: int = 60) -> tuple[DataFrame, str]:
+    """The merged lists and a note. No central store, or one that fails: the local list alone; a local one that fails: the central list alone; both: the local error is raised."""
+
+    def run(search: Callable[[], DataFrame]) -> tuple[DataFrame | None, Exception | None]:
+        try:
+            return cut(search().select("rank", "item")), None
+        except (PySparkException, OSError) as e:
+            return None, e
+
+    own, error = run(local)
+    far, missing = run(central) if central else (None, None)
+    if own is None and far is None:
+        raise error
+    note = "" if own is not None and (far is not None or central is None) else "central unavailable" if own is not None else "local unavailable"
+    empty = (own if own is not None else far).limit(0)
+    return federate(own if own is not None else empty, far if far is not None else empty, limit, k), note
+
+
 def latent_pairs(docs: DataFrame, sets: DataFrame, edges: DataFrame, score, least: float, limit: int) -> DataFrame:
     """(a, b, similarity) of unlinked documents of one repository; sets: (id, repository, item), score(x, y) of two items."""
     a = sets.select("repository", F.col("id").alias("a"), F.col("item").alias("x"))

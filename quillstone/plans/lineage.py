@@ -1,15 +1,25 @@
-"""Lineage cuts for iterative plans."""
+"""Lineage cuts for iterative plans, and the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; a session without one gets a temporary folder (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share. A session without one gets a temporary folder if its executors are in this process, else an error."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    named = named or tempfile.mkdtemp(prefix="quillstone-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-"))
+        sc.setCheckpointDir(named)
+    return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the session's shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -36,7 +36,11 @@ LOG = """log as (
 SEVERITY = """case when regexp_matches(lower(relation), 'implement|depend|contradict|block|supersede') then case when depth <= 1 then 'CRITICAL' else 'HIGH' end
     when regexp_matches(lower(relation), 'link|refer|relate') and depth <= 1 then 'MEDIUM' else 'LOW' end"""
 NOTES = """notes as (select 'd' || doc_id as id, 1700000000 - doc_id * 86400 as updated_at, doc_id % 3 as times, 'pkg/f' || (doc_id % 80) || '.go' as path, doc_id % 80 as k from documents),
-changes as (select 'pkg/f' || p_partkey || '.go' as path, ['A', 'M', 'D', 'R'][p_partkey % 4 + 1] as status, p_size::bigint as additions, (p_size * 2)::bigint as deletions from part where p_partkey <= 60)"""
+changes as (select 'pkg/f' || p_partkey || '.go' as path, ['A', 'M', 'D', 'R'][p_partkey % 4 + 1] as status, p_size::bigint as additions, (p_size * 2)::bigint as deletions from part)"""
+DRIFT = """m as (select id, updated_at, 1 as paths, additions + deletions as churn from notes join changes using (path) where times >= 2),
+r as (select id, paths, greatest(1, (select count(*) from nation where 1700000000 - n_nationkey * 864000 > m.updated_at)) as commits_behind, churn from m),
+s as (select id, paths::bigint as paths, commits_behind, churn::bigint as churn, round(least(100.0, least(40.0, 12.0 * commits_behind) + least(15.0, 30.0 * 0.015) + least(25.0, 5.0 * ln(1 + churn))), 1) as score from r),
+drift as (select *, case when score >= 75 then 'CRITICAL' when score >= 55 then 'HIGH' when score >= 30 then 'MEDIUM' else 'LOW' end as severity from s)"""
 DIRTY = """dirty as (
     select src, case when n % 50 = 0 and relation = 'links_to' then 'x' || n when n % 70 = 0 and relation = 'links_to' then src else dst end as dst, relation
     from (select *, regexp_extract(src, '(\\d+)', 1)::bigint as n from edges) where n % 9 <> 0),
@@ -49,19 +53,21 @@ def _bm25(terms: list[str], chunks: str = "chunks", name: str = "hits") -> str:
     df = ", ".join(f"count(*) filter (tf{i} > 0) as df{i}" for i in range(len(terms)))
     idf = lambda i: f"(case when ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 then 1e-6 else ln((n - df{i} + 0.5) / (df{i} + 0.5)) end)"
     score = " + ".join(f"{idf(i)} * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avg_len))" for i in range(len(terms)))
-    return f"""{name}_t as (select id as chunk_id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{Nd}}]+') as t from {chunks}),
+    return f"""{name}_t as (select id as chunk_id, regexp_extract_all(lower(strip_accents(content)), '[\\p{{L}}\\p{{Nd}}]+') as t from {chunks}),
 {name}_c as (select chunk_id, len(t) as len, {tf} from {name}_t),
 {name}_s as (select count(*) as n, avg(len) as avg_len, {df} from {name}_c),
 {name} as (select chunk_id, {score} as score from {name}_c, {name}_s where {' and '.join(f'tf{i} > 0' for i in range(len(terms)))})"""
 
 
-def _hybrid(limit: int = 5, category: str = "", decay: bool = False, tail: str = "") -> str:
+def _hybrid(limit: int = 5, category: str = "", decay: bool = False, tail: str = "", repository: str = "", mode: str = "hybrid") -> str:
     many = max(10, 2 * limit)
-    some = f"picked as (select c.* from chunks c join docs d on d.id = c.document_id where d.category = '{category}')" if category else "picked as (select * from chunks)"
+    some = f"picked as (select c.* from chunks c join docs d on d.id = c.document_id where d.repository = '{repository}')" if repository else "picked as (select * from chunks)"
+    of_kind = f"where item in (select c.id from chunks c join docs d on d.id = c.document_id where d.category = '{category}')" if category else ""
     factor = "* (0.7 + 0.3 * pow(2.0, -greatest(1700000000 - updated_at, 0) / (30.0 * 86400)))" if decay else ""
+    lists = "select 'fts' as source, * from lex" + (" union all select 'vector', * from vec union all select 'graph', * from gra" if mode == "hybrid" else "")
     return f"""with {DOCS}, {CHUNKS}, {VECTORS}, {EDGES}, {some}, {_bm25(['the', 'of', 'and'], 'picked')},
 lex as (select chunk_id as item, row_number() over (order by score desc, chunk_id) as rank from hits qualify rank <= {many}),
-vec as (select chunk_id as item, row_number() over (order by 1 - list_cosine_similarity(e, q), chunk_id) as rank from vectors, qv where chunk_id in (select id from picked) qualify rank <= {many}),
+vec as (select chunk_id as item, row_number() over (order by 1 - list_cosine_similarity(e, q), chunk_id) as rank from vectors, qv where chunk_id in (select id from picked) {'' if repository else 'or true'} qualify rank <= {many}),
 firsts as (
     select document_id, min(rank) filter (s = 0) as a, min(rank) filter (s = 1) as b
     from (select *, 0 as s from lex union all select *, 1 from vec) x join picked c on c.id = x.item group by document_id),
@@ -69,8 +75,8 @@ ordered as (select *, case when a is not null and row_number() over (order by a
 seeds as (select document_id, row_number() over (order by p is null, p, b is null, b, document_id) as seed from ordered where p is not null or b is not null qualify seed <= 6),
 near as (select dst as n, min(seed) as seed from edges join seeds on src = document_id group by dst),
 gra as (select c.id as item, row_number() over (order by seed, c.document_id, chunk_index) as rank from picked c join near on n = c.document_id where chunk_index < 2),
-lists as (select 'fts' as source, * from lex union all select 'vector', * from vec union all select 'graph', * from gra),
-fused as (select item as chunk_id, sum(1.0::double / (60 + rank)) as score, count(*) as n_sources, string_agg(source || ':' || rank, ',' order by source || ':' || rank) as sources from lists group by item),
+lists as (select * from ({lists}) {of_kind}),
+fused as (select item as chunk_id, sum(1.0::double / (60 + rank)) as score, count(*) as n_sources, string_agg(source || ':' || rank, ',' order by case source when 'fts' then 0 when 'vector' then 1 else 2 end) as sources from lists group by item),
 scored as (select f.chunk_id, c.document_id, score {factor} as score, n_sources, sources, d.category, d.title, c.content from fused f join picked c on c.id = f.chunk_id left join docs d on d.id = c.document_id),
 top as (select row_number() over (order by round(score, 12) desc, n_sources desc, chunk_id, document_id) as rank, * from scored qualify rank <= {limit})
 {tail or "select rank::int as rank, chunk_id, document_id, round(score, 9) as score, n_sources, sources, category, title from top"}"""
@@ -100,8 +106,7 @@ select hops, round(cost, 3) as cost, array_to_string(path, '>') as path from way
 
 
 def _walk(a: str, b: str) -> str:
-    return f"""with recursive {CODE}, near_calls as (select * from calls where src <= 400 and dst <= 400),
-walk as (select {b} as id, 1 as hop, kind from near_calls where {a} = 10 union all select e.{b}, hop + 1, e.kind from walk w join near_calls e on e.{a} = w.id where hop < 3)
+    return f"""with recursive {CODE}, walk as (select {b} as id, 1 as hop, kind from calls where {a} = 10 union all select e.{b}, hop + 1, e.kind from walk w join calls e on e.{a} = w.id where hop < 3)
 select w.id, hop, w.kind, s.qualified_name, count(*) as ways from walk w join symbols s on s.id = w.id join files f on f.id = s.file_id group by all"""
 
 
@@ -129,6 +134,9 @@ impact as (select node, depth, relation, via, severity from ordered where k = 1)
 DEGREES = "select node, sum(i)::bigint as in_degree, sum(o)::bigint as out_degree, count(*) as total from (select src as node, 0 as i, 1 as o from {0} union all select dst, 1, 0 from {0}) group by node"
 DAMPED = "0.7 + 0.3 * pow(2.0, -greatest(1700000000 - updated_at, 0) / (30.0 * 86400))"
 
+TYPE = """(case when regexp_matches(lower({0}), 'decision|adr') then 'decision' when contains(lower({0}), 'concept') then 'concept' when regexp_matches(lower({0}), 'guide|howto|tutorial') then 'guide'
+    when regexp_matches(lower({0}), 'synthes|compiled') then 'synthesis' when regexp_matches(lower({0}), 'reference|doc') then 'reference' else 'other' end)"""
+
 SQL = {
     "hybrid_search": _hybrid(),
     "hybrid_search_decay": _hybrid(10, decay=True),
@@ -145,7 +153,7 @@ select chunk_id, array_to_string(list_transform(range(len(c) // 2), lambda i: su
 lists as (
     (select 'fts' as source, chunk_id as item, row_number() over (order by score desc, chunk_id) as rank from hits qualify rank <= 10)
     union all (select 'vector', chunk_id, row_number() over (order by 1 - list_cosine_similarity(e, q), chunk_id) as rank from vectors, qv qualify rank <= 10))
-select item, round(sum(1.0::double / (60 + rank)), 9) as score, count(*) as n_sources, string_agg(source || ':' || rank, ',' order by source || ':' || rank) as sources from lists group by item""",
+select item, round(sum(1.0::double / (60 + rank)), 9) as score, count(*) as n_sources, string_agg(source || ':' || rank, ',' order by case source when 'fts' then 0 when 'vector' then 1 else 2 end) as sources from lists group by item""",
     "time_decay": f"with {DOCS} select id, round(case when updated_at <= 0 then 1.0 else {DAMPED} end, 9) as decay from docs",
     "federated_merge": f"""with {DOCS}, {CHUNKS}, en as (select c.* from chunks c join docs d on d.id = c.document_id where lang = 'en'), {_bm25(['the', 'of'], 'en', 'lo')}, {_bm25(['the', 'of', 'and'], 'chunks', 'ce')},
 lists as (
@@ -180,7 +188,8 @@ select direct, indirect, critical, high, medium, low, risk, case when risk >= 75
     "graph_stats": f"""with {EDGES}, d as ({DEGREES.format('edges')}), a as (select count(*) as nodes, (sum(total) / 2)::bigint as edges, max(total) as max_degree, avg(total) as avg_degree, count(*) filter (total >= 4) as hubs from d)
 select *, edges::double / (nodes * (nodes - 1)) as density from a""",
     "graph_view": f"""with {EDGES}, d as ({DEGREES.format('edges')}), t as (select max(total)::double as top from d)
-select node, case when node like '#%' then 'tag' else 'note' end as type, total as degree, round(8 + 20 * total / top, 6) as radius, total >= 4 or total / top > 0.6 as hub from d, t""",
+select node, {TYPE.format('node')} as type, total as degree, round(8 + 20 * total / top + case when node = 'd5' then 6 else 0 end, 1) as radius, total >= 4 or total / top > 0.6 as hub,
+    case when node = 'd5' then '#f59e0b' when {TYPE.format('node')} = 'other' then '#64748b' else '#f43f5e' end as color from d, t""",
     "pack_context": NEAR2,
     "inspect_node": f"""with {EDGES}, {DOCS}, r as (select 'in' as side, src as node, relation, 1 as depth from edges where dst = 'd7' union all select 'out', dst, relation, 1 from edges where src = 'd7')
 select side, node, relation, {SEVERITY} as severity, node in (select id from docs) as exists from r""",
@@ -188,11 +197,29 @@ select side, node, relation, {SEVERITY} as severity, node in (select id from doc
 select node, round(r * cos(a))::bigint as x, round(r * sin(a))::bigint as y, case when cos(a) > 0.5 then 'right' when cos(a) < -0.5 then 'left' when sin(a) > 0 then 'bottom' else 'top' end as side from a""",
     "node_resolution": f"""with {DOCS}, t as (select id, case when id = 'fr/d' or path in ('fr/d', 'fr/d.md') then 0 when lower(title) = 'fr/d' then 1 when lower(title) like 'fr/d%' or lower(path) like 'fr/d%' then 2 when lower(title) like '%fr/d%' or lower(path) like '%fr/d%' then 3 end as tier from docs)
 select id from t where tier is not null order by tier, id limit 1""",
-    "node_types": f"with {EDGES} select case when node like '#%' then 'tag' else 'note' end as type, count(*) as nodes from (select src as node from edges union select dst from edges) group by 1",
+    "node_types": f"with {EDGES} select {TYPE.format('node')} as type, count(*) as nodes from (select src as node from edges union select dst from edges) group by 1",
     "edge_weights": f"with {EDGES} select relation, count(*) as edges, round(sum(weight), 6) as weight from edges group by 1",
     "chunk_200_30": f"with {DOCS}, {CHUNKS} select id, document_id, chunk_index, md5(content) as content_md5 from chunks",
     "content_hash": f"with {DOCS} select id, content_hash from docs where doc_id % 4 = 0",
-    "micro_abstract": f"with {DOCS} select id, {ABSTRACT.format('content')} as abstract, ceil(length(trim(content)) / 4.0)::bigint as tokens from docs",
+    "fallback_abstract": f"with {DOCS} select id, {ABSTRACT.format('content')} as abstract, ceil(length(trim(content)) / 4.0)::bigint as tokens from docs",
+    "hub_names": f"""with {EDGES}, {DOCS}, g as ({DEGREES.format('edges')} order by total desc, in_degree desc, node limit 20)
+select node, in_degree, out_degree, total, coalesce(nullif(trim(title), ''), node) as name from g left join docs on id = node""",
+    "pagerank_order": f"""with {EDGES}, g as ({DEGREES.format('edges')}) select row_number() over (order by round(total / 7.0::double, 12) desc, in_degree desc, node)::int as place, node, round(total / 7.0::double, 6) as rank, in_degree from g qualify place <= 25""",
+    "event_json_filter": f"with {LOG} select sequence, event_id, event_type from log where json_extract_string(payload, '$.k') = '69'",
+    "search_repository": _hybrid(repository="src3"),
+    "search_fts_mode": _hybrid(mode="fts"),
+    "symbol_case": f"with {CODE} select id, name as last from symbols where regexp_matches(qualified_name, '[A-Z]') and regexp_matches(qualified_name, '[a-z]')",
+    "ordered_merge": f"""with {EDGES}, a as (select src, list(dst order by dst) as o from edges group by src), b as (select dst as src, list(src order by src desc) as i from edges group by dst),
+c as (select src, unnest(list_concat(o, coalesce(i, []))) as x, generate_subscripts(list_concat(o, coalesce(i, [])), 1) as k from a left join b using (src)),
+d as (select src, x, min(k) as k from c group by src, x) select src, string_agg(x, ',' order by k) as neighbors from d group by src""",
+    "first_non_empty": f"""with {DOCS} select id as chunk_id, case when doc_id % 2 = 0 then 'two' else 'one' end as content, 'short' as abstract, category, updated_at, 'x,' || lang || ',y' as neighbors from docs""",
+    "zero_vectors": f"with {DOCS}, {CHUNKS}, {VECTORS} select c.id, 64 as dim, v.chunk_id is null as zero from chunks c left join vectors v on v.chunk_id = c.id",
+    "fts_unindexed": f"with {DOCS}, {CHUNKS}, {_bm25(['the', 'of', 'and'])} select chunk_id, round(score, 9) as score from hits order by hits.score desc, chunk_id limit 20",
+    "fts_phrase": f"""with {DOCS}, {CHUNKS}, t as (select id as chunk_id, regexp_extract_all(lower(strip_accents(content)), '[\\p{{L}}\\p{{Nd}}]+') as t from chunks),
+c as (select chunk_id, len(t) as len, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the')) as tf from t), s as (select count(*) as n, avg(len) as avg_len, count(*) filter (tf > 0) as df from c),
+h as (select chunk_id, (case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) as score from c, s where tf > 0)
+select chunk_id, round(score, 9) as score from h order by h.score desc, chunk_id limit 20""",
+    "similar_languages": f"""with {DOCS}, x as (select id, doc_id % 7 as k from docs) select id, ['go', 'python', 'cpp', 'javascript', 'python', 'php', 'shell'][k + 1] as language, k in (0, 4, 5) as code from x""",
     "doctor_dead_links": f"with {EDGES}, {DOCS}, {DIRTY} select src, dst, relation from dead",
     "doctor_orphans": f"""with {EDGES}, {DOCS}, {DIRTY}, e as (select * from dirty where relation <> 'links_to')
 select id from docs where id not in (select src from e) and id not in (select dst from e) and title not in (select dst from e)""",
@@ -204,12 +231,12 @@ select *, case when documents = 0 then 100 else greatest(0, 100 - least(40, 5 *
     "doctor_fix": f"with {EDGES}, {DOCS}, {DIRTY} select src, dst, relation from dirty d where src <> dst and not exists (select 1 from dead x where x.src = d.src and x.dst = d.dst and x.relation = d.relation)",
     "staleness_report": f"""with {DOCS}, disk as (select case when doc_id % 7 = 0 then path || '.new' else path end as path, updated_at + doc_id % 3 as mtime from docs where doc_id % 11 <> 0)
 select * from (select coalesce(a.path, b.path) as path, case when b.path is null then 'new' when a.path is null then 'deleted' when mtime > updated_at + 1 then 'modified' end as state from disk a full join docs b on a.path = b.path) where state is not null""",
-    "drift_scores": f"""with {NOTES}, m as (select id, updated_at, 1 as paths, additions + deletions as churn from notes join changes using (path) where times >= 2),
-r as (select id, paths, greatest(1, (select count(*) from nation where 1700000000 - n_nationkey * 864000 > m.updated_at)) as commits_behind, churn from m),
-s as (select id, paths::bigint as paths, commits_behind, churn::bigint as churn, round(least(100.0, least(40.0, 12.0 * commits_behind) + least(15.0, 30.0 * 0.015) + least(25.0, 5.0 * ln(1 + churn))), 1) as score from r)
-select *, case when score >= 75 then 'CRITICAL' when score >= 55 then 'HIGH' when score >= 30 then 'MEDIUM' else 'LOW' end as severity from s""",
-    "uncovered_code": f"""with {NOTES} select path, status, additions + deletions as churn, case status when 'A' then 'document' when 'D' then 'archive' when 'R' then 'rename' else 'review' end as action
-from changes where path not in (select path from notes where times >= 1 and k < 30 and id <> 'd7' and regexp_extract(id, '(\\d+)', 1)::bigint % 80 < 30)""",
+    "drift_scores": f"""with {NOTES}, {DRIFT} select * from drift""",
+    "drift_overall": f"""with {NOTES}, {DRIFT} select count(*) filter (score >= 30) as notes, coalesce(round(avg(score) filter (score >= 30), 1), 0.0) as overall, count(*) filter (severity = 'CRITICAL') as critical,
+    count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'LOW') as low from drift""",
+    "uncovered_code": f"""with {NOTES} select path, 'pkg' as package, status, additions + deletions as churn, case status when 'A' then 'Criar nova especificação ou ADR para novo módulo de código'
+    when 'D' then 'Verificar remoção de dependências e documentar depreciação' else 'Documentar mudanças arquiteturais ou criar nota de componente' end as action
+from changes where path not in (select path from notes where times >= 2)""",
     "prune_set": f"with {DOCS} select id from docs where path like 'fr/%' and doc_id % 6 = 0",
     "policy_decisions": f"""with {DOCS}, r as (select id, path, ['admin', 'bot', '', 'guest'][doc_id % 4 + 1] as actor, case when doc_id % 2 = 0 then 'read' else 'write' end as op from docs)
 select id as request, case when actor = '' then 'deny' when actor = 'admin' then 'allow' when op = 'read' and path like 'en/%' then 'allow' when actor = 'bot' and op = 'write' then 'review' else 'deny' end as decision from r""",
@@ -233,7 +260,7 @@ select sequence, greatest(0, epoch(timestamp '2030-01-01 00:00:00')::bigint - fl
     "events_trace": "select conv_id as correlation_id, turn as sequence, role from conversations where conv_id = 3",
     "events_replay_counts": f"""with {LOG}, l as (select * from log where sequence between 100 and 900)
 select 'all' as subscriber, count(*) as events from l union all select 'buy', count(*) from l where event_type = 'purchase' union all select 'c', count(*) from l where event_type like 'c%' union all select 'none', 0""",
-    "event_redaction": """with p as (select conv_id, turn, role, '{"prompt":"' || md5(text) || '","role":"' || role || '"}' as payload from conversations where length(text) < 2000)
+    "event_redaction": """with p as (select conv_id, turn, role, '{"prompt":"' || md5(text) || '","role":"' || role || '"}' as payload from conversations)
 select conv_id, turn, '{"prompt":"[REDACTED:prompt]","role":"' || role || '"}' as payload, sha256(payload) as payload_hash from p""",
     "debounce_sessions": """with c as (select user_id, ts, case event_type when 'signup' then 'CREATE' when 'error' then 'DELETE' else 'MODIFY' end as kind from events),
 g as (select *, case when ts < lag(ts) over w + interval 1 hour then 0 else 1 end as new from c window w as (partition by user_id order by ts)),

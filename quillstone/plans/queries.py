@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions.scoring import cosine, edge_weight, note_type, time_decay
 from quillstone.operators import code, events, graph, hygiene, retrieval
+from quillstone.plans.lineage import shared_dir
 from quillstone.sources import vault
 from quillstone.sources.vault import read
 
@@ -15,6 +18,16 @@ NOW = 1700000000
 QUERY = "the of and"
 
 
+_indexes: dict[tuple, retrieval.LexicalIndex] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """Path, sizes and times of an input."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return path, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
+
+
 class Store:
     """Lazy logical tables of one scale factor."""
 
@@ -25,6 +38,13 @@ class Store:
         self.vectors = vault.vectors(spark, sf_dir, self.docs)
         self.edges = vault.document_edges(self.docs)
 
+    def index(self) -> retrieval.LexicalIndex:
+        """The chunks' lexical index: written once for a session and the state of its input, as an ingest would."""
+        key = (self.spark.sparkContext.applicationId, *_state(self.spark, f"{self.dir}/documents.parquet"))
+        if key not in _indexes:
+            _indexes[key] = retrieval.LexicalIndex.build(self.chunks, f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}")
+        return _indexes[key]
+
     def query_vector(self) -> list[float]:
         return read(self.spark, self.dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]
 
@@ -62,6 +82,66 @@ class Store:
         return self.docs.select("id", "updated_at", F.repeat(path, (F.col("doc_id") % 3).cast("int")).alias("content"))
 
 
+def _micro(s: Store) -> DataFrame:
+    return s.docs.select("id", T.micro_abstract("content").alias("abstract"))
+
+
+def _hub_names(s: Store) -> DataFrame:
+    return graph.named_degrees(s.edges, s.docs, 20)
+
+
+def _pagerank_order(s: Store) -> DataFrame:
+    ranks = graph.degrees(s.edges).select("node", (F.col("total") / 7).alias("rank"))
+    return graph.pagerank_order(s.edges, ranks, 25).select("place", "node", F.round("rank", 6).alias("rank"), "in_degree")
+
+
+def _event_json(s: Store) -> DataFrame:
+    return events.by_json(s.log(), "$.k", "69").select("sequence", "event_id", "event_type")
+
+
+def _hybrid_repository(s: Store) -> DataFrame:
+    return _hybrid(s, repository="src3")
+
+
+def _hybrid_fts(s: Store) -> DataFrame:
+    return _hybrid(s, mode="fts")
+
+
+def _symbol_case(s: Store) -> DataFrame:
+    return s.code()[1].where(T.camel_or_pascal("qualified_name")).select("id", T.last_segment("qualified_name").alias("last"))
+
+
+def _merge(s: Store) -> DataFrame:
+    near = s.edges.groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("out"))
+    back = s.edges.groupBy(F.col("dst").alias("src")).agg(F.sort_array(F.collect_list("src"), asc=False).alias("inn"))
+    return near.join(back, "src", "left").select("src", F.array_join(T.merged("out", "inn"), ",").alias("neighbors"))
+
+
+def _first_non_empty(s: Store) -> DataFrame:
+    d = s.docs
+    a = d.select(F.col("id").alias("chunk_id"), F.lit(0).alias("position"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("one").alias("content"), F.lit("").alias("abstract"), F.lit("resource").alias("category"), "updated_at", F.array(F.lit("x"), F.col("lang")).alias("neighbors"))
+    b = d.select("id", F.lit(1), F.lit("two"), F.lit("short"), "category", F.col("updated_at") - 5, F.array(F.col("lang"), F.lit("y")))
+    return retrieval.merge_first(a.union(b)).withColumn("neighbors", F.array_join("neighbors", ","))
+
+
+def _zero_vectors(s: Store) -> DataFrame:
+    rows = retrieval.with_vectors(s.chunks.select("id"), s.vectors, 64)
+    return rows.select("id", F.size("embedding").alias("dim"), F.forall("embedding", lambda x: x == 0).alias("zero"))
+
+
+def _fts_scan(s: Store) -> DataFrame:
+    return retrieval.bm25(s.chunks, QUERY, 20).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+def _fts_phrase(s: Store) -> DataFrame:
+    return s.index().bm25("of_the", 20).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+def _languages(s: Store) -> DataFrame:
+    paths = s.docs.select("id", F.concat(F.lit("src/f."), F.element_at(F.array(*map(F.lit, ["go", "pyi", "hh", "mjs", "ps1", "php", "bash"])), (F.col("doc_id") % 7 + 1).cast("int"))).alias("path"))
+    return paths.select("id", T.detect_language("path", F.lit("#!/usr/bin/env python3")).alias("language"), T.is_code_file("path").alias("code"))
+
+
 def _hub_degrees(s: Store) -> DataFrame:
     return graph.degrees(s.business(), 20)
 
@@ -119,7 +199,7 @@ def _graph_stats(s: Store) -> DataFrame:
 def _graph_view(s: Store) -> DataFrame:
     e = s.edges
     ranks = graph.degrees(e).select("node", F.col("total").cast("double").alias("rank"))
-    return graph.view(e, ranks).select("node", "type", "degree", F.round("radius", 6).alias("radius"), "hub")
+    return graph.view(e, ranks, "d5").select("node", "type", "degree", "radius", "hub", "color")
 
 
 def _pack(s: Store) -> DataFrame:
@@ -128,7 +208,7 @@ def _pack(s: Store) -> DataFrame:
 
 
 def _inspect(s: Store) -> DataFrame:
-    return graph.inspect(s.edges, s.docs.select(F.col("id").alias("node")), "d7")
+    return graph.inspect(s.edges, s.docs.select(F.col("id").alias("node")), "d7").drop("rank")
 
 
 def _canvas(s: Store) -> DataFrame:
@@ -153,7 +233,7 @@ def _abstract(s: Store) -> DataFrame:
 
 
 def _fts(s: Store) -> DataFrame:
-    return retrieval.bm25(s.chunks, QUERY, 20).select("chunk_id", F.round("score", 9).alias("score"))
+    return s.index().bm25(QUERY, 20).select("chunk_id", F.round("score", 9).alias("score"))
 
 
 def _knn(metric: str):
@@ -177,7 +257,7 @@ def _quant_codes(s: Store) -> DataFrame:
 
 
 def _lists(s: Store) -> tuple[DataFrame, DataFrame]:
-    lex = retrieval.ranked(retrieval.bm25(s.chunks, QUERY, 10), "fts", [F.desc("score"), "chunk_id"])
+    lex = retrieval.ranked(s.index().bm25(QUERY, 10), "fts", [F.desc("score"), "chunk_id"])
     return lex, retrieval.ranked(retrieval.knn(s.vectors, s.query_vector(), 10), "vector", ["distance", "chunk_id"])
 
 
@@ -187,7 +267,7 @@ def _rrf(s: Store) -> DataFrame:
 
 
 def _hybrid(s: Store, **more) -> DataFrame:
-    found = retrieval.hybrid(s.docs, s.chunks, s.vectors, s.edges, QUERY, s.query_vector(), **more)
+    found = retrieval.hybrid(s.docs, s.chunks, s.vectors, s.edges, QUERY, s.query_vector(), index=s.index(), **more)
     return found.select("rank", "chunk_id", "document_id", F.round("score", 9).alias("score"), "n_sources", "sources", "category", "title")
 
 
@@ -196,7 +276,7 @@ def _hybrid_decay(s: Store) -> DataFrame:
 
 
 def _hybrid_l0(s: Store) -> DataFrame:
-    return retrieval.hybrid(s.docs, s.chunks, s.vectors, s.edges, QUERY, s.query_vector(), level="l0").select("rank", "document_id", F.round("score", 9).alias("score"), "abstract")
+    return retrieval.hybrid(s.docs, s.chunks, s.vectors, s.edges, QUERY, s.query_vector(), level="l0", index=s.index()).select("rank", "document_id", F.round("score", 9).alias("score"), "abstract")
 
 
 def _hybrid_category(s: Store) -> DataFrame:
@@ -209,8 +289,8 @@ def _decay(s: Store) -> DataFrame:
 
 def _federated(s: Store) -> DataFrame:
     en = s.chunks.join(s.docs.where("lang = 'en'").select(F.col("id").alias("document_id")), "document_id", "left_semi")
-    local = retrieval.ranked(retrieval.bm25(en, "the of", 10), "local", [F.desc("score"), "chunk_id"])
-    central = retrieval.ranked(retrieval.bm25(s.chunks, "the of and", 10), "central", [F.desc("score"), "chunk_id"])
+    local = retrieval.ranked(s.index().bm25("the of", 10, en.select(F.col("id").alias("chunk_id"))), "local", [F.desc("score"), "chunk_id"])
+    central = retrieval.ranked(s.index().bm25("the of and", 10), "central", [F.desc("score"), "chunk_id"])
     return retrieval.federate(local, central, 10).select("item", F.round("score", 9).alias("score"), "origin")
 
 
@@ -269,6 +349,11 @@ def _uncovered(s: Store) -> DataFrame:
     return hygiene.uncovered(s.notes(), s.changes())
 
 
+def _drift_overall(s: Store) -> DataFrame:
+    commits = read(s.spark, s.dir, "nation").select((NOW - F.col("n_nationkey").cast("long") * 86400 * 10).alias("at"))
+    return hygiene.drift_overall(hygiene.drift(s.notes(), s.changes(), commits), 0.3)
+
+
 def _prune(s: Store) -> DataFrame:
     return hygiene.prune(s.docs, s.docs.where("doc_id % 6 <> 0"), "fr")
 
@@ -373,9 +458,9 @@ QUERIES = {
     "hybrid_search": _hybrid, "hybrid_search_decay": _hybrid_decay, "search_level_l0": _hybrid_l0, "category_filter": _hybrid_category, "fts_bm25": _fts, "knn_cosine": _knn("cosine"), "knn_l2": _knn("l2"),
     "quant4_search": _quant_search, "quant4_roundtrip": _quant_roundtrip, "quant4_codes": _quant_codes, "rrf_two_sources": _rrf, "time_decay": _decay, "federated_merge": _federated, "latent_pairs_jaccard": _latent_jaccard, "latent_pairs_cosine": _latent_cosine,
     "hub_degrees": _hub_degrees, "neighbors_k2": _neighbors_k2, "ego_graph": _ego_graph, "pagerank_5it": _pagerank, "modularity_by_nation": _modularity, "communities_lpa": _communities, "community_summary": _community_summary,
-    "impact_depth2": _impact, "impact_summary": _impact_summary, "path_epistemic": _path("epistemic"), "path_hops": _path("hops"), "graph_stats": _graph_stats, "graph_view": _graph_view, "pack_context": _pack, "inspect_node": _inspect, "canvas_layout": _canvas, "node_resolution": _resolve, "node_types": _node_types, "edge_weights": _edge_weights,
-    "chunk_200_30": _chunks, "content_hash": _content_hash, "micro_abstract": _abstract,
-    "doctor_dead_links": _dead, "doctor_orphans": _orphans, "doctor_self_loops": _loops, "doctor_health": _health, "doctor_fix": _fixed, "staleness_report": _staleness, "drift_scores": _drift, "uncovered_code": _uncovered, "prune_set": _prune, "policy_decisions": _policy, "precondition": _precondition,
+    "impact_depth2": _impact, "impact_summary": _impact_summary, "path_epistemic": _path("epistemic"), "path_hops": _path("hops"), "graph_stats": _graph_stats, "graph_view": _graph_view, "pack_context": _pack, "inspect_node": _inspect, "canvas_layout": _canvas, "node_resolution": _resolve, "node_types": _node_types, "edge_weights": _edge_weights, "hub_names": _hub_names, "pagerank_order": _pagerank_order, "event_json_filter": _event_json, "search_repository": _hybrid_repository, "search_fts_mode": _hybrid_fts, "symbol_case": _symbol_case, "ordered_merge": _merge, "first_non_empty": _first_non_empty, "zero_vectors": _zero_vectors, "fts_unindexed": _fts_scan, "fts_phrase": _fts_phrase, "similar_languages": _languages,
+    "chunk_200_30": _chunks, "content_hash": _content_hash, "fallback_abstract": _abstract, "micro_abstract": _micro,
+    "doctor_dead_links": _dead, "doctor_orphans": _orphans, "doctor_self_loops": _loops, "doctor_health": _health, "doctor_fix": _fixed, "staleness_report": _staleness, "drift_scores": _drift, "drift_overall": _drift_overall, "uncovered_code": _uncovered, "prune_set": _prune, "policy_decisions": _policy, "precondition": _precondition,
     "code_search_boost": _code_search, "code_walk_out": _code_walk("out"), "code_walk_in": _code_walk("in"), "code_stats": _code_stats, "code_orphans": _code_orphans, "symbol_reference_edges": _references, "ast_hash": _ast_hash,
     "events_by_type": _events_by_type, "events_oldest_unacked": _oldest, "events_unacked_for_subscriber": _unacked, "events_tail": _tail, "events_trace": _trace, "events_replay_counts": _replay, "event_redaction": _redaction, "debounce_sessions": _debounce, "projection_latest": _latest,
 }

@@ -112,6 +112,102 @@ def test_ingest_and_code(spark, tmp_path):
     assert {(r.kind, r.name, r.start_line) for r in s.collect()} == {("func", "Run", 2), ("type", "T", 4)}
 
 
+def test_note_types_and_colors(spark):
+    from quillstone.functions.scoring import community_color, note_type, type_color
+
+    rows = spark.createDataFrame([("docs/guide.md", 0), ("reference/y", 1), ("decision-1", 12), ("x/ADR-7", 13), ("my-concept", 2), ("howto/a", 3), ("synthesis", 4), ("compiled", 5), ("plain", -1)], "node string, c int")
+    got = rows.select("node", note_type("node").alias("t"), community_color("c").alias("k")).withColumn("k2", type_color("t")).collect()
+    assert [r.t for r in got] == ["guide", "reference", "decision", "decision", "concept", "guide", "synthesis", "synthesis", "other"]
+    assert [r.k for r in got][:4] == ["#64748b", "#6366f1", "#eab308", "#6366f1"] and got[-1].k == got[-1].k2 == "#64748b"
+
+
+def test_fixed_lists(spark):
+    r = spark.range(1).select(
+        T.wikilinks(F.lit("[[supports:X]] [[Y|fixes]] [[contradicts:Z]]")).alias("w"),
+        T.is_code_file(F.lit("a/b.PS1")).alias("ps1"), T.is_code_file(F.lit("a.scala")).alias("scala"),
+        *(T.detect_language(F.lit(p), F.lit(h)).alias(f"l{i}") for i, (p, h) in enumerate([("a.c", ""), ("a.pyi", ""), ("run", "#!/usr/bin/env python3\nx"), ("run", "#!/bin/sh"), ("run", "#!/usr/bin/node"), ("a.cjs", "")])),
+    ).first()
+    assert [(w.target, w.relation) for w in r.w] == [("X", "supports"), ("Y", "fixes"), ("contradicts:Z", "links_to")]
+    assert r.ps1 and not r.scala and [r[f"l{i}"] for i in range(6)] == ["cpp", "python", "python", "shell", None, "javascript"]
+    docs = spark.createDataFrame([(p, p, p) for p in ("docs/adr/1.md", "x/.specs/a.md", "archive/a.md", r"a\\.github\\b.md".replace("\\\\", "\\"))], "id string, path string, title string")
+    assert [r.id for r in hygiene.orphans(edges(spark, ("q", "r")), docs).collect()] == ["archive/a.md"]
+
+
+def test_mentions_and_uncovered(spark):
+    notes = spark.createDataFrame([("a", "See ./src/pkg/f1.go, then src/pkg/f1.go.", 1), ("b", "pkg/f1.go once; main.go main.go", 2), ("c", None, 3)], "id string, content string, updated_at long")
+    changes = spark.createDataFrame([("pkg/f1.go", "A", 3, 1), ("main.go", "M", 1, 1), ("Lost/f2.go", "D", 9, 9), ("x/notes.md", "A", 1, 1)], "path string, status string, additions long, deletions long")
+    assert {(r.id, r.path, r.n) for r in hygiene.mentions(notes, changes).collect()} == {("a", "pkg/f1.go", 2), ("b", "main.go", 2)}
+    got = hygiene.uncovered(notes, changes).collect()
+    assert [(r.path, r.package, r.churn) for r in got] == [("Lost/f2.go", "Lost", 18)] and got[0].action.startswith("Verificar")
+    commits = spark.createDataFrame([(5,), (9,)], "at long")
+    found = hygiene.drift(notes, changes, commits)
+    assert [(r.id, r.commits_behind) for r in found.collect()] == [("a", 2), ("b", 2)]
+    o = hygiene.drift_overall(found).first()
+    assert (o.notes, o.critical + o.high + o.medium + o.low) == (2, 2) and o.overall == pytest.approx(sum(r.score for r in found.collect()) / 2, abs=0.051)
+
+
+def test_chunks_of_long_texts(spark):
+    words = [f"w{i}" for i in range(20_000)]
+    rows = spark.createDataFrame([(1, " ".join(words)), (2, "a  b"), (3, " "), (4, None)], "k int, x string").select("k", T.chunk_text("x").alias("c"))
+    got = {r.k: r.c for r in rows.collect()}
+    assert got[1] == [" ".join(words[i : i + 200]) for i in range(0, 19_891, 170)] and got[1][-1].endswith("w19999") and len(got[1]) == 118
+    assert got[2] == ["a  b"] and not got[3] and not got[4]
+
+
+def test_lexical_search(spark, tmp_path):
+    chunks = spark.createDataFrame([("a", "The snake_case name of a Café"), ("b", "snake and case, of cafes"), ("c", "case snake"), ("d", ""), ("e", "café café")], "id string, content string")
+    index = retrieval.LexicalIndex.build(chunks, str(tmp_path / "index"))
+    for q in ("snake_case", "cafe", "snake case", "of café", "zzz", "", "CASE"):
+        a = {r.chunk_id: r.score for r in retrieval.bm25(chunks, q).collect()}
+        assert a == pytest.approx({r.chunk_id: r.score for r in index.bm25(q).collect()}), q
+        some = chunks.where("id <> 'e'")
+        assert {r.chunk_id: r.score for r in retrieval.bm25(some, q).collect()} == pytest.approx({r.chunk_id: r.score for r in index.bm25(q, within=some.select(F.col("id").alias("chunk_id"))).collect()}), q
+    ids = lambda q: {r.chunk_id for r in index.bm25(q).collect()}
+    assert ids("snake_case") == {"a"} and ids("snake case") == {"a", "b", "c"} and ids("cafe") == {"a", "e"}
+
+
+def test_vectors_and_fallbacks(spark):
+    v = spark.createDataFrame([("x", [1.0, -2.5, 0.0]), ("y", None)], "chunk_id string, embedding array<float>")
+    blobs = v.select("chunk_id", retrieval.to_blob().alias("data"))
+    assert bytes(blobs.first().data) == b"\x00\x00\x80?\x00\x00 \xc0\x00\x00\x00\x00"
+    assert {r.chunk_id: r.e for r in blobs.select("chunk_id", retrieval.from_blob().alias("e")).collect()} == {"x": [1.0, -2.5, 0.0], "y": None}
+    chunks = spark.createDataFrame([("x",), ("z",)], "id string")
+    assert {r.id: r.embedding for r in retrieval.with_vectors(chunks, v, 3).collect()} == {"x": [1.0, -2.5, 0.0], "z": [0.0] * 3}
+    codes = retrieval.quantize(spark.createDataFrame([("q", [1.0, 0.0])], "chunk_id string, embedding array<float>"), 2)
+    assert retrieval.knn_or_codes(v.limit(0), codes, [1.0, 0.0], 3).first().chunk_id == "q"
+    one = lambda *items: spark.createDataFrame([(i + 1, x) for i, x in enumerate(items)], "rank int, item string")
+    broken = lambda: spark.read.parquet("/no/such/store")
+    both, note = retrieval.federated_search(lambda: one("a", "b"), lambda: one("b"))
+    assert [(r.item, r.origin) for r in both.collect()] == [("b", "[local+central]"), ("a", "[local]")] and note == ""
+    only, note = retrieval.federated_search(lambda: one("a"), broken)
+    assert [r.item for r in only.collect()] == ["a"] and note == "central unavailable"
+    far, note = retrieval.federated_search(broken, lambda: one("c"))
+    assert [(r.item, r.origin) for r in far.collect()] == [("c", "[central]")] and note == "local unavailable"
+    with pytest.raises(Exception):
+        retrieval.federated_search(broken, broken)
+
+
+def test_graph_outputs(spark):
+    e = edges(spark, ("d1", "d2"), ("d2", "d3"), ("d3", "d1"), ("x", "d1", "implements", "INFERRED", 0.6), ("d1", "gone"))
+    ranks = graph.pagerank(e)
+    seen = {r.node: r for r in graph.view(e, ranks, "d1", graph.communities(e)).collect()}
+    top = max(r.rank for r in seen.values())
+    assert seen["d1"].radius == round(8 + 20 * seen["d1"].rank / top + 6, 1) and seen["d1"].color == "#f59e0b" and seen["d1"].hub and seen["d1"].community == 1
+    assert '"color":"#818cf8"' in graph.view_json(graph.view(e, ranks), e).first().json
+    assert [(r.side, r.node) for r in graph.inspect(e, spark.createDataFrame([("d2",), ("d3",)], "node string"), "d1", ranks).collect()] == [("in", "x"), ("in", "d3"), ("out", "d2"), ("out", "gone")]
+    docs = spark.createDataFrame([("d1", "One", "Body one", "Short"), ("d2", "", "Body two " * 50, "Brief\ntext"), ("d3", "Three", "Body three " * 500, "T " * 500)], "id string, title string, content string, abstract string")
+    assert {r.node: r.name for r in graph.named_degrees(e, docs).collect()}["d2"] == "d2"
+    text = graph.bundle(graph.pack(e, docs, "d1", 2, 60), docs, "d1", 2, 60).first().text
+    assert text.startswith("# 📦 Pacote de Contexto: One\n") and "Body one" in text and "Brief text" in text and "- `d3`" in text and "Body three" not in text
+    assert [r.place for r in graph.pagerank_order(e, ranks, 2).collect()] == [1, 2]
+    assert graph.stats(e).first().hubs == 1 and graph.stats(e, ranks).first().hubs >= 1
+
+
+def test_small_text_functions(spark):
+    r = spark.range(1).select(T.camel_or_pascal(F.lit("aB")).alias("a"), T.camel_or_pascal(F.lit("ab")).alias("b"), T.light_wikilinks(F.lit("[[a|b]] `[[c]]` [[a|b]]")).alias("w"), T.repo_id().alias("r"), T.merged(F.array(F.lit("x"), F.lit("y")), F.array(F.lit("y"), F.lit("z"))).alias("m")).first()
+    assert r.a and not r.b and r.w == ["a|b", "c", "a|b"] and len(r.r) == 17 and r.m == ["x", "y", "z"]
+
+
 def test_streaming_projection(spark, tmp_path):
     from quillstone.streaming import runtime
 
