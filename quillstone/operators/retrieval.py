@@ -19,20 +19,14 @@ K1, B = 1.2, 0.75
 SOURCES = ("fts", "vector", "graph")
 
 
-#: Parts that an index's terms are dealt to.
-BUCKETS = 64
+#: Parts that an index's terms are dealt to, and parts of those by chunk, as one term may hold much of a corpus.
+BUCKETS, SALTS = 16, 2
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, len, places) of every chunk (id, content); places: where the term stands, for phrases."""
-    t = chunks.select(F.col("id").alias("chunk_id"), lexical_tokens("content").alias("t"))
-    words = t.select("chunk_id", F.size("t").alias("len"), F.posexplode("t").alias("place", "term"))
-    # A chunk's words are in one partition, so its terms are put together before anything is dealt.
-    return words.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"), F.sort_array(F.collect_list("place")).alias("places"))
-
-
-def _minus(n: int) -> Callable[[Column], Column]:
-    return lambda x: x - n
+    """(term, chunk_id, place, len) of every word of every chunk (id, content); nothing is dealt."""
+    t = chunks.select(F.col("id").alias("chunk_id"), F.explode(F.array(lexical_tokens("content"))).alias("t"))
+    return t.select("chunk_id", F.size("t").alias("len"), F.posexplode("t").alias("place", "term"))
 
 
 class LexicalIndex:
@@ -42,29 +36,27 @@ class LexicalIndex:
         self.spark, self.folder = spark, folder
 
     @classmethod
-    def build(cls, chunks: DataFrame, folder: str) -> LexicalIndex:
-        """Writes the index of chunks (id, content): one scan for the postings, one for the statistics."""
+    def build(cls, chunks: DataFrame, folder: str, salts: int = SALTS) -> LexicalIndex:
+        """Writes the index of chunks (id, content): one scan and one exchange. salts: tasks that share a bucket, to be raised with the corpus."""
         rows = postings(chunks).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
-        rows.repartition(BUCKETS, "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
+        dealt = rows.repartition(BUCKETS * salts, "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
+        dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
         found = cls(chunks.sparkSession, folder)
-        known = found.spark.read.parquet(f"{folder}/postings").groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.sum("len").alias("words"))
-        chunks.agg(F.count("*").alias("n")).join(known).select("n", (F.coalesce("words", F.lit(0)) / F.greatest("n", F.lit(1))).alias("avg_len")).write.mode("overwrite").parquet(f"{folder}/stats")
+        # A posting is a word: their number is the sum of lengths.
+        words = found.read().agg(F.count("*").alias("words"))
+        chunks.agg(F.count("*").alias("n")).join(words).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avg_len")).write.mode("overwrite").parquet(f"{folder}/stats")
         return found
 
-    def phrase(self, terms: list[str]) -> DataFrame:
+    def read(self) -> DataFrame:
+        return self.spark.read.schema("term string, chunk_id string, place int, len int, bucket long").parquet(f"{self.folder}/postings")
+
+    def phrase(self, terms: list[str], buckets: dict[str, int]) -> DataFrame:
         """(chunk_id, len, tf): chunks with the terms side by side, and how often."""
-        rows = self.spark.read.parquet(f"{self.folder}/postings")
-        # Bucket numbers come from the driver, so that only their folders are read.
-        keys = self.spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).collect()
-        rows = rows.where(F.col("bucket").isin(sorted({k[0] for k in keys})))
         out = None
         for i, term in enumerate(terms):
-            one = rows.where(F.col("term") == term).select("chunk_id", "len", F.transform("places", _minus(i)).alias("at"))
-            if out is None:
-                out = one
-            else:
-                out = out.join(one.select("chunk_id", F.col("at").alias("also")), "chunk_id").select("chunk_id", "len", F.array_intersect("at", "also").alias("at"))
-        return out.select("chunk_id", "len", F.size("at").alias("tf")).where("tf > 0")
+            one = self.read().where((F.col("bucket") == buckets[term]) & (F.col("term") == term)).select("chunk_id", "len", (F.col("place") - i).alias("at"))
+            out = one if out is None else out.join(one.drop("len"), ["chunk_id", "at"])
+        return out.groupBy("chunk_id").agg(F.first("len").alias("len"), F.count("*").alias("tf"))
 
     def bm25(self, query: str, limit: int | None = None, within: DataFrame | None = None) -> DataFrame:
         """(chunk_id, score) of chunks that hold all phrases of the query, best first; within: only chunks (chunk_id) of a subset, whose own statistics count."""
@@ -72,11 +64,14 @@ class LexicalIndex:
         stats = self.spark.read.parquet(f"{self.folder}/stats")
         if not phrases:
             return stats.where(F.lit(False)).select(F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"))
-        parts = [self.phrase(p) for p in phrases]
+        # Bucket numbers come from the driver, so that only the folders of the terms are read.
+        terms = sorted({t for p in phrases for t in p})
+        numbers = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)).alias(f"b{i}") for i, t in enumerate(terms))).first()
+        parts = [self.phrase(p, dict(zip(terms, numbers, strict=True))) for p in phrases]
         if within is not None:
             parts = [p.join(within, "chunk_id", "left_semi") for p in parts]
-            lens = self.spark.read.parquet(f"{self.folder}/postings").groupBy("chunk_id").agg(F.first("len").alias("len"))
-            stats = within.join(lens, "chunk_id", "left").agg(F.count("*").alias("n"), F.avg(F.coalesce("len", F.lit(0))).alias("avg_len"))
+            words = self.read().select("chunk_id").join(within, "chunk_id", "left_semi").agg(F.count("*").alias("words"))
+            stats = within.agg(F.count("*").alias("n")).join(words).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avg_len"))
         rows = None
         for i, part in enumerate(parts):
             df = part.agg(F.count("*").alias(f"df{i}"))

@@ -23,3 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the session's shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, size: int) -> DataFrame:
+    """df over all cores, if its files (bytes) are too few for a split of 32 MB each: a small file is one split, however much work its rows are. Larger inputs stay where they lie."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < cores << 25 else df

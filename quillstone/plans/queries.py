@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.functions.scoring import cosine, edge_weight, note_type, time_decay
 from quillstone.operators import code, events, graph, hygiene, retrieval
-from quillstone.plans.lineage import shared_dir
+from quillstone.plans.lineage import shared_dir, spread
 from quillstone.sources import vault
 from quillstone.sources.vault import read
 
@@ -42,7 +42,7 @@ class Store:
         """The chunks' lexical index: written once for a session and the state of its input, as an ingest would."""
         key = (self.spark.sparkContext.applicationId, *_state(self.spark, f"{self.dir}/documents.parquet"))
         if key not in _indexes:
-            _indexes[key] = retrieval.LexicalIndex.build(self.chunks, f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}")
+            _indexes[key] = retrieval.LexicalIndex.build(vault.chunks(spread(self.docs, sum(f[1] for f in key[2]))), f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}")
         return _indexes[key]
 
     def query_vector(self) -> list[float]:
