@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import arrow_map, kept
 
 #: Keys in the newer of two generations of the worker's cache.
-CACHE_WORDS = 60_000
+CACHE_WORDS = 150_000
 QUERY_WORDS = 20_000
-TEXT_BYTES = 1_000_000
+TEXT_BYTES = 4_000_000
 LONG = 64
 #: Longer words are contracted with a heap; a position in the recursive query is below 1024.
 HEAP = 512
@@ -47,7 +47,7 @@ HEAP = 512
 FIRST, PIECE = b"\xfe", b"\xff"
 #: A stop or comma after a letter, with nothing but white space behind, is a match by itself.
 MARKS = re.compile(rb"(?<=[a-zA-Z])[.,](?= |\Z)")
-DUCKDB = {"threads": 1, "memory_limit": "100MB"}
+DUCKDB = {"threads": 1, "memory_limit": "150MB"}
 
 # A row's place is its word and its position in one number, so that one sort finds the next token of all words.
 CONTRACT = """
