@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, classifier, html_text, licenses, mixing, ngram_join, quality_rules, substring_dedup, token_counts, topk
+from quillstone.llm import bpe, classifier, conversations, html_text, licenses, mixing, ngram_join, quality_rules, substring_dedup, token_counts, topk
 from quillstone.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -56,12 +56,16 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_exact_top_k, op4_ngram_jaccard_join, op5_token_counts, op6_html_text, op7_substring_dedup, op8_quality_rules, op9_mixing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_exact_top_k, op4_ngram_jaccard_join, op5_token_counts, op6_html_text, op7_substring_dedup, op8_quality_rules, op9_mixing, op10_quality_classifier, op12_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": TOP_K, "op9_mixing": MIXING}
+    return {"op3_exact_top_k": TOP_K, "op9_mixing": MIXING, "op12_conversation_repair": CONVERSATIONS}
 
 
 TOP_K = """
@@ -108,3 +112,68 @@ select doc_id, size, source_size, round(target, 6) as target,
     (size * (whole + case when split then (before + upto - size / 2 <= want)::int else (before + words <= want)::int end))::bigint as taken
 from joined
 """
+
+CONVERSATIONS = r"""
+with recursive named as (
+    select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+summed as (
+    -- CRC-32, bit by bit
+    select *, xor(list_reduce(flatten(list_transform(string_split(name, ''), lambda ch: list_transform(range(8), lambda i: (ascii(ch)::bigint >> i) & 1))),
+        lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1)), 4294967295::bigint), 4294967295) % 20 as kind
+    from named),
+hurt as (
+    select conv_id, turn, case kind when 4 then 'user' else coalesce(role, ' ') end as role,
+        case kind when 1 then '' when 2 then translate(coalesce(text, ' '), '.!?', '') else coalesce(text, ' ') end as text,
+        unnest(range(case kind when 0 then 0 when 3 then 2 else 1 end)) as copy
+    from summed),
+placed as (
+    select *, row_number() over (partition by conv_id order by turn nulls first, role, md5(text), copy) as n,
+        row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 as again,
+        lag(role[1]) over (partition by conv_id order by turn nulls first, role, md5(text), copy) as before,
+        regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) as last
+    from hurt),
+faults as (
+    select *, case when last = '' then 'b' when again then 'd' when last not in ('.', '!', '?') then 't' else '' end as fault from placed),
+-- A layer: the states' least (cost, audit, state); states 0 to 3: nothing yet, after s, u, a.
+layers as (
+    select conv_id, 0 as n, [{'c': 0, 'a': '', 's': 0}, {'c': 3, 'a': 'I', 's': 2}, {'c': 6, 'a': 'II', 's': 3}] as layer
+    from (select distinct conv_id from conversations)
+    union all
+    select conv_id, n, list_filter(list_transform([0, 1, 2, 3], lambda s: list_sort(list_filter(all_ways, lambda w: w.s = s))[1]), lambda w: w is not null)
+    from (
+        select conv_id, n, flatten([ways, one, two, list_transform(two, lambda w: {'c': w.c + 3, 'a': w.a || 'I', 's': case when w.s = 2 then 3 else 2 end})]) as all_ways
+        from (
+            select *, list_transform(one, lambda w: {'c': w.c + 3, 'a': w.a || 'I', 's': case when w.s = 2 then 3 else 2 end}) as two
+            from (
+                select *, list_transform(ways, lambda w: {'c': w.c + 3, 'a': w.a || 'I', 's': case when w.s = 2 then 3 else 2 end}) as one
+                from (
+                    select f.conv_id, f.n::int as n, flatten([
+                        list_transform(layer, lambda w: {'c': w.c + 4, 'a': w.a || 'D', 's': w.s}),
+                        case when fault in ('b', 'd') then [] else list_transform(layer, lambda w: {'c': w.c + 3 + (fault = 't')::int * 3, 'a': w.a || 'R', 's': case when w.s = 2 then 3 else 2 end}) end,
+                        case when fault in ('b', 'd') then [] else list_transform(
+                            list_filter(layer, lambda w: case role[1] when 's' then w.s = 0 when 'u' then w.s <> 2 when 'a' then w.s = 2 else false end),
+                            lambda w: {'c': w.c + (fault = 't')::int * 3, 'a': w.a || 'K', 's': case role[1] when 's' then 1 when 'u' then 2 else 3 end}) end]) as ways
+                    from layers l join faults f on f.conv_id is not distinct from l.conv_id and f.n = l.n + 1))))),
+best as (
+    select conv_id, list_sort(list_filter(arg_max(layer, n), lambda w: w.s in (0, 3)))[1] as way from layers group by conv_id),
+-- The audit's letters one by one: what is said so far, the state, the row.
+walks as (
+    select conv_id, way.a as audit, 1 as k, 0 as s, 0 as n, []::varchar[] as said from best
+    union all
+    select w.conv_id, audit, k + 1,
+        case when audit[k] = 'D' then s when audit[k] = 'K' then case f.role[1] when 's' then 1 when 'u' then 2 else 3 end when s = 2 then 3 else 2 end,
+        w.n + (audit[k] <> 'I')::int,
+        case audit[k] when 'D' then said when 'K' then list_append(said, f.role || ':' || f.text)
+            else list_append(said, case when s = 2 then 'assistant:' else 'user:' end || case audit[k] when 'I' then '' else f.text end) end
+    from walks w left join faults f on f.conv_id is not distinct from w.conv_id and f.n = w.n + 1
+    where k <= length(audit)),
+repaired as (
+    select conv_id, array_to_string(arg_max(said, k), chr(10)) as said from walks group by conv_id),
+counted as (
+    select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'b') as blank, count(*) filter (fault = 'd') as duplicate,
+        count(*) filter (fault = 't') as truncated, count(*) filter (n > 1 and before || role[1] not in ('su', 'ua', 'au')) as illegal
+    from faults group by conv_id)
+select b.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated,
+    coalesce(illegal, 0)::bigint as illegal, way.c::bigint as cost, way.a as audit, sha256(said) as repaired_sha256
+from best b join repaired r on r.conv_id is not distinct from b.conv_id left join counted c on c.conv_id is not distinct from b.conv_id
+"""
