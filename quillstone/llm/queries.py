@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, classifier, conversations, html_text, licenses, mixing, ngram_join, quality_rules, substring_dedup, token_counts, topk
+from quillstone.llm import bpe, classifier, conversations, hard_negatives, html_text, licenses, mixing, ngram_join, quality_rules, substring_dedup, token_counts, topk
 from quillstone.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,12 +60,17 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(hard_negatives.whole_vectors(table(spark, sf_dir, "embeddings"), "vec_id", label, "embedding"), F.col("id") % 50 == 0)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_exact_top_k, op4_ngram_jaccard_join, op5_token_counts, op6_html_text, op7_substring_dedup, op8_quality_rules, op9_mixing, op10_quality_classifier, op12_conversation_repair)}
+    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_exact_top_k, op4_ngram_jaccard_join, op5_token_counts, op6_html_text, op7_substring_dedup, op8_quality_rules, op9_mixing, op10_quality_classifier, op12_conversation_repair, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": TOP_K, "op9_mixing": MIXING, "op12_conversation_repair": CONVERSATIONS}
+    return {"op3_exact_top_k": TOP_K, "op9_mixing": MIXING, "op12_conversation_repair": CONVERSATIONS, "op13_hard_negatives": HARD_NEGATIVES}
 
 
 TOP_K = """
@@ -177,3 +182,19 @@ select b.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint
     coalesce(illegal, 0)::bigint as illegal, way.c::bigint as cost, way.a as audit, sha256(said) as repaired_sha256
 from best b join repaired r on r.conv_id is not distinct from b.conv_id left join counted c on c.conv_id is not distinct from b.conv_id
 """
+
+HARD_NEGATIVES = """
+with rows as (
+    select vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as x
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+    select a.id as anchor_id, b.id, a.label = b.label as same, list_inner_product(a.x, b.x)::bigint as score
+    from rows a, rows b where a.id % 50 = 0 and a.id <> b.id),
+positives as (
+    select anchor_id, id as positive_id, score as positive_score from scored where same
+    qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, positive_id, row_number() over (partition by p.anchor_id, positive_id order by score desc, id)::int as rank, id as negative_id, positive_score, score as negative_score
+from positives p join scored n on n.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
