@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import bpe, classifier, conversations, hard_negatives, html_text, licenses, mixing, ngram_join, quality_rules, substring_dedup, token_counts, topk
+from quillstone.llm import bpe, classifier, conversations, hard_negatives, html_text, licenses, mixing, ngram_join, packing, quality_rules, substring_dedup, token_counts, topk
 from quillstone.llm.common import table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), WORD_VOCABULARY))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
 
@@ -66,7 +71,7 @@ def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_exact_top_k, op4_ngram_jaccard_join, op5_token_counts, op6_html_text, op7_substring_dedup, op8_quality_rules, op9_mixing, op10_quality_classifier, op12_conversation_repair, op13_hard_negatives)}
+    return {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_exact_top_k, op4_ngram_jaccard_join, op5_token_counts, op6_html_text, op7_substring_dedup, op8_quality_rules, op9_mixing, op10_quality_classifier, op11_best_fit_packing, op12_conversation_repair, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
