@@ -109,6 +109,11 @@ def lexical_tokens(x) -> Column:
     return F.regexp_extract_all(fold(x), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
 
 
+def plain_tokens(x) -> Column:
+    """Runs of letters and digits in lower case; marks stay."""
+    return F.regexp_extract_all(F.lower(_c(x)), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
+
+
 def tokens_of(q: str) -> list[str]:
     """lexical_tokens of a text at the driver."""
     plain = "".join(c for c in unicodedata.normalize("NFD", q) if not unicodedata.combining(c))

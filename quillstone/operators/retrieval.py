@@ -7,96 +7,25 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions.scoring import cosine, l2, time_decay
+from quillstone.functions.stemming import stem, stems_of
 from quillstone.functions.text import fallback_abstract, lexical_tokens, query_phrases
+from quillstone.operators.lexical_index import LexicalIndex, scored
 from quillstone.plans.lineage import cut
 
-K1, B = 1.2, 0.75
 #: Sources of a search in their order.
 SOURCES = ("fts", "vector", "graph")
 
 
-#: Parts that an index's terms are dealt to, and parts of those by chunk, as one term may hold much of a corpus.
-BUCKETS, SALTS = 16, 2
-
-
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, place, len) of every word of every chunk (id, content); nothing is dealt."""
-    t = chunks.select(F.col("id").alias("chunk_id"), F.explode(F.array(lexical_tokens("content"))).alias("t"))
-    return t.select("chunk_id", F.size("t").alias("len"), F.posexplode("t").alias("place", "term"))
-
-
-class LexicalIndex:
-    """Postings of a set of chunks in a folder, by term, and the statistics of all chunks; a query reads the parts of its own terms."""
-
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-
-    @classmethod
-    def build(cls, chunks: DataFrame, folder: str, salts: int = SALTS) -> LexicalIndex:
-        """Writes the index of chunks (id, content): one scan and one exchange. salts: tasks that share a bucket, to be raised with the corpus."""
-        rows = postings(chunks).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
-        dealt = rows.repartition(BUCKETS * salts, "bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(salts)))
-        dealt.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/postings")
-        found = cls(chunks.sparkSession, folder)
-        # A posting is a word: their number is the sum of lengths.
-        words = found.read().agg(F.count("*").alias("words"))
-        chunks.agg(F.count("*").alias("n")).join(words).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avg_len")).write.mode("overwrite").parquet(f"{folder}/stats")
-        return found
-
-    def read(self) -> DataFrame:
-        return self.spark.read.schema("term string, chunk_id string, place int, len int, bucket long").parquet(f"{self.folder}/postings")
-
-    def phrase(self, terms: list[str], buckets: dict[str, int]) -> DataFrame:
-        """(chunk_id, len, tf): chunks with the terms side by side, and how often."""
-        out = None
-        for i, term in enumerate(terms):
-            one = self.read().where((F.col("bucket") == buckets[term]) & (F.col("term") == term)).select("chunk_id", "len", (F.col("place") - i).alias("at"))
-            out = one if out is None else out.join(one.drop("len"), ["chunk_id", "at"])
-        return out.groupBy("chunk_id").agg(F.first("len").alias("len"), F.count("*").alias("tf"))
-
-    def bm25(self, query: str, limit: int | None = None, within: DataFrame | None = None) -> DataFrame:
-        """(chunk_id, score) of chunks that hold all phrases of the query, best first; within: only chunks (chunk_id) of a subset, whose own statistics count."""
-        phrases = query_phrases(query)
-        stats = self.spark.read.parquet(f"{self.folder}/stats")
-        if not phrases:
-            return stats.where(F.lit(False)).select(F.lit("").alias("chunk_id"), F.lit(0.0).alias("score"))
-        # Bucket numbers come from the driver, so that only the folders of the terms are read.
-        terms = sorted({t for p in phrases for t in p})
-        numbers = self.spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)).alias(f"b{i}") for i, t in enumerate(terms))).first()
-        parts = [self.phrase(p, dict(zip(terms, numbers, strict=True))) for p in phrases]
-        if within is not None:
-            parts = [p.join(within, "chunk_id", "left_semi") for p in parts]
-            words = self.read().select("chunk_id").join(within, "chunk_id", "left_semi").agg(F.count("*").alias("words"))
-            stats = within.agg(F.count("*").alias("n")).join(words).select("n", (F.col("words") / F.greatest("n", F.lit(1))).alias("avg_len"))
-        rows = None
-        for i, part in enumerate(parts):
-            df = part.agg(F.count("*").alias(f"df{i}"))
-            stats = stats.join(F.broadcast(df))  # one row each
-            one = part.select("chunk_id", F.col("tf").alias(f"tf{i}"), *([] if i else ["len"]))
-            rows = one if rows is None else rows.join(one, "chunk_id")
-        return _scored(rows, stats, len(parts), limit)
-
-
-def _scored(rows: DataFrame, stats: DataFrame, n: int, limit: int | None) -> DataFrame:
-    score = F.lit(0.0)
-    for i in range(n):
-        idf = F.log((F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-        score = score + idf * F.col(f"tf{i}") * (K1 + 1) / (F.col(f"tf{i}") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    out = rows.join(F.broadcast(stats)).select("chunk_id", score.alias("score"))  # stats: one row
-    return out.orderBy(F.desc("score"), "chunk_id").limit(limit) if limit else out
-
-
 def bm25(chunks: DataFrame, query: str, limit: int | None = None) -> DataFrame:
     """(chunk_id, score) of chunks that hold all phrases of the query, best first, without an index.
 
     Only counts of the query's phrases leave a chunk: one scan, whose rows of numbers are written and read for statistics and hits.
     """
-    phrases = query_phrases(query)
+    phrases = [stems_of(p) for p in query_phrases(query)]
 
     def count(t: Column, phrase: list[str]) -> Column:
         first, *more = phrase
@@ -110,13 +39,13 @@ def bm25(chunks: DataFrame, query: str, limit: int | None = None) -> DataFrame:
         return F.struct(F.size(t).alias("len"), *(count(t, p).alias(f"tf{i}") for i, p in enumerate(phrases)))
 
     # The tokens are the variable of a lambda: they are made once for a chunk.
-    made = F.transform(F.array(lexical_tokens("content")), numbers)
+    made = F.transform(F.array(stem(lexical_tokens("content"))), numbers)
     rows = cut(chunks.select(F.col("id").alias("chunk_id"), F.explode(made).alias("x")).select("chunk_id", "x.*"))
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), *(F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(phrases))))
     hit = F.lit(bool(phrases))
     for i in range(len(phrases)):
         hit = hit & (F.col(f"tf{i}") > 0)
-    return _scored(rows.where(hit), stats, len(phrases), limit)
+    return scored(rows.where(hit), stats, len(phrases), limit)
 
 
 def knn(vectors: DataFrame, query: list[float], limit: int, metric: str = "cosine") -> DataFrame:
@@ -220,39 +149,62 @@ def graph_expansion(start: DataFrame, edges: DataFrame, chunks: DataFrame, per_d
     return hit.select(F.lit("graph").alias("source"), F.row_number().over(Window.orderBy("seed", "document_id", "chunk_index")).alias("rank"), F.col("id").alias("item"))
 
 
-def hybrid(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFrame, query: str, vector: list[float], limit: int = 5, k: int = 60, category: str = "", decay: dict | None = None, level: str = "l1", repository: str = "", mode: str = "hybrid", index: LexicalIndex | None = None, codes: DataFrame | None = None) -> DataFrame:
-    """Lexical, vector and graph candidates in one plan: rank, chunk_id, document_id, score, n_sources, sources, category, title, content.
+def document_of(chunk_id: str) -> Column:
+    """The document of a chunk, whose id is that of the document, # and a number."""
+    return F.regexp_replace(chunk_id, r"#\d+$", "")
+
+
+def neighbors_of(hits: DataFrame, edges: DataFrame) -> DataFrame:
+    """hits (document_id, ...) with neighbors: what their documents are linked to and from, each once and in order. Hits are a short list; edges are cut to it before they meet."""
+    own = hits.select("document_id").distinct()
+    ends = F.explode(F.array(F.struct(F.col("src").alias("document_id"), F.col("dst").alias("n")), F.struct(F.col("dst").alias("document_id"), F.col("src").alias("n"))))
+    near = edges.where("src <> dst").select(ends.alias("e")).select("e.*").join(F.broadcast(own), "document_id").groupBy("document_id").agg(F.array_sort(F.collect_set("n")).alias("neighbors"))
+    return hits.join(near, "document_id", "left").withColumn("neighbors", F.coalesce("neighbors", F.array().cast("array<string>")))
+
+
+def hybrid(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFrame, query: str, vector: list[float], limit: int = 5, k: int = 60, category: str = "", decay: dict | None = None, level: str = "l1", repository: str = "", mode: str = "hybrid", index: LexicalIndex | None = None, codes: DataFrame | None = None, neighbors: bool = False) -> DataFrame:
+    """Lexical, vector and graph candidates in one plan: rank, chunk_id, document_id, score, n_sources, sources, category, title, content; neighbors: with the documents next to each hit.
 
     repository: '' for all; it limits what is searched. category: hits of others keep their places in the lists and are left out of the fusion. mode: hybrid, fts or vector.
-    index: of the chunks, else they are scanned. codes: four-bit codes that answer if the vectors give nothing.
+    index: of the documents, which then gives chunks and documents by their ids; else docs and chunks are scanned. codes: four-bit codes that answer if the vectors give nothing.
     """
     many = max(10, 2 * limit)
     within = None
+    if index:
+        found_chunks, found_docs = index.chunks, index.facts
+    else:
+        found_chunks = lambda ids, first=None: (chunks if first is None else chunks.where(F.col("chunk_index") < first)).join(ids.select("document_id").distinct(), "document_id", "left_semi")
+        found_docs = lambda ids: docs.withColumnRenamed("id", "document_id").join(ids.select("document_id").distinct(), "document_id", "left_semi")
     if repository:
-        docs = docs.where(F.col("repository") == repository)
-        chunks = chunks.join(docs.select(F.col("id").alias("document_id")), "document_id", "left_semi")
-        within = chunks.select(F.col("id").alias("chunk_id"))
-        vectors = vectors.join(within, "chunk_id", "left_semi")
+        own = (index.documents() if index else docs.withColumnRenamed("id", "document_id")).where(F.col("repository") == repository)
+        within = own.select("document_id")
+        vectors = vectors.withColumn("document_id", document_of("chunk_id")).join(within, "document_id", "left_semi")
     found = []
     if mode in ("hybrid", "fts"):
-        hits = index.bm25(query, many, within) if index else bm25(chunks, query, many)
+        if index:
+            hits = index.bm25(query, many, within)
+        else:
+            hits = bm25(chunks if within is None else chunks.join(within, "document_id", "left_semi"), query, many)
         # Short lists, of which several parts of the plan are made.
         found.append(cut(ranked(hits, "fts", [F.desc("score"), "chunk_id"])))
     if mode in ("hybrid", "vector"):
         found.append(cut(ranked(knn_or_codes(vectors, codes, vector, many), "vector", ["distance", "chunk_id"])))
-    if mode == "hybrid":
-        found.append(cut(graph_expansion(seeds(*found, chunks), edges, chunks)))
     lists = found[0]
     for more in found[1:]:
         lists = lists.union(more)
+    if mode == "hybrid":
+        held = cut(_held(found_chunks, lists))
+        start = cut(seeds(*found, held))
+        near = edges.join(F.broadcast(start), F.col("src") == F.col("document_id")).select(F.col("dst").alias("document_id"))  # at most six seeds
+        if within is not None:
+            near = near.join(within, "document_id", "left_semi")
+        lists = lists.union(cut(graph_expansion(start, edges, found_chunks(near, 2))))
+    full = cut(_held(found_chunks, lists))  # at most `many` of the first two lists, and the first chunks of what the seeds are linked to
+    facts = cut(found_docs(full.select("document_id")).select("document_id", "title", "updated_at", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("resource")).alias("category")))
     if category:
-        own = F.lower(F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("resource"))) == category.lower()
-        # A few dozen items: they are looked up, not the other way round.
-        some = cut(chunks.join(F.broadcast(lists.select(F.col("item").alias("id")).distinct()), "id").select(F.col("id").alias("item"), "document_id"))
-        some = some.join(docs.where(own).select(F.col("id").alias("document_id")), "document_id", "left_semi").select("item")
-        lists = lists.join(some, "item", "left_semi").select("source", "rank", "item")
-    fused = cut(rrf(lists, k).withColumnRenamed("item", "chunk_id"))
-    full = with_document(F.broadcast(fused), chunks, docs)  # at most `many` of each list
+        own = full.join(facts.where(F.lower("category") == category.lower()), "document_id", "left_semi").select(F.col("id").alias("item"))
+        lists = lists.join(own, "item", "left_semi").select("source", "rank", "item")
+    full = rrf(lists, k).withColumnRenamed("item", "chunk_id").join(full.withColumnRenamed("id", "chunk_id"), "chunk_id").join(facts, "document_id", "left")
     if decay:
         full = full.withColumn("score", F.col("score") * time_decay("updated_at", **decay))
     order = [F.desc(F.round("score", 12)), F.desc("n_sources"), "chunk_id", "document_id"]
@@ -260,7 +212,14 @@ def hybrid(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFr
         full = full.withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy(F.desc(F.round("score", 12)), "chunk_id"))).where("n = 1").withColumn("abstract", fallback_abstract("content")).withColumn("content", F.lit(""))
     cols = ["chunk_id", "document_id", "score", "n_sources", "sources", "category", "title", "abstract" if level == "l0" else "content"]
     top = full.orderBy(*order).limit(limit)
-    return top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), *cols)
+    top = top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), *cols)
+    return neighbors_of(top, edges).select("rank", *cols, "neighbors") if neighbors else top
+
+
+def _held(find: Callable[..., DataFrame], lists: DataFrame) -> DataFrame:
+    """The chunks of short lists (item) that are there."""
+    items = lists.select(F.col("item").alias("id"), document_of("item").alias("document_id"))
+    return find(items).join(items.select("id").distinct(), "id", "left_semi").select("id", "document_id", "chunk_index", "content")
 
 
 def knn_or_codes(vectors: DataFrame, codes: DataFrame | None, query: list[float], limit: int, metric: str = "cosine") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quillstone.functions.stemming import stem_sql
+
 DOCS = """docs as (
     select 'd' || doc_id as id, doc_id, source as repository, lang || '/d' || doc_id || '.md' as path, array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') as title,
         1700000000 - doc_id * 86400 as updated_at, case doc_id % 3 when 0 then 'resource' when 1 then 'memory' else 'skill' end as category, sha256(text) as content_hash, lang, text as content
@@ -49,12 +51,15 @@ dead as (select src, dst, relation from dirty where dst not like '#%' and dst no
 
 def _bm25(terms: list[str], chunks: str = "chunks", name: str = "hits") -> str:
     """CTEs that leave `name` (chunk_id, score): chunks with all terms."""
-    tf = ", ".join(f"len(list_filter(t, lambda w: w = '{q}')) as tf{i}" for i, q in enumerate(terms))
+    tf = ", ".join(f"count(*) filter (stem = '{q}') as tf{i}" for i, q in enumerate(terms))
+    got = ", ".join(f"coalesce(tf{i}, 0) as tf{i}" for i in range(len(terms)))
     df = ", ".join(f"count(*) filter (tf{i} > 0) as df{i}" for i in range(len(terms)))
     idf = lambda i: f"(case when ln((n - df{i} + 0.5) / (df{i} + 0.5)) <= 0 then 1e-6 else ln((n - df{i} + 0.5) / (df{i} + 0.5)) end)"
     score = " + ".join(f"{idf(i)} * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avg_len))" for i in range(len(terms)))
     return f"""{name}_t as (select id as chunk_id, regexp_extract_all(lower(strip_accents(content)), '[\\p{{L}}\\p{{Nd}}]+') as t from {chunks}),
-{name}_c as (select chunk_id, len(t) as len, {tf} from {name}_t),
+{name}_w as (select chunk_id, unnest(t) as word from {name}_t), {stem_sql(f'{name}_w', f'{name}_st')},
+{name}_f as (select chunk_id, {tf} from {name}_w join {name}_st using (word) group by chunk_id),
+{name}_c as (select t.chunk_id, len(t) as len, {got} from {name}_t t left join {name}_f f on f.chunk_id = t.chunk_id),
 {name}_s as (select count(*) as n, avg(len) as avg_len, {df} from {name}_c),
 {name} as (select chunk_id, {score} as score from {name}_c, {name}_s where {' and '.join(f'tf{i} > 0' for i in range(len(terms)))})"""
 
@@ -216,9 +221,18 @@ d as (select src, x, min(k) as k from c group by src, x) select src, string_agg(
     "zero_vectors": f"with {DOCS}, {CHUNKS}, {VECTORS} select c.id, 64 as dim, v.chunk_id is null as zero from chunks c left join vectors v on v.chunk_id = c.id",
     "fts_unindexed": f"with {DOCS}, {CHUNKS}, {_bm25(['the', 'of', 'and'])} select chunk_id, round(score, 9) as score from hits order by hits.score desc, chunk_id limit 20",
     "fts_phrase": f"""with {DOCS}, {CHUNKS}, t as (select id as chunk_id, regexp_extract_all(lower(strip_accents(content)), '[\\p{{L}}\\p{{Nd}}]+') as t from chunks),
-c as (select chunk_id, len(t) as len, len(list_filter(range(1, len(t)), lambda i: t[i] = 'of' and t[i + 1] = 'the')) as tf from t), s as (select count(*) as n, avg(len) as avg_len, count(*) filter (tf > 0) as df from c),
+tw as (select chunk_id, unnest(t) as word, generate_subscripts(t, 1) as i from t), {stem_sql('tw', 'ts')}, p as (select chunk_id, i, stem from tw join ts using (word)),
+f as (select a.chunk_id, count(*) as tf from p a join p b on a.chunk_id = b.chunk_id and b.i = a.i + 1 where a.stem = 'of' and b.stem = 'the' group by 1),
+c as (select t.chunk_id, len(t) as len, coalesce(tf, 0) as tf from t left join f on f.chunk_id = t.chunk_id), s as (select count(*) as n, avg(len) as avg_len, count(*) filter (tf > 0) as df from c),
 h as (select chunk_id, (case when ln((n - df + 0.5) / (df + 0.5)) <= 0 then 1e-6 else ln((n - df + 0.5) / (df + 0.5)) end) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len)) as score from c, s where tf > 0)
 select chunk_id, round(score, 9) as score from h order by h.score desc, chunk_id limit 20""",
+    "fts_stemmed": f"with {DOCS}, {CHUNKS}, {_bm25(['the', 'en'])} select chunk_id, round(score, 9) as score from hits order by hits.score desc, chunk_id limit 20",
+    "fts_simple_rank": f"""with {DOCS}, {CHUNKS}, t as (select id as chunk_id, regexp_extract_all(lower(content), '[\\p{{L}}\\p{{Nd}}]+') as t from chunks),
+p as (select chunk_id, unnest(t) as word, generate_subscripts(t, 1) as i from t),
+r as (select a.chunk_id, 1 - product(1 - 0.1 * sqrt(case when abs(a.i - b.i) > 100 then 1e-30 else 1 / (1.005 + 0.05 * exp(abs(a.i - b.i) / 1.5 - 2)) end)) as score from p a join p b on a.chunk_id = b.chunk_id where a.word = 'the' and b.word = 'of' group by 1)
+select chunk_id, round(score, 9) as score from r order by r.score desc, chunk_id limit 20""",
+    "word_stems": f"""with w as (select unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{Nd}}]+')) as word from documents), {stem_sql('w', 'st')} select word, stem from st""",
+    "search_neighbors": _hybrid(tail="""select rank::int as rank, chunk_id, coalesce((select string_agg(n, ',' order by n) from (select distinct case when src = document_id then dst else src end as n from edges where (src = document_id or dst = document_id) and src <> dst)), '') as neighbors from top"""),
     "similar_languages": f"""with {DOCS}, x as (select id, doc_id % 7 as k from docs) select id, ['go', 'python', 'cpp', 'javascript', 'python', 'php', 'shell'][k + 1] as language, k in (0, 4, 5) as code from x""",
     "doctor_dead_links": f"with {EDGES}, {DOCS}, {DIRTY} select src, dst, relation from dead",
     "doctor_orphans": f"""with {EDGES}, {DOCS}, {DIRTY}, e as (select * from dirty where relation <> 'links_to')

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import text as T
 from quillstone.functions.scoring import cosine, edge_weight, note_type, time_decay
+from quillstone.functions.stemming import stem
 from quillstone.operators import code, events, graph, hygiene, retrieval
+from quillstone.operators.lexical_index import LexicalIndex
 from quillstone.plans.lineage import shared_dir, spread
 from quillstone.sources import vault
 from quillstone.sources.vault import read
@@ -18,7 +20,7 @@ NOW = 1700000000
 QUERY = "the of and"
 
 
-_indexes: dict[tuple, retrieval.LexicalIndex] = {}
+_indexes: dict[tuple, LexicalIndex] = {}
 
 
 def _state(spark: SparkSession, path: str) -> tuple:
@@ -38,11 +40,12 @@ class Store:
         self.vectors = vault.vectors(spark, sf_dir, self.docs)
         self.edges = vault.document_edges(self.docs)
 
-    def index(self) -> retrieval.LexicalIndex:
-        """The chunks' lexical index: written once for a session and the state of its input, as an ingest would."""
-        key = (self.spark.sparkContext.applicationId, *_state(self.spark, f"{self.dir}/documents.parquet"))
+    def index(self, stemmed: bool = True) -> LexicalIndex:
+        """The documents' lexical index: written once for a session and the state of its input, as an ingest would."""
+        key = (self.spark.sparkContext.applicationId, stemmed, *_state(self.spark, f"{self.dir}/documents.parquet"))
         if key not in _indexes:
-            _indexes[key] = retrieval.LexicalIndex.build(vault.chunks(spread(self.docs, sum(f[1] for f in key[2]))), f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}")
+            size = sum(f[1] for f in key[3])
+            _indexes[key] = LexicalIndex.build(spread(self.docs, size), f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}", 2 * size, stemmed)
         return _indexes[key]
 
     def query_vector(self) -> list[float]:
@@ -137,6 +140,24 @@ def _fts_phrase(s: Store) -> DataFrame:
     return s.index().bm25("of_the", 20).select("chunk_id", F.round("score", 9).alias("score"))
 
 
+def _fts_stemmed(s: Store) -> DataFrame:
+    return s.index().bm25("thes ening", 20).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+def _fts_simple(s: Store) -> DataFrame:
+    return s.index(stemmed=False).simple("the of", 20).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+def _stems(s: Store) -> DataFrame:
+    words = s.docs.select(F.explode(F.array_distinct(T.lexical_tokens("content"))).alias("word")).distinct()
+    return words.select("word", F.element_at(stem(F.array("word")), 1).alias("stem"))
+
+
+def _search_neighbors(s: Store) -> DataFrame:
+    found = retrieval.hybrid(s.docs, s.chunks, s.vectors, s.edges, QUERY, s.query_vector(), index=s.index(), neighbors=True)
+    return found.select("rank", "chunk_id", F.array_join("neighbors", ",").alias("neighbors"))
+
+
 def _languages(s: Store) -> DataFrame:
     paths = s.docs.select("id", F.concat(F.lit("src/f."), F.element_at(F.array(*map(F.lit, ["go", "pyi", "hh", "mjs", "ps1", "php", "bash"])), (F.col("doc_id") % 7 + 1).cast("int"))).alias("path"))
     return paths.select("id", T.detect_language("path", F.lit("#!/usr/bin/env python3")).alias("language"), T.is_code_file("path").alias("code"))
@@ -288,8 +309,8 @@ def _decay(s: Store) -> DataFrame:
 
 
 def _federated(s: Store) -> DataFrame:
-    en = s.chunks.join(s.docs.where("lang = 'en'").select(F.col("id").alias("document_id")), "document_id", "left_semi")
-    local = retrieval.ranked(s.index().bm25("the of", 10, en.select(F.col("id").alias("chunk_id"))), "local", [F.desc("score"), "chunk_id"])
+    en = s.docs.where("lang = 'en'").select(F.col("id").alias("document_id"))
+    local = retrieval.ranked(s.index().bm25("the of", 10, en), "local", [F.desc("score"), "chunk_id"])
     central = retrieval.ranked(s.index().bm25("the of and", 10), "central", [F.desc("score"), "chunk_id"])
     return retrieval.federate(local, central, 10).select("item", F.round("score", 9).alias("score"), "origin")
 
@@ -458,7 +479,7 @@ QUERIES = {
     "hybrid_search": _hybrid, "hybrid_search_decay": _hybrid_decay, "search_level_l0": _hybrid_l0, "category_filter": _hybrid_category, "fts_bm25": _fts, "knn_cosine": _knn("cosine"), "knn_l2": _knn("l2"),
     "quant4_search": _quant_search, "quant4_roundtrip": _quant_roundtrip, "quant4_codes": _quant_codes, "rrf_two_sources": _rrf, "time_decay": _decay, "federated_merge": _federated, "latent_pairs_jaccard": _latent_jaccard, "latent_pairs_cosine": _latent_cosine,
     "hub_degrees": _hub_degrees, "neighbors_k2": _neighbors_k2, "ego_graph": _ego_graph, "pagerank_5it": _pagerank, "modularity_by_nation": _modularity, "communities_lpa": _communities, "community_summary": _community_summary,
-    "impact_depth2": _impact, "impact_summary": _impact_summary, "path_epistemic": _path("epistemic"), "path_hops": _path("hops"), "graph_stats": _graph_stats, "graph_view": _graph_view, "pack_context": _pack, "inspect_node": _inspect, "canvas_layout": _canvas, "node_resolution": _resolve, "node_types": _node_types, "edge_weights": _edge_weights, "hub_names": _hub_names, "pagerank_order": _pagerank_order, "event_json_filter": _event_json, "search_repository": _hybrid_repository, "search_fts_mode": _hybrid_fts, "symbol_case": _symbol_case, "ordered_merge": _merge, "first_non_empty": _first_non_empty, "zero_vectors": _zero_vectors, "fts_unindexed": _fts_scan, "fts_phrase": _fts_phrase, "similar_languages": _languages,
+    "impact_depth2": _impact, "impact_summary": _impact_summary, "path_epistemic": _path("epistemic"), "path_hops": _path("hops"), "graph_stats": _graph_stats, "graph_view": _graph_view, "pack_context": _pack, "inspect_node": _inspect, "canvas_layout": _canvas, "node_resolution": _resolve, "node_types": _node_types, "edge_weights": _edge_weights, "hub_names": _hub_names, "pagerank_order": _pagerank_order, "event_json_filter": _event_json, "search_repository": _hybrid_repository, "search_fts_mode": _hybrid_fts, "symbol_case": _symbol_case, "ordered_merge": _merge, "first_non_empty": _first_non_empty, "zero_vectors": _zero_vectors, "fts_unindexed": _fts_scan, "fts_phrase": _fts_phrase, "fts_stemmed": _fts_stemmed, "fts_simple_rank": _fts_simple, "word_stems": _stems, "search_neighbors": _search_neighbors, "similar_languages": _languages,
     "chunk_200_30": _chunks, "content_hash": _content_hash, "fallback_abstract": _abstract, "micro_abstract": _micro,
     "doctor_dead_links": _dead, "doctor_orphans": _orphans, "doctor_self_loops": _loops, "doctor_health": _health, "doctor_fix": _fixed, "staleness_report": _staleness, "drift_scores": _drift, "drift_overall": _drift_overall, "uncovered_code": _uncovered, "prune_set": _prune, "policy_decisions": _policy, "precondition": _precondition,
     "code_search_boost": _code_search, "code_walk_out": _code_walk("out"), "code_walk_in": _code_walk("in"), "code_stats": _code_stats, "code_orphans": _code_orphans, "symbol_reference_edges": _references, "ast_hash": _ast_hash,
