@@ -6,7 +6,7 @@ room; a certified one only those of its emptiest bin. What is exchanged is dealt
 lengths (of which there are at most `capacity`), or a round saves no bin; a round that would cost bins is not taken. Pieces as long as a bin are bins of their own.
 
 The ids are those of the tokenizers library. It is slow, so a word (cut at ASCII white space, which no token crosses) is looked up among those met before; a new one that is
-letters of a to z and Latin-1 with punctuation behind is put together of the ids of its letters and its punctuation, which the same vocabulary encodes without a normaliser; any other goes through the whole tokenizer.
+of characters up to Latin-1, which no normal form changes, is put together of the ids of its runs of letters, digits and marks, which the same vocabulary encodes without a normaliser; any other goes through the whole tokenizer.
 
 Defined results. A null text is empty: its only id is the end's. Repeated rows are packed each. Null ids of documents stay. Special tokens' strings are ordinary text. A text is cut by `capacity` only.
 Columns named sequence_id, offset or like a piece's own facts are dropped; other extra columns are not carried. An empty table gives no rows. Reruns give the same pieces; sequences may be numbered and filled otherwise.
@@ -29,9 +29,11 @@ from tokenizers import Tokenizer, normalizers, pre_tokenizers
 from quillstone.llm.common import arrow_map, cut, kept
 
 CAPACITY, END = 4096, 1
-#: Pieces and bins' worth of tokens that are packed together at least, pieces at most; rounds; bytes of text encoded at once; words that a worker remembers.
-GROUP, BINS, MOST, ROUNDS, SLICE, WORDS = 8192, 64, 1 << 18, 8, 4 << 20, 400_000
-LETTERS, MARKS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", ".,;:!?"
+#: Pieces and bins' worth of tokens that are packed together at least, pieces at most; rounds; bytes of text encoded at once; words, and runs of letters or marks, that a worker remembers.
+GROUP, BINS, MOST, ROUNDS, SLICE, WORDS, RUNS = 8192, 64, 1 << 18, 8, 4 << 20, 400_000, 800_000
+LETTERS, MARKS, LATIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", ".,;:!?", r"^[\x21-\x7e\x{a1}-\x{ff}]+$"
+#: Where the vocabulary's tokenizer cuts words (fixed value).
+CUTS = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
 
 
 # ------------------------------------------------------------------ ids
@@ -49,11 +51,14 @@ class Encoder:
         self.last[[i for token, i in self.bare.get_vocab().items() if token.endswith("</w>")]] = True
         self.forget()
 
-    def forget(self) -> None:
-        """Words and letters met so far: numbers of runs of ids."""
+    def forget(self, letters: bool = True) -> None:
+        """Lets go of the words met so far, which are numbers of runs of ids, and of runs of letters and marks too."""
+        kept = [] if letters else list(self.letters)
+        ids, ends = self._runs(np.fromiter(map(self.letters.__getitem__, kept), np.int64, len(kept))) if kept else (np.empty(0, np.uint32), np.empty(0, np.int64))
         self.words, self.letters = {"": 0}, {}
-        self.ids, self.start, self.size, self.n = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 1
-        self.used = 0
+        self.ids, self.start, self.size, self.n, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 1, 0
+        first = self._add(ids, np.diff(ends, prepend=0))
+        self.letters.update(zip(kept, range(first, first + len(kept))))
 
     def _room(self, name: str, n: int) -> None:
         a = getattr(self, name)
@@ -109,6 +114,8 @@ class Encoder:
         behind = (pc.binary_length(whole).to_numpy() - pc.binary_length(core).to_numpy()) * plain
         core = pc.utf8_lower(core)
         bare, marked, odd = np.flatnonzero(plain & (behind == 0)), np.flatnonzero(behind), np.flatnonzero(~plain)
+        mixed = pc.match_substring_regex(whole.take(pa.array(odd)), LATIN).to_numpy(zero_copy_only=False)
+        mixed, odd = odd[mixed], odd[~mixed]
         if len(bare):
             self.words.update(zip([words[i] for i in bare], self._parts(core.take(pa.array(bare))).tolist()))
         if len(marked):
@@ -118,6 +125,12 @@ class Encoder:
             at = at[1::2]
             first = self._add(ids, np.diff(at, prepend=0))
             self.words.update(zip([words[i] for i in marked], range(first, first + len(marked))))
+        if len(mixed):
+            split = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_substring_regex(pc.utf8_lower(whole.take(pa.array(mixed))), CUTS, r"\1 ")))
+            ids, at = self._runs(self._parts(split.flatten()))
+            ends = np.concatenate([[0], at])[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()]
+            first = self._add(ids, np.diff(ends, prepend=0))
+            self.words.update(zip([words[i] for i in mixed], range(first, first + len(mixed))))
         if len(odd):
             said = [words[i] for i in odd]
             first = self._whole(said)
@@ -125,11 +138,11 @@ class Encoder:
 
     def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
         """The texts' ids one after the other, and where each text's end."""
-        split = pc.ascii_split_whitespace(texts)
+        split = pc.ascii_split_whitespace(_lowered(texts))
         d = split.flatten().dictionary_encode()
         met = d.dictionary.to_pylist()
         if len(self.words) > WORDS:
-            self.forget()
+            self.forget(len(self.letters) > RUNS)  # letters are dearer to encode than words to put together
         new = [w for w in met if w not in self.words]
         if new:
             self._learn(new)
@@ -140,6 +153,18 @@ class Encoder:
         return ids, ends[offsets[1:] - offsets[0]]
 
 
+def _lowered(texts: pa.StringArray) -> pa.StringArray:
+    """Texts with A to Z in lower case, so that fewer words differ; but for those with characters beyond Latin-1, as a mark may join the letter before it."""
+    size = pc.binary_length(texts).to_numpy()
+    some, at = size > 0, np.cumsum(size) - size
+    begin = int(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset]) if len(texts) else 0
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[begin:]
+    plain = np.ones(len(texts), bool)
+    if some.any():
+        plain[some] = np.maximum.reduceat(data[: int(size.sum())], at[some]) <= 0xC3
+    return pc.if_else(pa.array(plain), pc.ascii_lower(texts), texts)
+
+
 def _slices(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about SLICE bytes."""
     size = np.cumsum(pc.binary_length(texts).to_numpy())
