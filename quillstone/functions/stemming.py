@@ -85,7 +85,7 @@ def stems(words: pa.Array) -> pa.Array:
 _known: dict[str, str] = {}
 
 
-def _stemmed(tokens: pa.ListArray) -> pa.ListArray:
+def stemmed_lists(tokens: pa.ListArray) -> pa.ListArray:
     """Token lists with stems: each distinct word of a batch once, and those that the worker has met before not at all."""
     met = tokens.flatten().dictionary_encode()
     words = met.dictionary.to_pylist()
@@ -104,7 +104,7 @@ def stem(x) -> Column:
 
     @F.arrow_udf("array<string>")
     def run(tokens: pa.Array) -> pa.Array:
-        return _stemmed(tokens)
+        return stemmed_lists(tokens)
 
     return run(F.col(x) if isinstance(x, str) else x)
 

@@ -11,15 +11,19 @@ query reads the postings of its own words and meets them with those few.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.functions.stemming import stem, stems_of
+from quillstone.functions.stemming import stemmed_lists, stems_of
 from quillstone.functions.text import chunk_text, lexical_tokens, plain_tokens, query_phrases
+from quillstone.plans.commits import Folder
 
 K1, B = 1.2, 0.75
 #: Bytes of text for a bucket of words and a part of chunks; least and most buckets; ids that are looked up by a filter, beyond which a join does it.
@@ -79,43 +83,42 @@ def _nearness(distance: Column) -> Column:
     return F.sqrt(F.when(distance > 100, 1e-30).otherwise(1.0 / (1.005 + 0.05 * F.exp(distance / 1.5 - 2))))
 
 
+def postings(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
+    """(term, document_id, chunk_id, len, places) of each word of each chunk (document_id, id, terms); terms become stems. Nothing is dealt."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms = stemmed_lists(b.column("terms")) if stemmed else b.column("terms")
+            lens = pc.list_value_length(terms).to_numpy().astype(np.int64)
+            words = terms.flatten().dictionary_encode()
+            code, chunk = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(lens)), lens)
+            place = np.arange(len(code)) - np.repeat(np.cumsum(lens) - lens, lens)
+            key = chunk * max(len(words.dictionary), 1) + code
+            order = np.argsort(key, kind="stable")
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            at, ends = order[first], np.append(first, len(order))
+            rows = pa.array(chunk[at])
+            yield pa.RecordBatch.from_arrays(
+                [words.dictionary.take(pa.array(code[at])), b.column("document_id").take(rows), b.column("id").take(rows), pa.array(lens[chunk[at]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(place[order].astype(np.int32)))],
+                ["term", "document_id", "chunk_id", "len", "places"],
+            )
+
+    return chunks.select("document_id", "id", "terms").mapInArrow(run, "term string, document_id string, chunk_id string, len int, places array<int>")
+
+
 class LexicalIndex:
     """The index in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
-        self._jpath = spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self._jpath(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-        meta = self._text(f"{folder}/meta.json")
-        kept = {"buckets": LEAST, "parts": LEAST, "size": 200, "overlap": 30, "stemmed": True} | (json.loads(meta) if meta else {})
+        self.spark, self.folder, self.files = spark, folder, Folder(spark, folder)
+        kept = {"buckets": LEAST, "parts": LEAST, "size": 200, "overlap": 30, "stemmed": True} | (self.files.read("meta.json") or {})
         self.buckets, self.parts, self.size, self.overlap, self.stemmed = (kept[k] for k in ("buckets", "parts", "size", "overlap", "stemmed"))
 
     # -------------------------------------------------------------- commits
 
-    def _text(self, path: str) -> str | None:
-        p = self._jpath(path)
-        if not self.fs.exists(p):
-            return None
-        s = self.fs.open(p)
-        try:
-            return bytes(s.readAllBytes()).decode()
-        finally:
-            s.close()
-
-    def _write(self, path: str, text: str) -> None:
-        """A small file at once: written beside its place and renamed."""
-        beside = self._jpath(path + ".writing")
-        s = self.fs.create(beside, True)
-        s.write(bytearray(text.encode()))
-        s.close()
-        if not self.fs.rename(beside, self._jpath(path)):
-            self.fs.delete(beside, False)
-
     def commits(self) -> dict[int, dict]:
         """What each committed epoch wrote: n, words, changed, and the epochs that it replaces."""
-        p = self._jpath(f"{self.folder}/commits")
-        names = [f.getPath().getName() for f in self.fs.listStatus(p)] if self.fs.exists(p) else []
-        return {int(n[:-5]): json.loads(self._text(f"{self.folder}/commits/{n}")) for n in names if re.fullmatch(r"\d+\.json", n)}
+        return {int(n[:-5]): self.files.read(f"commits/{n}") for n in self.files.names("commits") if re.fullmatch(r"\d+\.json", n)}
 
     def epochs(self, commits: dict[int, dict] | None = None) -> list[int]:
         """Committed epochs that no other replaces."""
@@ -130,8 +133,7 @@ class LexicalIndex:
         """An empty index; text_bytes: about how much text it will hold, which sets its buckets and parts. size, overlap: of chunks, in words. stemmed: words without marks as stems, else in lower case only."""
         new = cls(spark, folder)
         within = lambda n: max(LEAST, min(MOST, n))
-        if not new.fs.exists(new._jpath(f"{folder}/meta.json")):
-            new._write(f"{folder}/meta.json", json.dumps({"buckets": within(text_bytes // BUCKET_BYTES), "parts": within(text_bytes // PART_BYTES), "size": size, "overlap": overlap, "stemmed": stemmed}))
+        new.files.write("meta.json", {"buckets": within(text_bytes // BUCKET_BYTES), "parts": within(text_bytes // PART_BYTES), "size": size, "overlap": overlap, "stemmed": stemmed})
         return cls(spark, folder)
 
     @classmethod
@@ -165,22 +167,23 @@ class LexicalIndex:
         """Writes the chunks of documents, then from these the postings and the documents' counts."""
         at = lambda name: f"{self.folder}/{name}/epoch={epoch}"
         pieces = d.select("document_id", F.posexplode(chunk_text("content", self.size, self.overlap)).alias("chunk_index", "content"))
-        chunks = pieces.select(F.concat("document_id", F.lit("#"), "chunk_index").alias("id"), "document_id", "chunk_index", "content", (stem(lexical_tokens("content")) if self.stemmed else plain_tokens("content")).alias("terms"))
-        chunks = chunks.withColumn("part", _slot("document_id", self.parts))
-        chunks.hint("rebalance", "part").sortWithinPartitions("part", "document_id", "chunk_index").write.mode("overwrite").partitionBy("part").parquet(at("chunks"))
-        stored = self.spark.read.parquet(at("chunks"))
-        words = stored.select("document_id", F.col("id").alias("chunk_id"), F.size("terms").alias("len"), F.explode(F.array_distinct("terms")).alias("term"), "terms")
-        # Places of a word in its chunk: a chunk is some hundred words.
-        places = F.filter(F.transform("terms", lambda t, i: F.when(t == F.col("term"), i)), lambda i: i.isNotNull())
-        postings = words.select("term", "document_id", "chunk_id", "len", places.alias("places"), _slot("term", self.buckets).alias("bucket"))
-        postings.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
-        counts = stored.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(F.size("terms")).alias("words"))
+        tokens = lexical_tokens("content") if self.stemmed else plain_tokens("content")
+        chunks = pieces.select(F.concat("document_id", F.lit("#"), "chunk_index").alias("id"), "document_id", "chunk_index", "content", F.size(tokens).alias("len"), _slot("document_id", self.parts).alias("part"))
+        self._dealt(chunks, "part").sortWithinPartitions("part", "document_id", "chunk_index").write.mode("overwrite").partitionBy("part").parquet(at("chunks"))
+        stored = self.spark.read.schema(self._kinds["chunks"]).parquet(at("chunks"))
+        rows = postings(stored.select("document_id", "id", tokens.alias("terms")), self.stemmed).withColumn("bucket", _slot("term", self.buckets))
+        self._dealt(rows, "bucket").sortWithinPartitions("bucket", "term", "chunk_id").write.mode("overwrite").partitionBy("bucket").parquet(at("postings"))
+        counts = stored.groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum("len").alias("words"))
         facts = d.drop("content").join(counts, "document_id", "left").fillna(0, ["chunks", "words"]).withColumn("part", _slot("document_id", self.parts))
-        facts.hint("rebalance", "part").sortWithinPartitions("part", "document_id").write.mode("overwrite").partitionBy("part").parquet(at("documents"))
+        self._dealt(facts, "part").sortWithinPartitions("part", "document_id").write.mode("overwrite").partitionBy("part").parquet(at("documents"))
+
+    def _dealt(self, rows: DataFrame, slot: str) -> DataFrame:
+        """Rows of a slot together: in partitions of the advised size, of which a hot slot gets several; a small index is spread over all cores instead."""
+        return rows.hint("rebalance", slot) if self.parts > LEAST else rows.repartition(min(LEAST, self.spark.sparkContext.defaultParallelism), slot)
 
     def _commit(self, epoch: int, replaces: list[int]) -> None:
         n, words, docs = self._read("documents", [epoch]).agg(F.coalesce(F.sum("chunks"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
-        self._write(f"{self.folder}/commits/{epoch}.json", json.dumps({"chunks": n, "words": words, "documents": docs, "replaces": replaces}))
+        self.files.write(f"commits/{epoch}.json", {"chunks": n, "words": words, "documents": docs, "replaces": replaces})
 
     def compact(self, epoch: int) -> bool:
         """All live rows as one epoch, whose number no other may have."""
@@ -192,21 +195,21 @@ class LexicalIndex:
             rows = self._live(self._read(name, live), live).drop("epoch")
             rows = rows.where("not deleted") if name == "documents" else rows
             order = {"chunks": ["document_id", "chunk_index"], "postings": ["term", "chunk_id"], "documents": ["document_id"]}[name]
-            rows.hint("rebalance", slot).sortWithinPartitions(slot, *order).write.mode("overwrite").partitionBy(slot).parquet(at(name))
+            self._dealt(rows, slot).sortWithinPartitions(slot, *order).write.mode("overwrite").partitionBy(slot).parquet(at(name))
         self._commit(epoch, live)
         return True
 
     # -------------------------------------------------------------- reading
 
     _kinds = {
-        "chunks": "id string, document_id string, chunk_index int, content string, terms array<string>, epoch long, part int",
+        "chunks": "id string, document_id string, chunk_index int, content string, len int, epoch long, part int",
         "postings": "term string, document_id string, chunk_id string, len int, places array<int>, epoch long, bucket int",
         "documents": "document_id string, revision long, deleted boolean, " + ", ".join(f"{c} {k}" for c, k in ATTRIBUTES.items()) + ", chunks long, words long, epoch long, part int",
     }
 
     def _read(self, name: str, epochs: list[int]) -> DataFrame:
         rows = self.spark.read.schema(self._kinds[name]).option("basePath", f"{self.folder}/{name}")
-        paths = [p for p in (f"{self.folder}/{name}/epoch={e}" for e in epochs) if self.fs.exists(self._jpath(p))]
+        paths = [f"{self.folder}/{name}/epoch={e}" for e in epochs if self.files.exists(f"{name}/epoch={e}")]
         return rows.parquet(*paths) if paths else self.spark.createDataFrame([], self._kinds[name])
 
     def _again(self, epochs: list[int]) -> DataFrame | None:

@@ -185,22 +185,24 @@ def hybrid(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFr
             hits = index.bm25(query, many, within)
         else:
             hits = bm25(chunks if within is None else chunks.join(within, "document_id", "left_semi"), query, many)
-        # Short lists, of which several parts of the plan are made.
-        found.append(cut(ranked(hits, "fts", [F.desc("score"), "chunk_id"])))
+        found.append(short(ranked(hits, "fts", [F.desc("score"), "chunk_id"])))
     if mode in ("hybrid", "vector"):
-        found.append(cut(ranked(knn_or_codes(vectors, codes, vector, many), "vector", ["distance", "chunk_id"])))
+        found.append(short(ranked(knn_or_codes(vectors, codes, vector, many), "vector", ["distance", "chunk_id"])))
     lists = found[0]
     for more in found[1:]:
         lists = lists.union(more)
+    full = short(_held(found_chunks, lists))  # at most `many` of each list
     if mode == "hybrid":
-        held = cut(_held(found_chunks, lists))
-        start = cut(seeds(*found, held))
-        near = edges.join(F.broadcast(start), F.col("src") == F.col("document_id")).select(F.col("dst").alias("document_id"))  # at most six seeds
+        start = short(seeds(*found, full))
+        near = edges.join(F.broadcast(start), F.col("src") == F.col("document_id")).groupBy(F.col("dst").alias("document_id")).agg(F.min("seed").alias("seed"))  # at most six seeds
         if within is not None:
             near = near.join(within, "document_id", "left_semi")
-        lists = lists.union(cut(graph_expansion(start, edges, found_chunks(near, 2))))
-    full = cut(_held(found_chunks, lists))  # at most `many` of the first two lists, and the first chunks of what the seeds are linked to
-    facts = cut(found_docs(full.select("document_id")).select("document_id", "title", "updated_at", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("resource")).alias("category")))
+        near = cut(near)
+        more = cut(found_chunks(near, 2).join(near, "document_id"))
+        place = F.row_number().over(Window.orderBy("seed", "document_id", "chunk_index"))
+        lists = lists.union(more.select(F.lit("graph").alias("source"), place.alias("rank"), F.col("id").alias("item")))
+        full = full.union(more.select(full.columns)).dropDuplicates(["id"])
+    facts = found_docs(full.select("document_id")).select("document_id", "title", "updated_at", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit("resource")).alias("category"))
     if category:
         own = full.join(facts.where(F.lower("category") == category.lower()), "document_id", "left_semi").select(F.col("id").alias("item"))
         lists = lists.join(own, "item", "left_semi").select("source", "rank", "item")
@@ -213,7 +215,12 @@ def hybrid(docs: DataFrame, chunks: DataFrame, vectors: DataFrame, edges: DataFr
     cols = ["chunk_id", "document_id", "score", "n_sources", "sources", "category", "title", "abstract" if level == "l0" else "content"]
     top = full.orderBy(*order).limit(limit)
     top = top.select(F.row_number().over(Window.orderBy(*order)).alias("rank"), *cols)
-    return neighbors_of(top, edges).select("rank", *cols, "neighbors") if neighbors else top
+    return neighbors_of(short(top), edges).select("rank", *cols, "neighbors") if neighbors else top
+
+
+def short(rows: DataFrame) -> DataFrame:
+    """A list that a limit bounds, made now: later plans hold its rows instead of computing it again."""
+    return rows.sparkSession.createDataFrame(rows.toArrow()).coalesce(1)
 
 
 def _held(find: Callable[..., DataFrame], lists: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstone.operators.lexical_index import LexicalIndex
 from quillstone.operators.events import latest, matching, project_graph, redact, valid
 
 
@@ -66,6 +67,11 @@ def audit(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
+def reindexed(changes: DataFrame, index: LexicalIndex, checkpoint: str, first: int = 1):
+    """A stream of changed documents kept up in a LexicalIndex: its batches are the index's epochs from `first` on. A batch that runs again changes nothing."""
+    return changes.writeStream.foreachBatch(lambda batch, epoch: index.apply(first + epoch, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
 def debounced(changes: DataFrame, gap: str = "500 milliseconds", delay: str = "10 seconds") -> DataFrame:
     """Bursts of changes (path, ts, kind) as they close."""
     s = changes.withWatermark("ts", delay).groupBy("path", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"), F.max_by("kind", "ts").alias("last"), F.max_by("kind", F.when(F.col("kind") != "MODIFY", F.col("ts"))).alias("other"))
