@@ -103,7 +103,7 @@ class Scanner:
                 a, b = len(w) * i // n, len(w) * (i + 1) // n
                 self.pieces.setdefault(w[a], []).append((k, a, w[a:b]))
         self.alone = zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
-        self.given = {k: zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(v.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k, v in templates.items()}
+        self.given = {k: zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(v.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False) for k, v in templates.items()}
 
     def differences(self, name: str, words: list[str]) -> tuple[int, int, int, int] | None:
         """Words of the template that `words` lack, words put between those that it has, and from where to where it stands; None beyond `max_diff`.
@@ -134,7 +134,9 @@ class Scanner:
         return (cost - extra, extra, begin, end) if begin < end else None
 
     def saved(self, name: str, text: str) -> int:
-        return len(self.alone.compress(text.encode())) - len(self.given[name].compress(text.encode()))
+        """Bytes that the template saves; letters in lower case, as a template's case is no wording."""
+        raw = text.lower().encode()
+        return len(self.alone.compress(raw)) - len(self.given[name].compress(raw))
 
     def candidates(self, words: list[str]) -> dict[tuple[str, int], tuple[int, int]]:
         """Of each (template, place) that has a piece of the template: the words from and to that it may take."""
@@ -156,9 +158,7 @@ class Scanner:
         spans = [(m.start(), m.end()) for m in _WORD.finditer(text)]
         ranked = sorted((-self.saved(k, " ".join(text[spans[a][0] : spans[b - 1][1]].split())), -len(self.words[k]), k, a, b) for (k, _), (a, b) in found.items())
         kept: list[tuple] = []
-        for gain, _, k, start, end in ranked:
-            if gain >= 0:
-                break
+        for _, _, k, start, end in ranked:
             if hit := self.differences(k, words[start:end]):
                 missing, extra, a, b = hit
                 first, last = spans[start + a][0], spans[start + b - 1][1]
