@@ -10,7 +10,7 @@ Change rows: op ('insert', 'delete' or 'revise'), source, lang, tokenizer, n_tok
 
 Defined results. Null source or lang: a group of its own (null). Null text: 0 tokens, and counts as a document. Repeated rows
 are documents of their own. Groups whose documents have all been deleted stay with zeros. Extra columns are ignored. An empty batch
-is committed and changes nothing.
+is committed and changes nothing. An op other than the three, or a null one, is an error, and nothing of its batch is committed.
 """
 
 from __future__ import annotations
@@ -41,19 +41,30 @@ class Rollup:
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
 
     def batches(self) -> list[str]:
-        """Names of the finished batches."""
+        """Names of the finished batches, also of those that a compaction has put together."""
         fs, at = self._files(self.path)
         if not fs.exists(at):
             return []
-        names = [x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()]
+        return sorted({*self._own(), *(r["batch"] for r in self._folded().collect())})
+
+    def _own(self) -> list[str]:
+        """The finished batches that have a folder here."""
+        fs, at = self._files(self.path)
+        names = [x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory()] if fs.exists(at) else []
         return sorted(n.removeprefix("batch=") for n in names if n.startswith("batch=") and fs.exists(self._files(f"{self.path}/{n}/_SUCCESS")[1]))
 
+    def _folded(self) -> DataFrame:
+        """(batch): those that a compaction has put together."""
+        fs, at = self._files(f"{self.path}/folded/_SUCCESS")
+        return self.spark.read.schema("batch string").parquet(f"{self.path}/folded") if fs.exists(at) else self.spark.createDataFrame([], "batch string")
+
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Writes a batch's signed sums; False if it had been committed."""
         if batch in self.batches():
             return False
         before = F.coalesce(F.col("n_before"), F.lit(0))
         tokens = F.when(F.col("op") == "insert", F.col("n_tokens")).when(F.col("op") == "delete", -before).when(F.col("op") == "revise", F.col("n_tokens") - before)
+        tokens = tokens.otherwise(F.raise_error(F.concat(F.lit("unknown op "), F.coalesce("op", F.lit("null")))).cast("long"))
         docs = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
         sums = changes.groupBy("source", "lang", "tokenizer").agg(F.sum(docs).cast("long").alias("n_docs"), F.sum(tokens).cast("long").alias("n_tokens"))
         sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
@@ -61,15 +72,16 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) over the finished batches."""
-        done = self.batches()
+        done = self._own()
         if not done:
             return self.spark.createDataFrame([], SCHEMA)
         rows = self.spark.read.schema(SCHEMA).parquet(*(f"{self.path}/batch={b}" for b in done))
         return rows.groupBy("source", "lang", "tokenizer").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def compact(self, path: str) -> Rollup:
-        """A new rollup with these totals as its one batch. The names of the old batches are its owner's to keep."""
+        """A new rollup with these totals as its one batch; it knows the old batches' names, so that none is counted again."""
         fresh = Rollup(self.spark, path)
+        self.spark.createDataFrame([(b,) for b in self.batches()], "batch string").coalesce(1).write.mode("overwrite").parquet(f"{fresh.path}/folded")
         self.totals().coalesce(1).write.mode("overwrite").parquet(f"{fresh.path}/batch=compacted")
         return fresh
 
