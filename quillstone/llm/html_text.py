@@ -7,7 +7,7 @@ the host's pages have, of two tokens or more, make the host's template; their nu
 (those whose tokens come in the template's one order, each inside one slot of its parent) are nested, and the slots between their tokens hold
 the page's own content.
 
-A slot is main text if it lies in the article (or `main`; without either, in the body), outside elements that tags, roles and whole class names mark as
+A slot is main text if it lies in the article (or `main`; in the body, if these hold less than half of the unmarked text), outside elements that tags, roles and whole class names mark as
 menus, headers, footers, sidebars, notices, adverts, forms or comments, and no text node of the template (the same on most pages), inside of an article or not.
 Copies of one page make a template of their whole text: a page whose own text is less than a COPY-th of what the marks leave inside of an article (without one: a page
 with no own text at all) counts as a copy, and loses nothing for being repeated. A host with less than MIN_PAGES pages has no template; there the marks alone decide.
@@ -47,7 +47,7 @@ OUTSIDE = set("nav footer aside form dialog menu fieldset head".split())
 HEADING = set("h1 h2 h3 h4 h5 h6".split())
 MARKS = re.compile(
     r"(?i)(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|mobile|sticky|fixed|post|article|entry)[-_]?)?(?:"
-    r"ads?|adsense|advert(?:isement|ising)?s?|sponsor(?:ed)?s?|promos?|promotions?|banners?|side-?bars?|menus?|nav(?:bar|igation)?|foot(?:er)?s?|masthead|cookies?|notices?|consent|gdpr|pop-?up|modal|newsletters?|subscribe|subscription"
+    r"ads?|adsense|adsbygoogle|advert(?:isement|ising)?s?|sponsor(?:ed)?s?|promos?|promotions?|banners?|side-?bars?|menus?|nav(?:bar|igation)?|foot(?:er)?s?|masthead|cookies?|notices?|consent|gdpr|pop-?up|modal|newsletters?|subscribe|subscription"
     r"|shar(?:e|ing)|related|recommend(?:ed|ations?)|comments?|disqus|replies|breadcrumbs?|pagination|pager|widgets?|toolbar"
     r")(?:[-_]?(?:box|bar|area|item|link|list|links|items|wrap|wrapper|container|inner|block|section|banner|notice|thread|form|buttons?|unit|slot|posts|articles|menu|\d+))*"
     r"|(?:site|page|main|global|top)[-_]?header|header|social(?:[-_](?:links?|icons?|media|share|sharing|buttons?|bar))?"
@@ -55,7 +55,7 @@ MARKS = re.compile(
 #: Open elements that a start tag of the name ends, besides paragraphs and headings.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}, "option": {"option"}} | {k: {"td", "th", "tr", "tbody", "thead", "tfoot"} for k in ("tbody", "thead", "tfoot")}
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S | re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?:svg|math)(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>|<({RAW})(?=[\s/>])(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<(/?)([a-zA-Z][\w:-]*)([^>]*)(?:>|\Z)|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 SPACES = re.compile(r"\s+")
 
@@ -104,6 +104,15 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool, bool]]:
         if not name:
             continue  # comments, declarations, and elements whose content is no text
         close, attrs = bool(m[2] or m[5]), m[4] or m[7] or ""
+        if name in INLINE and not close and attrs and (_outside(name, attrs, article > 0) or any(x[0] == name for x in stack)) and name not in VOID and not attrs.endswith("/"):
+            # Inline elements that are marked, and those of their name inside of them, are kept track of; others change nothing.
+            stack.append((name, was := _outside(name, attrs, article > 0)))
+            hidden += was
+        elif name in INLINE and not close and name not in VOID and any(x[0] == name for x in stack):
+            stack.append((name, False))
+        elif name in INLINE and close and any(x[0] == name for x in stack):
+            while shut() != name:
+                pass
         if name in INLINE or name == "br":
             out.append((" ", " " if name == "br" else "", False, article > 0, hidden > 0))
             continue
@@ -132,7 +141,9 @@ def _number(token: str) -> int:
 def main_text(page: str, template: dict[int, int] | None = None) -> str:
     """The page's main text; template: the class of each of the host's template tokens."""
     seq = tokens(page)
-    whole = any(t[3] and t[1].strip() and not t[4] for t in seq)
+    # The article is the main text if it has most of the unmarked text.
+    inside, around = (sum(len(t[1].strip()) for t in seq if not t[4] and bool(t[3]) == a) for a in (True, False))
+    whole = inside > 0 and inside >= around
     content = {i: len(t[1].strip()) for i, t in enumerate(seq) if t[1].strip() and not t[4] and (t[3] or not whole)}
     fixed: set[int] = set()
     if template:
