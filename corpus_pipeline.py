@@ -8,14 +8,26 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.llm import bpe, classifier, mixing, ngram_join, substring_dedup
 from quillstone.llm.common import SPACE, delete, shared_dir, table
 
-#: Names of two keys of a row inside of a stage.
-K1, K2 = "__row_key", "__row_key_too"
+
+def _hashable(column: Column, kind: str) -> Column:
+    """A column as one that can be hashed: a map by its sorted entries, one inside of something else as JSON."""
+    if "map<" not in kind:
+        return column
+    return F.array_sort(F.map_entries(column)) if kind.startswith("map<") and "map<" not in kind[4:] else F.to_json(F.struct(column))
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,11 +41,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, Jaccard 0.8) one row stays: that of the least id, null last.
 
-    Rows are told apart by all their columns (128 bits), so texts that share an id have a verdict each; of equal rows one stays.
+    Rows are told apart by all their columns, maps by their entries (128 bits), so texts that share an id have a verdict each; of equal rows one stays.
     Texts without words are linked with nothing: all of them stay. Extra columns are passed through.
     """
-    own = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    own = [_hashable(F.col(f"`{c}`"), kind) for c, kind in docs.dtypes]
     facts = [x for c in own for x in (c.isNull(), c)]
+    K1, K2 = (_fresh(docs, c) for c in ("row_key", "row_key_too"))
     keyed = docs.withColumns({K1: F.xxhash64(*facts), K2: F.xxhash64(F.lit(1), *facts)})
     found = ngram_join.ngram_components(keyed, words=5, num=80, den=100, carry=(K1, K2))
     order = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", K1, K2)
@@ -62,7 +75,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, digests and token ids of every row, checked by decoding.
+    """doc_id, digests of the ids and of what they decode to, and token ids of every row.
 
     Null and empty texts have no ids. Repeated rows and ids are encoded each. Other columns end here.
     """
