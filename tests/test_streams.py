@@ -1,6 +1,7 @@
 """Outbox, dispatcher, listings and kept reports, over failures and restarts."""
 
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,14 +68,19 @@ def test_outbox_stream_over_a_restart(spark, tmp_path, monkeypatch):
     assert sorted(r.event_id for r in box.read("events").collect()) == ["e1", "e2", "e3"] == sorted(r.event_id for r in box.read("effects").collect())
 
 
-def drained(frame, sink, checkpoint, seconds=None):
-    """Runs a stream into a Parquet folder: all there is, or for a time."""
-    w = frame.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append")
-    if seconds is None:
-        w.trigger(availableNow=True).start().awaitTermination()
-    else:
-        q = w.trigger(processingTime="500 milliseconds").start()
-        q.awaitTermination(seconds)
+def drained(frame, sink, checkpoint):
+    """Runs a stream over all there is into a Parquet folder."""
+    frame.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+
+def runs(frame, sink, checkpoint, until):
+    """Runs a stream with timers, which has no end of its own, until something holds, for a minute at most."""
+    q = frame.writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(processingTime="500 milliseconds").start()
+    try:
+        begun = time.time()
+        while time.time() < begun + 60 and not until(q):
+            time.sleep(0.5)
+    finally:
         q.stop()
 
 
@@ -97,8 +103,8 @@ def test_dispatcher(spark, tmp_path):
     subscribers = [D.Subscriber("all", told("all")), D.Subscriber("flaky", told("flaky"), pending=1), D.Subscriber("picky", told("picky"), ["memory.*"])]
     events(spark, [(1, "e1", "memory.committed", "a"), (2, "e2", "memory.committed", "b"), (3, "e3", "graph.changed", "c"), (4, "e4", "memory.committed", "d", "{}", 99)]).coalesce(1).write.parquet(folder)
     stream = lambda: D.delivered(spark.readStream.schema(EVENT).parquet(folder), subscribers, base=300, cap=600)
-    drained(stream(), sink, checkpoint, 25)
     seen = lambda: {(r.subscriber, r.event_id): (r.outcome, r.attempts, (r.acked_at or "").partition("|")[2]) for r in spark.read.schema(D.DELIVERED).parquet(sink).where("outcome <> 'failed'").collect()}
+    runs(stream(), sink, checkpoint, lambda q: os.path.exists(sink) and len(seen()) == 12)
     got = seen()
     assert got["all", "e1"] == got["all", "e2"] == got["all", "e3"] == ("acked", 1, "")
     assert all(got[s, "e4"] == ("rejected", 0, "unsupported_schema") for s in ("all", "flaky", "picky")[:2]) and got["picky", "e4"][0] == "rejected"
@@ -107,10 +113,10 @@ def test_dispatcher(spark, tmp_path):
     # One event may wait for another try: the rest were called after it had been taken.
     assert not [f for f in os.listdir(calls) if "e4" in f] and not [f for f in os.listdir(calls) if f.startswith("picky-e3")]
     before = sorted(os.listdir(calls))
-    drained(stream(), sink, checkpoint)  # a restart delivers nothing again
+    runs(stream(), sink, checkpoint, lambda q: len(q.recentProgress) > 1)  # a restart delivers nothing again
     assert sorted(os.listdir(calls)) == before and seen() == got
     events(spark, [(5, "e5", "memory.committed", "a")]).coalesce(1).write.mode("append").parquet(folder)
-    drained(stream(), sink, checkpoint)
+    runs(stream(), sink, checkpoint, lambda q: len(seen()) == 15)
     assert seen()["all", "e5"] == ("acked", 1, "") and {r.projection_name: r.last_sequence for r in D.cursors(spark.read.schema(D.DELIVERED).parquet(sink)).collect()} == {"all": 5, "flaky": 5, "picky": 5}
 
 
