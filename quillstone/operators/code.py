@@ -39,6 +39,8 @@ def walk(edges: DataFrame, start: DataFrame, depth: int = 1, direction: str = "o
     """(id, hop, kind): every way of at most `depth` (five) hops, with a row for each, as cycles keep theirs. start: (id)."""
     a, b = ("src", "dst") if direction == "out" else ("dst", "src")
     wave, out = start.select(F.col("id").alias("at")), None
+    if depth < 1:
+        return edges.select(F.col("src").alias("id"), F.lit(0).alias("hop"), "kind").limit(0)
     for h in range(1, min(5, depth) + 1):
         wave = cut(edges.join(wave, F.col(a) == F.col("at")).select(F.col(b).alias("at"), F.lit(h).alias("hop"), "kind"))
         out = wave if out is None else out.union(wave)
@@ -46,9 +48,23 @@ def walk(edges: DataFrame, start: DataFrame, depth: int = 1, direction: str = "o
     return out.select(F.col("at").alias("id"), "hop", "kind")
 
 
+def walk_ways(edges: DataFrame, start: DataFrame, depth: int = 1, direction: str = "out") -> DataFrame:
+    """(id, hop, kind, ways): what walk() gives, counted: a hop carries a number for each node, not a row for each way, so that hubs don't multiply."""
+    a, b = ("src", "dst") if direction == "out" else ("dst", "src")
+    wave, out = start.groupBy(F.col("id").alias("at")).agg(F.count("*").alias("ways")), None
+    for h in range(1, min(5, depth) + 1):
+        step = cut(edges.join(wave, F.col(a) == F.col("at")).groupBy(F.col(b).alias("id"), "kind").agg(F.sum("ways").alias("ways")).select("id", F.lit(h).alias("hop"), "kind", "ways"))
+        out = step if out is None else out.union(step)
+        wave = step.groupBy(F.col("id").alias("at")).agg(F.sum("ways").alias("ways"))
+    return edges.select(F.col("src").alias("id"), F.lit(0).alias("hop"), "kind", F.lit(0).cast("long").alias("ways")).limit(0) if out is None else out
+
+
 def walk_named(steps: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Steps with the names and paths of their symbols, by hop, kind and name."""
     s = symbols.select("id", "qualified_name", "file_id")
-    return steps.join(s, "id").join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "hop", "kind", "qualified_name", "path")
+    more = [c for c in steps.columns if c not in ("id", "hop", "kind")]
+    rows = steps.join(s, "id").join(files.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "hop", "kind", "qualified_name", "path", *more)
+    return rows.orderBy("hop", "kind", "qualified_name", "id")
 
 
 def languages(files: DataFrame, limit: int = 20) -> DataFrame:

@@ -159,6 +159,8 @@ def impact(edges: DataFrame, root: str, depth: int = 2, ranks: DataFrame | None
         out = best if out is None else out.union(best)
         wave = best.select("node")
         seen = seen.union(wave)
+    if out is None:
+        return spark.createDataFrame([], "node string, depth int, relation string, via string, severity string")
     rank = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "HIGH", 1).when(F.col("severity") == "MEDIUM", 2).otherwise(3)
     return out.orderBy("depth", rank, "node")
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.functions.scoring import drift_score, drift_severity
-from quillstone.functions.text import fuzzy, fuzzy_tokens, is_code_file
+from quillstone.functions.text import fuzzy, is_code_file
+from quillstone.operators.containment import contained, occurrences_of
 
 #: Paths that are orphans by design (fixed values).
 BY_DESIGN = r"(?i)(docs[/\\]adr|\.specs|\.agents[/\\]skills|\.memory|\.github)[/\\]"
@@ -76,18 +77,11 @@ def snapshot_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def mentions(notes: DataFrame, changes: DataFrame, least: int = 2) -> DataFrame:
-    """(id, path, n, updated_at): notes (id, content, updated_at) that name a changed path `least` times or more.
-
-    Runs of path characters are counted by each of their ends that begin after a slash, so that `./src/pkg/f.go` names `pkg/f.go`; they meet the paths by equality. A path
-    inside of a longer name (`pkg/f.gox`) is not named by it. No text is carried beyond the first scan.
-    """
-    run = F.explode(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}\p{Nd}_./\\\-]+"), F.lit(0)))
-    tokens = notes.select("id", "updated_at", run.alias("token")).withColumn("token", F.regexp_replace(F.replace("token", F.lit("\\"), F.lit("/")), r"^[./]+|[./]+$", ""))
-    parts = tokens.select("id", "updated_at", F.split("token", "/").alias("p"))
-    ends = parts.select("id", "updated_at", F.explode(F.transform(F.sequence(F.lit(1), F.size("p")), lambda i: F.array_join(F.slice("p", i, F.size("p")), "/"))).alias("token"))
-    # Slices run to the end; map-side sums leave a row for each note and end.
-    counted = ends.groupBy("id", "updated_at", "token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return counted.join(changes.withColumn("token", F.lower("path")), "token").drop("token")
+    """(id, updated_at, n and the columns of changes): notes (id, content, updated_at) in which a changed path (all have a dot) occurs `least` times or more, letters' case aside and inside of longer names too."""
+    low = notes.select("id", F.lower("content").alias("content"))
+    paths = changes.withColumn("pattern", F.lower("path"))
+    found = occurrences_of(low, paths, least)
+    return found.join(paths, "pattern").join(notes.select("id", "updated_at"), "id").drop("pattern")
 
 
 def drift(notes: DataFrame, changes: DataFrame, commits: DataFrame, pagerank: float = 0.015, least: int = 2) -> DataFrame:
@@ -135,7 +129,8 @@ def decide(requests: DataFrame, rules: DataFrame, scope: str | None = None) -> D
     r = rules.select("idx", F.col("actor").alias("ra"), F.col("path").alias("rp"), F.col("op").alias("ro"), "decision")
 
     def like(c: str, p: str):
-        pattern = F.replace(F.col(p), F.lit("."), F.lit("\\."))
+        # All that a pattern could read as a sign is quoted; then the globs, of which ** goes over folders.
+        pattern = F.regexp_replace(p, r"([\\.^$|?+()\[\]{}])", r"\\$1")
         for glob, regex in (("**", "\u0001"), ("*", "[^/]*"), ("\u0001", ".*")):
             pattern = F.replace(pattern, F.lit(glob), F.lit(regex))
         return (F.col(p) == "*") | F.regexp_like(F.col(c), F.concat(F.lit("^"), pattern, F.lit("$")))
@@ -156,14 +151,18 @@ def precondition(requests: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def resolve_tags(tags: DataFrame, titles: DataFrame) -> DataFrame:
-    """(tag, title): equal once folded, else one inside the other, else a shared token of four letters; within a tier the first title.
+    """(tag, title): equal once folded, else one inside the other, else a token of four letters of the tag inside of a title; within a tier the first title, of equal titles the last.
 
-    tags (tag), titles (title, pos). Each tier is an equi-join but for containment, where titles are a vault's list and are broadcast.
+    tags (tag), titles (title, pos). No tier makes pairs of all: containment goes by grams.
     """
-    t = titles.withColumns({"k": fuzzy("title"), "ts": fuzzy_tokens("title")})
-    g = tags.select("tag").distinct().withColumns({"f": fuzzy("tag"), "gs": fuzzy_tokens("tag")})
+    t = titles.withColumn("k", fuzzy("title")).where("k <> ''")
+    g = tags.select("tag").distinct().withColumn("f", fuzzy("tag"))
+    keys, found = t.select(F.col("k").alias("whole")), g.where("f <> ''")
     exact = g.join(t, g["f"] == t["k"]).select("tag", "title", F.lit(0).alias("tier"), (-F.col("pos")).alias("pos"))
-    part = g.join(F.broadcast(t), (g["f"] != "") & (t["k"] != "") & (t["k"].contains(g["f"]) | g["f"].contains(t["k"]))).select("tag", "title", F.lit(1).alias("tier"), "pos")
-    gt = g.select("tag", F.explode("gs").alias("x")).where("length(x) >= 4")
-    tok = gt.join(t.select("title", "pos", F.explode("ts").alias("x")), "x").select("tag", "title", F.lit(2).alias("tier"), "pos")
+    inside = contained(found.select(F.col("f").alias("part")), keys).select(F.col("part").alias("f"), F.col("whole").alias("k"))
+    around = contained(keys.select(F.col("whole").alias("part")), found.select(F.col("f").alias("whole"))).select(F.col("whole").alias("f"), F.col("part").alias("k"))
+    part = found.join(inside.union(around).distinct(), "f").join(t, "k").select("tag", "title", F.lit(1).alias("tier"), "pos")
+    long_ = g.select("tag", F.explode(F.split(F.lower("tag"), "[-_ .]+")).alias("part")).where("length(part) >= 4").distinct()
+    held = contained(long_.select("part"), keys).withColumnRenamed("whole", "k")
+    tok = long_.join(held, "part").join(t, "k").select("tag", "title", F.lit(2).alias("tier"), "pos")
     return exact.union(part).union(tok).groupBy("tag").agg(F.min_by("title", F.struct("tier", "pos")).alias("title"))

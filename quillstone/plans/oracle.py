@@ -37,9 +37,13 @@ LOG = """log as (
         case when event_id % 5 = 0 then '2024-01-01' when event_id % 7 = 0 then '2024-01-01|bad' end as acked_at from events)"""
 SEVERITY = """case when regexp_matches(lower(relation), 'implement|depend|contradict|block|supersede') then case when depth <= 1 then 'CRITICAL' else 'HIGH' end
     when regexp_matches(lower(relation), 'link|refer|relate') and depth <= 1 then 'MEDIUM' else 'LOW' end"""
-NOTES = """notes as (select 'd' || doc_id as id, 1700000000 - doc_id * 86400 as updated_at, doc_id % 3 as times, 'pkg/f' || (doc_id % 80) || '.go' as path, doc_id % 80 as k from documents),
-changes as (select 'pkg/f' || p_partkey || '.go' as path, ['A', 'M', 'D', 'R'][p_partkey % 4 + 1] as status, p_size::bigint as additions, (p_size * 2)::bigint as deletions from part)"""
-DRIFT = """m as (select id, updated_at, 1 as paths, additions + deletions as churn from notes join changes using (path) where times >= 2),
+NOTES = """notes as (
+    select 'd' || doc_id as id, 1700000000 - doc_id * 86400 as updated_at,
+        lower(coalesce(text, '') || repeat(' ./pkg/F' || (doc_id % 80) || '.go', (doc_id % 3)::int) || case when doc_id % 5 = 0 then ' ./pkg/F' || (doc_id % 80) || '.gox,' else '' end) as content
+    from documents),
+changes as (select 'pkg/f' || p_partkey || '.go' as path, ['A', 'M', 'D', 'R'][p_partkey % 4 + 1] as status, p_size::bigint as additions, (p_size * 2)::bigint as deletions from part),
+named as (select id, updated_at, path, additions, deletions from notes join changes on contains(content, path) where (len(content) - len(replace(content, path, ''))) // len(path) >= 2)"""
+DRIFT = """m as (select id, updated_at, count(*) as paths, sum(additions + deletions) as churn from named group by 1, 2),
 r as (select id, paths, greatest(1, (select count(*) from nation where 1700000000 - n_nationkey * 864000 > m.updated_at)) as commits_behind, churn from m),
 s as (select id, paths::bigint as paths, commits_behind, churn::bigint as churn, round(least(100.0, least(40.0, 12.0 * commits_behind) + least(15.0, 30.0 * 0.015) + least(25.0, 5.0 * ln(1 + churn))), 1) as score from r),
 drift as (select *, case when score >= 75 then 'CRITICAL' when score >= 55 then 'HIGH' when score >= 30 then 'MEDIUM' else 'LOW' end as severity from s)"""
@@ -90,16 +94,20 @@ top as (select row_number() over (order by round(score, 12) desc, n_sources desc
 ABSTRACT = """(select case when length(x) > 160 then substr(x, 1, 157) || '...' else x end from (select coalesce(list_filter(list_transform(string_split({0}, chr(10)), lambda s: trim(s)), lambda s: s <> '' and s[1] <> '#')[1], '') as x))"""
 
 
-def _pagerank(n: int) -> str:
+def _ranks(n: int, edges: str) -> str:
+    """CTEs that leave `ranks` (node, rank) after n steps over edges (src, dst, w)."""
     steps = "".join(
         f""", r{k} as materialized (
     select v.node, 0.15::double / nn + 0.85 * (select coalesce(sum(rank), 0) from r{k - 1} where node not in (select src from share)) / nn + 0.85 * coalesce(g.got, 0) as rank
     from r{k - 1} v, total left join (select dst, sum(p * rank) as got from share join r{k - 1} on node = src group by dst) g on g.dst = v.node)"""
         for k in range(1, n + 1)
     )
-    return f"""with {SMALL}, flat as (select src, dst, sum(w) as w from business group by 1, 2), share as materialized (select src, dst, w / sum(w) over (partition by src) as p from flat),
-nodes as (select src as node from flat union select dst from flat), total as (select count(*)::double as nn from nodes), r0 as materialized (select node, 1 / nn as rank from nodes, total){steps}
-select node, round(rank / (select sum(rank) from r{n}), 9) as rank from r{n}"""
+    return f"""flat as (select src, dst, sum(w) as w from {edges} group by 1, 2), share as materialized (select src, dst, w / sum(w) over (partition by src) as p from flat),
+nodes as (select src as node from flat union select dst from flat), total as (select count(*)::double as nn from nodes), r0 as materialized (select node, 1 / nn as rank from nodes, total){steps},
+ranks as (select node, rank / (select sum(rank) from r{n}) as rank from r{n})"""
+
+
+OWN_RANKS = _ranks(3, "(select src, dst, weight as w from edges)")
 
 
 def _path(cost: str) -> str:
@@ -175,7 +183,7 @@ select a, b, round(s, 6) as similarity from p where s >= 0.3 and not exists (sel
     "hub_degrees": f"with {SMALL}, b as (select src, dst from business union all select 'o' || o_orderkey, 'c' || o_custkey from orders) {DEGREES.format('b')} order by total desc, in_degree desc, node limit 20",
     "neighbors_k2": f"with {EDGES} select distinct dst as node from edges where src = 'd3' or src in (select dst from edges where src = 'd3')",
     "ego_graph": f"{EGO} select node, depth from ego",
-    "pagerank_5it": _pagerank(5),
+    "pagerank_5it": f"with {SMALL}, {_ranks(5, 'business')} select node, round(rank, 9) as rank from ranks",
     "modularity_by_nation": """with e as (
     select 'c' || c_custkey as src, 'n' || c_nationkey as dst from customer union all select 's' || s_suppkey, 'n' || s_nationkey from supplier union all select 'o' || o_orderkey, 'c' || o_custkey from orders),
 c as (select 'c' || c_custkey as node, c_nationkey as k from customer union all select 's' || s_suppkey, s_nationkey from supplier union all select 'n' || n_nationkey, n_nationkey from nation union all select 'o' || o_orderkey, c_nationkey from orders join customer on o_custkey = c_custkey),
@@ -183,21 +191,21 @@ b as (select x.k as a, y.k as b from e join c x on x.node = src join c y on y.no
 t as (select k, count(*) as tot from (select a as k from b union all select b from b) group by k), i as (select a as k, 2 * count(*) as inn from b where a = b group by a)
 select round(sum(coalesce(inn, 0) / m2 - pow(tot / m2, 2)), 9) as q from t left join i using (k), m""",
     "impact_depth2": f"{IMPACT} select node, depth, relation, via, severity from impact",
-    "impact_summary": f"""{IMPACT}, a as (
+    "impact_summary": f"""{IMPACT}, {OWN_RANKS}, a as (
     select count(*) filter (depth = 1) as direct, count(*) filter (depth > 1) as indirect, count(*) filter (severity = 'CRITICAL') as critical, count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'LOW') as low,
-        sum(case severity when 'CRITICAL' then 1.0 when 'HIGH' then 0.7 when 'MEDIUM' then 0.4 else 0.1 end::double / depth * (1 + 10 * 0.001)) as raw from impact),
+        sum(case severity when 'CRITICAL' then 1.0 when 'HIGH' then 0.7 when 'MEDIUM' then 0.4 else 0.1 end::double / depth * (1 + 10 * coalesce(rank, 0))) as raw from impact left join ranks using (node)),
 r as (select *, round(100 * (1 - 1 / (1 + coalesce(raw, 0) / 5)), 1) as risk from a)
 select direct, indirect, critical, high, medium, low, risk, case when risk >= 75 then 'CRITICAL' when risk >= 50 then 'HIGH' when risk >= 25 then 'MEDIUM' else 'LOW' end as level from r""",
     "path_epistemic": _path("1.0::double / weight"),
     "path_hops": _path("1.0::double"),
     "graph_stats": f"""with {EDGES}, d as ({DEGREES.format('edges')}), a as (select count(*) as nodes, (sum(total) / 2)::bigint as edges, max(total) as max_degree, avg(total) as avg_degree, count(*) filter (total >= 4) as hubs from d)
 select *, edges::double / (nodes * (nodes - 1)) as density from a""",
-    "graph_view": f"""with {EDGES}, d as ({DEGREES.format('edges')}), t as (select max(total)::double as top from d)
-select node, {TYPE.format('node')} as type, total as degree, round(8 + 20 * total / top + case when node = 'd5' then 6 else 0 end, 1) as radius, total >= 4 or total / top > 0.6 as hub,
-    case when node = 'd5' then '#f59e0b' when {TYPE.format('node')} = 'other' then '#64748b' else '#f43f5e' end as color from d, t""",
+    "graph_view": f"""with {EDGES}, {OWN_RANKS}, d as ({DEGREES.format('edges')}), t as (select max(rank) as top from ranks)
+select node, {TYPE.format('node')} as type, total as degree, round(8 + 20 * rank / top + case when node = 'd5' then 6 else 0 end, 1) as radius, total >= 4 or rank / top > 0.6 as hub,
+    case when node = 'd5' then '#f59e0b' when {TYPE.format('node')} = 'other' then '#64748b' else '#f43f5e' end as color from d join ranks using (node), t""",
     "pack_context": NEAR2,
-    "inspect_node": f"""with {EDGES}, {DOCS}, r as (select 'in' as side, src as node, relation, 1 as depth from edges where dst = 'd7' union all select 'out', dst, relation, 1 from edges where src = 'd7')
-select side, node, relation, {SEVERITY} as severity, node in (select id from docs) as exists from r""",
+    "inspect_node": f"""with {EDGES}, {DOCS}, {OWN_RANKS}, r as (select 'in' as side, src as node, relation, 1 as depth from edges where dst = 'd7' union all select 'out', dst, relation, 1 from edges where src = 'd7')
+select side, node, relation, {SEVERITY} as severity, node in (select id from docs) as exists, round(coalesce(rank, 0), 9) as rank from r left join ranks using (node)""",
     "canvas_layout": f"""{EGO}, o as (select node, row_number() over (order by node) - 1 as i, count(*) over () as n from ego where node <> 'd5'), a as (select node, 2 * pi() * i / n as a, case when n <= 8 then 420.0 when n <= 16 then 550.0 else 700.0 end as r from o)
 select node, round(r * cos(a))::bigint as x, round(r * sin(a))::bigint as y, case when cos(a) > 0.5 then 'right' when cos(a) < -0.5 then 'left' when sin(a) > 0 then 'bottom' else 'top' end as side from a""",
     "node_resolution": f"""with {DOCS}, t as (select id, case when id = 'fr/d' or path in ('fr/d', 'fr/d.md') then 0 when lower(title) = 'fr/d' then 1 when lower(title) like 'fr/d%' or lower(path) like 'fr/d%' then 2 when lower(title) like '%fr/d%' or lower(path) like '%fr/d%' then 3 end as tier from docs)
@@ -209,7 +217,7 @@ select id from t where tier is not null order by tier, id limit 1""",
     "fallback_abstract": f"with {DOCS} select id, {ABSTRACT.format('content')} as abstract, ceil(length(trim(content)) / 4.0)::bigint as tokens from docs",
     "hub_names": f"""with {EDGES}, {DOCS}, g as ({DEGREES.format('edges')} order by total desc, in_degree desc, node limit 20)
 select node, in_degree, out_degree, total, coalesce(nullif(trim(title), ''), node) as name from g left join docs on id = node""",
-    "pagerank_order": f"""with {EDGES}, g as ({DEGREES.format('edges')}) select row_number() over (order by round(total / 7.0::double, 12) desc, in_degree desc, node)::int as place, node, round(total / 7.0::double, 6) as rank, in_degree from g qualify place <= 25""",
+    "pagerank_order": f"""with {EDGES}, {OWN_RANKS}, g as ({DEGREES.format('edges')}) select row_number() over (order by round(rank, 12) desc, in_degree desc, node)::int as place, node, round(rank, 6) as rank, in_degree from ranks join g using (node) qualify place <= 25""",
     "event_json_filter": f"with {LOG} select sequence, event_id, event_type from log where json_extract_string(payload, '$.k') = '69'",
     "search_repository": _hybrid(repository="src3"),
     "search_fts_mode": _hybrid(mode="fts"),
@@ -250,7 +258,7 @@ select * from (select coalesce(a.path, b.path) as path, case when b.path is null
     count(*) filter (severity = 'HIGH') as high, count(*) filter (severity = 'MEDIUM') as medium, count(*) filter (severity = 'LOW') as low from drift""",
     "uncovered_code": f"""with {NOTES} select path, 'pkg' as package, status, additions + deletions as churn, case status when 'A' then 'Criar nova especificação ou ADR para novo módulo de código'
     when 'D' then 'Verificar remoção de dependências e documentar depreciação' else 'Documentar mudanças arquiteturais ou criar nota de componente' end as action
-from changes where path not in (select path from notes where times >= 2)""",
+from changes where path not in (select path from named)""",
     "prune_set": f"with {DOCS} select id from docs where path like 'fr/%' and doc_id % 6 = 0",
     "policy_decisions": f"""with {DOCS}, r as (select id, path, ['admin', 'bot', '', 'guest'][doc_id % 4 + 1] as actor, case when doc_id % 2 = 0 then 'read' else 'write' end as op from docs)
 select id as request, case when actor = '' then 'deny' when actor = 'admin' then 'allow' when op = 'read' and path like 'en/%' then 'allow' when actor = 'bot' and op = 'write' then 'review' else 'deny' end as decision from r""",

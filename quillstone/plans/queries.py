@@ -80,9 +80,10 @@ class Store:
         return p.select(F.concat(F.lit("pkg/f"), "p_partkey", F.lit(".go")).alias("path"), status.alias("status"), F.col("p_size").cast("long").alias("additions"), (F.col("p_size") * 2).cast("long").alias("deletions"))
 
     def notes(self) -> DataFrame:
-        """Notes that name files: document i names file i mod 80, i mod 3 times."""
-        path = F.concat(F.lit(" pkg/f"), F.col("doc_id") % 80, F.lit(".go"))
-        return self.docs.select("id", "updated_at", F.repeat(path, (F.col("doc_id") % 3).cast("int")).alias("content"))
+        """The documents, with names of files in them: document i names file i mod 80 i mod 3 times, and each fifth has it inside of a longer name."""
+        path = F.concat(F.lit(" ./pkg/F"), F.col("doc_id") % 80, F.lit(".go"))
+        more = F.when(F.col("doc_id") % 5 == 0, F.concat(path, F.lit("x,"))).otherwise("")
+        return self.docs.select("id", "updated_at", F.concat(F.coalesce("content", F.lit("")), F.repeat(path, (F.col("doc_id") % 3).cast("int")), more).alias("content"))
 
 
 def _micro(s: Store) -> DataFrame:
@@ -93,9 +94,12 @@ def _hub_names(s: Store) -> DataFrame:
     return graph.named_degrees(s.edges, s.docs, 20)
 
 
+def _ranks(s: Store) -> DataFrame:
+    return graph.pagerank(s.edges, iterations=3, tolerance=0)
+
+
 def _pagerank_order(s: Store) -> DataFrame:
-    ranks = graph.degrees(s.edges).select("node", (F.col("total") / 7).alias("rank"))
-    return graph.pagerank_order(s.edges, ranks, 25).select("place", "node", F.round("rank", 6).alias("rank"), "in_degree")
+    return graph.pagerank_order(s.edges, _ranks(s), 25).select("place", "node", F.round("rank", 6).alias("rank"), "in_degree")
 
 
 def _event_json(s: Store) -> DataFrame:
@@ -202,8 +206,7 @@ def _impact(s: Store) -> DataFrame:
 
 
 def _impact_summary(s: Store) -> DataFrame:
-    ranks = s.docs.select(F.col("id").alias("node"), F.lit(0.001).alias("rank"))
-    return graph.impact_summary(graph.impact(s.edges, "d7", 2), ranks)
+    return graph.impact_summary(graph.impact(s.edges, "d7", 2), _ranks(s))
 
 
 def _path(mode: str):
@@ -218,9 +221,7 @@ def _graph_stats(s: Store) -> DataFrame:
 
 
 def _graph_view(s: Store) -> DataFrame:
-    e = s.edges
-    ranks = graph.degrees(e).select("node", F.col("total").cast("double").alias("rank"))
-    return graph.view(e, ranks, "d5").select("node", "type", "degree", "radius", "hub", "color")
+    return graph.view(s.edges, _ranks(s), "d5").select("node", "type", "degree", "radius", "hub", "color")
 
 
 def _pack(s: Store) -> DataFrame:
@@ -229,7 +230,7 @@ def _pack(s: Store) -> DataFrame:
 
 
 def _inspect(s: Store) -> DataFrame:
-    return graph.inspect(s.edges, s.docs.select(F.col("id").alias("node")), "d7").drop("rank")
+    return graph.inspect(s.edges, s.docs.select(F.col("id").alias("node")), "d7", _ranks(s)).withColumn("rank", F.round("rank", 9))
 
 
 def _canvas(s: Store) -> DataFrame:
@@ -400,7 +401,7 @@ def _code_walk(direction: str):
     def run(s: Store) -> DataFrame:
         f, y, e = s.code()
         start = s.spark.createDataFrame([(10,)], "id long")
-        return code.walk_named(code.walk(e, start, 3, direction), y, f).groupBy("id", "hop", "kind", "qualified_name").agg(F.count("*").alias("ways"))
+        return code.walk_named(code.walk_ways(e, start, 3, direction), y, f).select("id", "hop", "kind", "qualified_name", "ways")
 
     return run
 
