@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillstone.functions import text as T
 from quillstone.functions.scoring import time_decay
 from quillstone.operators import code, events, graph, hygiene, ingest, retrieval
+from quillstone.sources import vault
 
 EDGE = "src string, dst string, relation string, status string, weight double"
 
@@ -155,15 +156,15 @@ def test_chunks_of_long_texts(spark):
 
 
 def test_lexical_search(spark, tmp_path):
-    chunks = spark.createDataFrame([("a", "The snake_case name of a Café"), ("b", "snake and case, of cafes"), ("c", "case snake"), ("d", ""), ("e", "café café")], "id string, content string")
-    index = retrieval.LexicalIndex.build(chunks, str(tmp_path / "index"))
+    docs = spark.createDataFrame([("a", "The snake_case name of a Café"), ("b", "snake and case, of cafes"), ("c", "case snake"), ("d", ""), ("e", "café café")], "id string, content string")
+    index, chunks = retrieval.LexicalIndex.build(docs, str(tmp_path / "index")), vault.chunks(docs)
     for q in ("snake_case", "cafe", "snake case", "of café", "zzz", "", "CASE"):
         a = {r.chunk_id: r.score for r in retrieval.bm25(chunks, q).collect()}
         assert a == pytest.approx({r.chunk_id: r.score for r in index.bm25(q).collect()}), q
-        some = chunks.where("id <> 'e'")
-        assert {r.chunk_id: r.score for r in retrieval.bm25(some, q).collect()} == pytest.approx({r.chunk_id: r.score for r in index.bm25(q, within=some.select(F.col("id").alias("chunk_id"))).collect()}), q
+        some = chunks.where("document_id <> 'e'")
+        assert {r.chunk_id: r.score for r in retrieval.bm25(some, q).collect()} == pytest.approx({r.chunk_id: r.score for r in index.bm25(q, within=some.select("document_id")).collect()}), q
     ids = lambda q: {r.chunk_id for r in index.bm25(q).collect()}
-    assert ids("snake_case") == {"a"} and ids("snake case") == {"a", "b", "c"} and ids("cafe") == {"a", "e"}
+    assert ids("snake_case") == {"a#0"} and ids("snake case") == {"a#0", "b#0", "c#0"} and ids("cafe") == {"a#0", "b#0", "e#0"}
 
 
 def test_vectors_and_fallbacks(spark):
