@@ -72,6 +72,15 @@ def replay_counts(log: DataFrame, subscribers: DataFrame, first: int, last: int)
     return subscribers.join(kinds, hit, "left").groupBy("subscriber").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"))
 
 
+def replayed(log: DataFrame, subscribers: DataFrame, first: int, last: int) -> DataFrame:
+    """(subscriber and the log's columns): each event of a range for each subscriber (subscriber, pattern) that it matches, acknowledged or not; by subscriber and sequence. subscribers are a few, as they are kept by hand."""
+    pattern = F.concat(F.lit("^"), F.replace(F.replace(F.col("pattern"), F.lit("."), F.lit("\\.")), F.lit("*"), F.lit("[^/]*")), F.lit("$"))
+    kinds = log.where(F.col("sequence").between(first, last)).select("event_type").distinct()
+    pairs = subscribers.join(kinds, (F.col("pattern") == "*") | F.regexp_like(F.col("event_type"), pattern)).select("subscriber", "event_type").distinct()
+    rows = log.where(F.col("sequence").between(first, last)).join(pairs, "event_type")
+    return rows.select("subscriber", *(F.col(c) for c in log.columns)).orderBy("subscriber", "sequence")
+
+
 def redact(payload: str = "payload"):
     """struct<payload, payload_hash>: top-level keys masked, with the hash of the original; what is no object stays."""
     p = F.col(payload)

@@ -198,13 +198,14 @@ def shortest_path(edges: DataFrame, source: str, target: str, depth: int = 6, di
     return hit.select("hops", F.round("cost", 3).alias("cost"), F.array_join("path", ">").alias("path"))
 
 
-def pack(edges: DataFrame, nodes: DataFrame, root: str, depth: int = 2, budget: int = 4000, ranks: DataFrame | None = None) -> DataFrame:
+def pack(edges: DataFrame, nodes: DataFrame, root: str, depth: int = 2, budget: int = 4000, ranks: DataFrame | None = None, direction: str = "outbound") -> DataFrame:
     """(node, position, depth, tokens, place): core, fringe (its abstract) or omitted, dealt greedily by depth, rank and name.
 
-    nodes: (id, title, content, abstract). A later, smaller item may still fit, so the deal is a fold over the ordered items of one
+    nodes: (id, title, content, abstract). direction: outbound, inbound or both, the way that edges are followed. A later, smaller item may still fit, so the deal is a fold over the ordered items of one
     sub-graph, which `depth` bounds.
     """
-    near = _frontier(edges.select("src", "dst"), root, depth)
+    ways = {"outbound": edges.select("src", "dst"), "inbound": edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), "both": undirected(edges).distinct()}
+    near = _frontier(ways[direction], root, depth)
     n = near.join(nodes, near["node"] == nodes["id"])
     n = n.join(ranks, "node", "left") if ranks is not None else n.withColumn("rank", F.lit(0.0))
     full = token_estimate(F.concat_ws("\n", "title", "content")) + F.when(F.col("depth") == 0, 0).otherwise(20)

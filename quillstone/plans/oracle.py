@@ -204,6 +204,9 @@ select *, edges::double / (nodes * (nodes - 1)) as density from a""",
 select node, {TYPE.format('node')} as type, total as degree, round(8 + 20 * rank / top + case when node = 'd5' then 6 else 0 end, 1) as radius, total >= 4 or rank / top > 0.6 as hub,
     case when node = 'd5' then '#f59e0b' when {TYPE.format('node')} = 'other' then '#64748b' else '#f43f5e' end as color from d join ranks using (node), t""",
     "pack_context": NEAR2,
+    "pack_inbound": NEAR2.replace("links as (select src, dst from edges", "links as (select dst as src, src as dst from edges"),
+    "events_replayed": f"""with {LOG}, subs as (select unnest(['all', 'buy', 'c', 'none']) as subscriber, unnest(['.*', 'purchase', 'c[^/]*', 'zzz']) as pattern)
+select subscriber, sequence, event_id, event_type from log join subs on regexp_full_match(event_type, pattern) where sequence between 100 and 900""",
     "inspect_node": f"""with {EDGES}, {DOCS}, {OWN_RANKS}, r as (select 'in' as side, src as node, relation, 1 as depth from edges where dst = 'd7' union all select 'out', dst, relation, 1 from edges where src = 'd7')
 select side, node, relation, {SEVERITY} as severity, node in (select id from docs) as exists, round(coalesce(rank, 0), 9) as rank from r left join ranks using (node)""",
     "canvas_layout": f"""{EGO}, o as (select node, row_number() over (order by node) - 1 as i, count(*) over () as n from ego where node <> 'd5'), a as (select node, 2 * pi() * i / n as a, case when n <= 8 then 420.0 when n <= 16 then 550.0 else 700.0 end as r from o)

@@ -229,6 +229,11 @@ def _pack(s: Store) -> DataFrame:
     return graph.pack(s.edges.where("relation <> 'tagged_as'"), n, "d3", 2, 1500)
 
 
+def _pack_inbound(s: Store) -> DataFrame:
+    n = s.docs.select("id", "title", "content", T.fallback_abstract("content").alias("abstract"))
+    return graph.pack(s.edges.where("relation <> 'tagged_as'"), n, "d3", 2, 1500, direction="inbound")
+
+
 def _inspect(s: Store) -> DataFrame:
     return graph.inspect(s.edges, s.docs.select(F.col("id").alias("node")), "d7", _ranks(s)).withColumn("rank", F.round("rank", 9))
 
@@ -450,6 +455,11 @@ def _replay(s: Store) -> DataFrame:
     return events.replay_counts(s.log(), subs, 100, 900)
 
 
+def _replayed(s: Store) -> DataFrame:
+    subs = s.spark.createDataFrame([("all", "*"), ("buy", "purchase"), ("c", "c*"), ("none", "zzz")], "subscriber string, pattern string")
+    return events.replayed(s.log(), subs, 100, 900).select("subscriber", "sequence", "event_id", "event_type")
+
+
 def _redaction(s: Store) -> DataFrame:
     c = read(s.spark, s.dir, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.md5("text").alias("prompt"), "role")).alias("payload"))
     r = events.redact()
@@ -480,11 +490,11 @@ QUERIES = {
     "hybrid_search": _hybrid, "hybrid_search_decay": _hybrid_decay, "search_level_l0": _hybrid_l0, "category_filter": _hybrid_category, "fts_bm25": _fts, "knn_cosine": _knn("cosine"), "knn_l2": _knn("l2"),
     "quant4_search": _quant_search, "quant4_roundtrip": _quant_roundtrip, "quant4_codes": _quant_codes, "rrf_two_sources": _rrf, "time_decay": _decay, "federated_merge": _federated, "latent_pairs_jaccard": _latent_jaccard, "latent_pairs_cosine": _latent_cosine,
     "hub_degrees": _hub_degrees, "neighbors_k2": _neighbors_k2, "ego_graph": _ego_graph, "pagerank_5it": _pagerank, "modularity_by_nation": _modularity, "communities_lpa": _communities, "community_summary": _community_summary,
-    "impact_depth2": _impact, "impact_summary": _impact_summary, "path_epistemic": _path("epistemic"), "path_hops": _path("hops"), "graph_stats": _graph_stats, "graph_view": _graph_view, "pack_context": _pack, "inspect_node": _inspect, "canvas_layout": _canvas, "node_resolution": _resolve, "node_types": _node_types, "edge_weights": _edge_weights, "hub_names": _hub_names, "pagerank_order": _pagerank_order, "event_json_filter": _event_json, "search_repository": _hybrid_repository, "search_fts_mode": _hybrid_fts, "symbol_case": _symbol_case, "ordered_merge": _merge, "first_non_empty": _first_non_empty, "zero_vectors": _zero_vectors, "fts_unindexed": _fts_scan, "fts_phrase": _fts_phrase, "fts_stemmed": _fts_stemmed, "fts_simple_rank": _fts_simple, "word_stems": _stems, "search_neighbors": _search_neighbors, "similar_languages": _languages,
+    "impact_depth2": _impact, "impact_summary": _impact_summary, "path_epistemic": _path("epistemic"), "path_hops": _path("hops"), "graph_stats": _graph_stats, "graph_view": _graph_view, "pack_context": _pack, "pack_inbound": _pack_inbound, "inspect_node": _inspect, "canvas_layout": _canvas, "node_resolution": _resolve, "node_types": _node_types, "edge_weights": _edge_weights, "hub_names": _hub_names, "pagerank_order": _pagerank_order, "event_json_filter": _event_json, "search_repository": _hybrid_repository, "search_fts_mode": _hybrid_fts, "symbol_case": _symbol_case, "ordered_merge": _merge, "first_non_empty": _first_non_empty, "zero_vectors": _zero_vectors, "fts_unindexed": _fts_scan, "fts_phrase": _fts_phrase, "fts_stemmed": _fts_stemmed, "fts_simple_rank": _fts_simple, "word_stems": _stems, "search_neighbors": _search_neighbors, "similar_languages": _languages,
     "chunk_200_30": _chunks, "content_hash": _content_hash, "fallback_abstract": _abstract, "micro_abstract": _micro,
     "doctor_dead_links": _dead, "doctor_orphans": _orphans, "doctor_self_loops": _loops, "doctor_health": _health, "doctor_fix": _fixed, "staleness_report": _staleness, "drift_scores": _drift, "drift_overall": _drift_overall, "uncovered_code": _uncovered, "prune_set": _prune, "policy_decisions": _policy, "precondition": _precondition,
     "code_search_boost": _code_search, "code_walk_out": _code_walk("out"), "code_walk_in": _code_walk("in"), "code_stats": _code_stats, "code_orphans": _code_orphans, "symbol_reference_edges": _references, "ast_hash": _ast_hash,
-    "events_by_type": _events_by_type, "events_oldest_unacked": _oldest, "events_unacked_for_subscriber": _unacked, "events_tail": _tail, "events_trace": _trace, "events_replay_counts": _replay, "event_redaction": _redaction, "debounce_sessions": _debounce, "projection_latest": _latest,
+    "events_by_type": _events_by_type, "events_oldest_unacked": _oldest, "events_unacked_for_subscriber": _unacked, "events_tail": _tail, "events_trace": _trace, "events_replay_counts": _replay, "events_replayed": _replayed, "event_redaction": _redaction, "debounce_sessions": _debounce, "projection_latest": _latest,
 }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillstone.operators.lexical_index import LexicalIndex
+from quillstone.plans.lineage import cut
 from quillstone.operators.events import latest, matching, project_graph, redact, valid
 
 
@@ -46,6 +47,24 @@ def document_projection(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
+def search_projection(index: LexicalIndex, files: Callable[[DataFrame], DataFrame], first: int = 1) -> Callable[[DataFrame, int], None]:
+    """Committed notes in a LexicalIndex: each batch's latest revisions are an epoch, with the note's text from its file; a `memory.deleted` event is a tombstone.
+
+    files: the files (path, content) of rows (path). A file that is not there yet is an error, so that the batch is tried again.
+    """
+
+    def handle(batch: DataFrame, epoch: int) -> None:
+        kept = batch.where(F.col("event_type").isin("memory.committed", "memory.deleted"))
+        new = latest(kept).select(F.col("aggregate_id").cast("string").alias("id"), "revision", (F.col("event_type") == "memory.deleted").alias("deleted"), F.get_json_object("payload", "$.path").alias("path"))
+        rows = cut(new.join(files(new.where("not deleted").select("path").distinct()), "path", "left").select("id", "revision", "deleted", "path", "content"))
+        gone = rows.where("not deleted and content is null").select("path").first()
+        if gone:
+            raise FileNotFoundError(gone["path"])
+        index.apply(first + epoch, rows)
+
+    return handle
+
+
 def read_projection(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.parquet(path)).drop("epoch")
 

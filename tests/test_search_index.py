@@ -142,3 +142,22 @@ def test_search_with_and_without_an_index(spark, tmp_path):
     for doc, found in near.items():
         k = int(doc[1:])
         assert found == sorted({f"d{(5 * k + 1) % 12}", *(f"d{j}" for j in range(12) if (5 * j + 1) % 12 == k)} - {doc})
+
+
+def test_committed_notes_are_projected(spark, tmp_path):
+    index = L.LexicalIndex.create(spark, str(tmp_path / "index"))
+    texts = {"a.md": "first words", "b.md": "other words"}
+    files = lambda paths: paths.join(spark.createDataFrame(list(texts.items()), "path string, content string"), "path")
+    handle = runtime.search_projection(index, files)
+    log = lambda rows: spark.createDataFrame(rows, "sequence long, event_type string, aggregate_id string, revision long, payload string")
+    said = lambda p: '{"path": "%s", "anchors": []}' % p
+    first = log([(1, "memory.committed", "a", 1, said("a.md")), (2, "memory.committed", "b", 1, said("b.md")), (3, "graph.changed", "a", 9, "{}")])
+    handle(first, 0)
+    found = lambda q: [r.chunk_id for r in index.bm25(q).orderBy("chunk_id").collect()]
+    assert found("words") == ["a#0", "b#0"]
+    with pytest.raises(FileNotFoundError):
+        handle(log([(4, "memory.committed", "c", 1, said("c.md"))]), 1)
+    texts.update({"c.md": "new words", "a.md": "second text"})
+    handle(log([(4, "memory.committed", "c", 1, said("c.md")), (5, "memory.committed", "a", 2, said("a.md")), (6, "memory.deleted", "b", 2, "{}")]), 1)
+    handle(first, 0)  # comes again
+    assert found("words") == ["c#0"] and found("second") == ["a#0"]
