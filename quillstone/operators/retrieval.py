@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.scoring import cosine, l2, time_decay
 from quillstone.functions.stemming import stem, stems_of
-from quillstone.functions.text import fallback_abstract, lexical_tokens, query_phrases
+from quillstone.functions.text import fallback_abstract, jaccard, lexical_tokens, query_phrases
 from quillstone.operators.lexical_index import LexicalIndex, scored
 from quillstone.plans.lineage import cut
 
@@ -303,3 +303,30 @@ def latent_pairs(docs: DataFrame, sets: DataFrame, edges: DataFrame, score, leas
     best = a.join(b, "repository").where("a < b").groupBy("a", "b").agg(F.max(score("x", "y")).alias("similarity")).where(F.col("similarity") >= least)
     linked = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
     return best.join(linked, ["a", "b"], "left_anti").orderBy(F.desc(F.round("similarity", 9)), "a", "b").limit(limit)
+
+
+def latent_words(docs: DataFrame, sets: DataFrame, edges: DataFrame, least: float = 0.70, limit: int = 10) -> DataFrame:
+    """What latent_pairs gives for word sets (id, repository, item: array of distinct words) by Jaccard similarity, without pairs of all.
+
+    Of two sets with `least` of their words in common, the rarest words of each - all but a share of `least`, and one - have one in common: only sets that meet there are compared.
+    """
+    some = sets.where(F.size("item") > 0).select("id", "repository", "item")
+    often = some.select("repository", F.explode("item").alias("w")).groupBy("repository", "w").agg(F.count("*").alias("n"))
+    words = some.select("id", "repository", F.size("item").alias("size"), F.explode("item").alias("w")).join(often, ["repository", "w"])
+    # A set's words, the rarest first: as many as the set has, which was held whole before.
+    own = words.groupBy("id", "repository", "size").agg(F.array_sort(F.collect_list(F.struct("n", "w"))).alias("ws"))
+    few = F.col("size") - F.ceil(F.col("size") * F.lit(least) - 1e-9) + 1
+    first = cut(own.select("id", "repository", "size", F.explode(F.slice("ws", 1, few.cast("int"))).alias("x")).select("id", "repository", "size", F.col("x.w").alias("w")))
+    a, b = (first.select("repository", "w", F.col("id").alias(x), F.col("size").alias(f"n{x}")) for x in "ab")
+    near = a.join(b, ["repository", "w"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9)).select("a", "b").distinct()
+    item = lambda x, y: some.select(F.col("id").alias(x), F.col("item").alias(y))
+    found = near.join(item("a", "x"), "a").join(item("b", "y"), "b").select("a", "b", jaccard("x", "y").alias("similarity")).where(F.col("similarity") >= least)
+    linked = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    return found.join(linked, ["a", "b"], "left_anti").orderBy(F.desc(F.round("similarity", 9)), "a", "b").limit(limit)
+
+
+def latent(docs: DataFrame, vectors: DataFrame, words: DataFrame, edges: DataFrame, least: float = 0.70, limit: int = 10) -> DataFrame:
+    """Unlinked pairs by their vectors (id, repository, item); where there are none, by their words."""
+    if vectors.isEmpty():
+        return latent_words(docs, words, edges, least, limit)
+    return latent_pairs(docs, vectors, edges, cosine, least, limit)

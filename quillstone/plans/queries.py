@@ -326,7 +326,7 @@ def _few(s: Store) -> DataFrame:
 
 
 def _latent_jaccard(s: Store) -> DataFrame:
-    return retrieval.latent_pairs(s.docs, _few(s), s.edges, T.jaccard, 0.5, 50).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return retrieval.latent_words(s.docs, _few(s), s.edges, 0.5, 50).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 def _latent_cosine(s: Store) -> DataFrame:

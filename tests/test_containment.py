@@ -4,7 +4,8 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from quillstone.operators import code, containment, graph, hygiene
+from quillstone.functions.text import jaccard
+from quillstone.operators import code, containment, graph, hygiene, retrieval
 
 
 def test_contained_against_all_pairs(spark):
@@ -55,3 +56,13 @@ def test_walks(spark):
         assert code.walk(edges, start, 0, direction).collect() == [] == code.walk_ways(edges, start, 0, direction).collect()
     named = graph.impact(spark.createDataFrame([("a", "b", "links_to")], "src string, dst string, relation string"), "b", 0)
     assert named.collect() == [] and named.columns == ["node", "depth", "relation", "via", "severity"]
+
+
+@pytest.mark.parametrize("least", [0.3, 0.5, 0.7, 1.0])
+def test_latent_words_against_all_pairs(spark, least):
+    rnd = random.Random(4)
+    sets = [(f"d{k:02}", "ab"[k % 2], sorted({f"w{min(rnd.randrange(9), rnd.randrange(9))}" for _ in range(rnd.randrange(9))})) for k in range(60)]
+    df, edges = spark.createDataFrame(sets, "id string, repository string, item array<string>"), spark.createDataFrame([("d03", "d01"), ("d02", "d04")], "src string, dst string")
+    expected = retrieval.latent_pairs(df, df, edges, jaccard, least, 10_000).collect()
+    assert expected and retrieval.latent_words(df, df, edges, least, 10_000).collect() == expected
+    assert retrieval.latent(df, df.limit(0), df, edges, least, 5).collect() == expected[:5]
