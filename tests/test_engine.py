@@ -27,6 +27,11 @@ def test_time_decay(spark):
     assert [r.d for r in rows.select(time_decay("updated_at", now).alias("d")).collect()] == pytest.approx([1, 1, 1, 0.85, 0.775])
 
 
+def test_times_before_1970_decay_if_they_are_known(spark):
+    rows = spark.createDataFrame([(0,), (-86400,)], "updated_at long")
+    assert [r.d for r in rows.select(time_decay("updated_at", 30 * 86400, unset=False).alias("d")).collect()] == pytest.approx([0.85, 0.7 + 0.3 * 2 ** (-31 / 30)])
+
+
 def test_pagerank(spark):
     star = graph.pagerank(edges(spark, *((f"L{i}", "C") for i in range(4))))
     got = {r.node: r.rank for r in star.collect()}
