@@ -161,3 +161,16 @@ def test_committed_notes_are_projected(spark, tmp_path):
     handle(log([(4, "memory.committed", "c", 1, said("c.md")), (5, "memory.committed", "a", 2, said("a.md")), (6, "memory.deleted", "b", 2, "{}")]), 1)
     handle(first, 0)  # comes again
     assert found("words") == ["c#0"] and found("second") == ["a#0"]
+
+
+def test_postings_are_not_dealt_and_hold_lengths(spark, tmp_path):
+    rows = docs(spark, [("a#7", 0, False, "run zz running", "t", "a"), ("b", 0, False, "...", "t", "a"), ("c", 0, False, " ".join(["word"] * 300), "t", "a")])
+    index = L.LexicalIndex.build(rows, str(tmp_path / "plain"))
+    chunks = index.chunks().select("id", L.lexical_tokens("content").alias("terms"))
+    made = L.postings(chunks)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    got = [(r.term, r.chunk_id, r.len, r.places) for r in L.postings(chunks.coalesce(1)).collect()]
+    assert [g[0] for g in got] == sorted(g[0] for g in got) and {g[1:] for g in map(lambda r: (r[0], r[1], r[2]), got) if not g[0]} == {("a#7#0", 3), ("b#0", 0), ("c#0", 200), ("c#1", 130)}
+    assert [g[3] for g in got if g[0] == "run"] == [[0, 2]]
+    assert {r.document_id: (r.chunks, r.words) for r in index.documents().collect()} == {"a#7": (1, 3), "b": (1, 0), "c": (2, 330)}
+    assert index.stats().first().n == 4 and not (tmp_path / "plain/postings/epoch=0").joinpath("bucket=0").exists()
