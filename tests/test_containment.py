@@ -4,6 +4,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from quillstone.functions.scoring import cosine
 from quillstone.functions.text import jaccard
 from quillstone.operators import code, containment, graph, hygiene, retrieval
 
@@ -66,3 +67,15 @@ def test_latent_words_against_all_pairs(spark, least):
     expected = retrieval.latent_pairs(df, df, edges, jaccard, least, 10_000).collect()
     assert expected and retrieval.latent_words(df, df, edges, least, 10_000).collect() == expected
     assert retrieval.latent(df, df.limit(0), df, edges, least, 5).collect() == expected[:5]
+
+
+@pytest.mark.parametrize("limit", [3, 10_000])
+def test_latent_vectors_against_all_pairs(spark, limit, monkeypatch):
+    monkeypatch.setattr(retrieval, "PAIRED", 16)
+    rnd = random.Random(5)
+    rows = [(f"d{k % 50}", "ab"[k % 2], [float(rnd.randrange(-2, 3)) for _ in range(2 + (k % 9 == 0))]) for k in range(80)] + [("e", "a", []), ("f", None, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id string, repository string, item array<float>")
+    first = retrieval.latent_pairs(df, df, spark.createDataFrame([], "src string, dst string"), cosine, 0.3, 9).collect()
+    edges = spark.createDataFrame([(r.b, r.a) for r in first], "src string, dst string")  # the first of all are linked: more must be asked for
+    want = retrieval.latent_pairs(df, df, edges, cosine, 0.3, limit).collect()
+    assert want and retrieval.latent_vectors(df, df, edges, 0.3, limit).collect() == want
