@@ -79,3 +79,12 @@ def test_latent_vectors_against_all_pairs(spark, limit, monkeypatch):
     edges = spark.createDataFrame([(r.b, r.a) for r in first], "src string, dst string")  # the first of all are linked: more must be asked for
     want = retrieval.latent_pairs(df, df, edges, cosine, 0.3, limit).collect()
     assert want and retrieval.latent_vectors(df, df, edges, 0.3, limit).collect() == want
+
+
+def test_latent_words_of_copies_make_no_pairs_of_all(spark, monkeypatch):
+    sets = [(f"d{k:03}", "a", ["x", "y"] if k % 2 else ["x", "z"]) for k in range(60)]
+    df, edges = spark.createDataFrame(sets, "id string, repository string, item array<string>"), spark.createDataFrame([("d002", "d000"), ("d000", "d004")], "src string, dst string")
+    want = retrieval.latent_pairs(df, df, edges, jaccard, 0.5, 5).collect()
+    made, first = [], retrieval._first_members
+    monkeypatch.setattr(retrieval, "_first_members", lambda pairs, *more: made.append(pairs.count()) or first(pairs, *more))
+    assert retrieval.latent_words(df, df, edges, 0.5, 5).collect() == want and max(made) <= 3
