@@ -44,6 +44,11 @@ def whole_vectors(rows: DataFrame, key: str, label: Column, vector: str, times:
     return some.select("id", "label", F.expr(q).alias("x"))
 
 
+def _meet(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join that no side of is broadcast: Spark counts an array of doubles as one, a block of vectors as 100 bytes, and would send gigabytes through the driver."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), dim)
 
@@ -116,11 +121,11 @@ class Lists:
                 state = asked.withColumn("kth", F.lit(None).cast("long"))
             else:
                 kth = found.groupBy("q", "p").agg(F.min("score").alias("kth"), F.count("*").alias("n")).select("q", "p", F.when(F.col("n") >= k, F.col("kth")).alias("kth"))
-                state = asked.join(kth, ["q", "p"], "left").select(*asked.columns, "kth")
+                state = _meet(asked, kth, ["q", "p"], "left").select(*asked.columns, "kth")
             visits = self._visits(state, done, upto)
             if found is not None and visits.isEmpty():
                 break
-            hits = arrow_map(visits.join(self.blocks, "list"), _answers(k, same, dim), "q long, p long, score long, id long")
+            hits = arrow_map(_meet(visits, self.blocks, ["list"]), _answers(k, same, dim), "q long, p long, score long, id long")
             best = hits if found is None else found.union(hits)
             found = cut(_first_k(best.withColumn("__fall", -F.col("score")), ["q", "p"], ["__fall", "id"], k).drop("__r", "__fall"))
             done = upto
@@ -214,17 +219,17 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3
     lists = Lists.build(members, n, dim)
     anchors = once.where(anchor)
     asked = cut(anchors.groupBy("label", "x").agg(F.min("id").alias("q")))
-    of = anchors.join(asked, ["label", "x"]).select(F.col("id").alias("anchor_id"), "q")
+    of = _meet(anchors, asked, ["label", "x"]).select(F.col("id").alias("anchor_id"), "q")
     every = F.array(F.struct(F.lit(0).cast("long").alias("p"), F.lit(-LONG).alias("lo"), F.lit(LONG).alias("hi")))
     near = lists.search(asked.select("q", "label", "x", every.alias("windows")), positives + 1, True)
     # A positive's score p opens the window from ceil(low * p / 100) to floor(high * p / 100); it holds nothing below 0.
     p = F.col("score").cast("decimal(25,0)")
     window = F.struct(F.col("score").alias("p"), F.ceil(p * low / 100).cast("long").alias("lo"), F.floor(p * high / 100).cast("long").alias("hi"))
     windows = near.where("score >= 0").groupBy("q").agg(F.collect_set(window).alias("windows"))
-    far = lists.search(asked.join(windows, "q").select("q", "label", "x", "windows"), negatives, False)
+    far = lists.search(_meet(asked, windows, ["q"]).select("q", "label", "x", "windows"), negatives, False)
     pairs = near.groupBy("q").agg(F.expr("array_sort(collect_list(struct(-score as s, id)))").alias("all"))
-    chosen = of.join(pairs, "q").select("anchor_id", "q", F.explode(F.expr(f"slice(filter(all, r -> r.id <> anchor_id), 1, {positives})")).alias("r"))
+    chosen = _meet(of, pairs, ["q"]).select("anchor_id", "q", F.explode(F.expr(f"slice(filter(all, r -> r.id <> anchor_id), 1, {positives})")).alias("r"))
     ranked = far.groupBy("q", "p").agg(F.expr("array_sort(collect_list(struct(-score as s, id)))").alias("found"))
-    out = chosen.select("anchor_id", "q", F.col("r.id").alias("positive_id"), (-F.col("r.s")).alias("p")).join(ranked, ["q", "p"])
+    out = _meet(chosen.select("anchor_id", "q", F.col("r.id").alias("positive_id"), (-F.col("r.s")).alias("p")), ranked, ["q", "p"])
     out = out.select("anchor_id", "positive_id", F.col("p").alias("positive_score"), F.posexplode("found").alias("at", "f"))
     return out.select("anchor_id", "positive_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.id").alias("negative_id"), "positive_score", (-F.col("f.s")).alias("negative_score"))
