@@ -12,10 +12,10 @@ Plan, in the order of the data's shrinking:
    and only one marker for each goes on, so that a common shingle sends a row per batch, not per document.
 3. Texts of one document for each class that is left are read again: a bitmap of fixed size (SIEVE bits) of their ids is broadcast,
    and lets few other texts into the exchange by id. With many more classes left than bits it lets all pass, which costs disk, not results.
-4. Documents that share one of their n - T + 1 rarest shingles are candidates (prefix principle);
-   candidate stars give groups outside of which no link can be.
+4. Documents that share enough of their rarest shingles are candidates (prefix principle): several of them where these are rare, one
+   where a shingle is frequent. Candidate pairs and stars give groups outside of which no link can be.
 5. Each group, or each bounded block of a larger one, holds an inverted index in one task. A query merges
-   the short lists with a heap, probes the long lists by binary search (DivideSkip), and retains
+   the short lists by counting, probes the long lists by binary search (DivideSkip), and retains
    the documents that reach the required overlap. A document that is already in the block's first
    component at its turn needs no query: each of its links either stays in that component or is found
    from the other end.
@@ -31,7 +31,6 @@ id; component_id is that of its class (null if no member has an id). Extra colum
 
 from __future__ import annotations
 
-import heapq
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -50,10 +49,14 @@ BLOCK_ELEMENTS = 2_000_000
 DELEGATES = 4
 #: Part of a set that the prune counts over, beyond the shingles that a link may lack.
 SHARE = 0.10
+#: Shingles of so many classes at most are rare: pairs that share them are counted. Part of a set that the count goes over, beyond the shingles that a link may lack.
+RARE, MORE = 8, 1 / 16
 #: Bits of the bitmap of ids that texts are read again for (16 MB), in pieces of PIECE bits.
 SIEVE, PIECE = 1 << 27, 1 << 15
 #: DivideSkip's weight of a probe against a merged entry.
 MU = 0.01
+#: So many documents at most are probed one by one, more of them together.
+FEW = 16
 _MARK = 0  # class of a marker row
 
 
@@ -213,25 +216,28 @@ class _Index:
         order = np.argsort(lengths, kind="stable")
         n_long = min(t - 1, int(t / (MU * math.log2(max(2, self.longest)) + 1)))
         short, long = order[: len(order) - n_long], order[len(order) - n_long :]
-        counts: dict[int, int] = {}
-        lists = [self.lists[self.starts[m] : self.starts[m + 1]].tolist() for m in mine[short]]
-        last, seen = -1, 0
-        for b in heapq.merge(*lists):
-            if b == last:
-                seen += 1
-            else:
-                if seen >= t - n_long and last != a:
-                    counts[last] = seen
-                last, seen = b, 1
-        if seen >= t - n_long and last != a:
-            counts[last] = seen
-        found = []
+        met = np.concatenate([self.lists[self.starts[m] : self.starts[m + 1]] for m in mine[short]])
+        if 4 * len(met) > len(self.n):
+            times = np.bincount(met, minlength=len(self.n))
+            b = np.flatnonzero(times)
+            have = times[b]
+        else:
+            b, have = np.unique(met, return_counts=True)
+        want = required(n_a + self.n[b], self.num, self.num + self.den)
+        near = (have >= t - n_long) & (b != a) & (np.minimum(n_a, self.n[b]) >= want)
+        b, have, want = b[near], have[near], want[near]
+        new = np.array([not settled(x) for x in b.tolist()], bool)
+        b, have, want = b[new], have[new], want[new]
         probes = [self.lists[self.starts[m] : self.starts[m + 1]] for m in mine[long]]
-        for b, have in counts.items():
-            n_b = int(self.n[b])
-            want = required(n_a + n_b, self.num, self.num + self.den)
-            if min(n_a, n_b) < want or settled(b):
-                continue
+        if len(b) > FEW:
+            for k, lst in enumerate(probes):
+                if k % 16 == 0:
+                    alive = have + (len(probes) - k) >= want
+                    b, have, want = b[alive], have[alive], want[alive]
+                have = have + (lst[np.minimum(np.searchsorted(lst, b), len(lst) - 1)] == b)
+            return b[enough(have, n_a, self.n[b], self.num, self.den)].tolist()
+        found = []
+        for b, have, want in zip(b.tolist(), have.tolist(), want.tolist(), strict=True):
             left = len(probes)
             for lst in probes:
                 if have + left < want:
@@ -239,7 +245,7 @@ class _Index:
                 left -= 1
                 i = bisect_left(lst, b)
                 have += i < len(lst) and lst[i] == b
-            if enough(have, n_a, n_b, self.num, self.den):
+            if enough(have, n_a, int(self.n[b]), self.num, self.den):
                 found.append(b)
         return found
 
@@ -318,6 +324,27 @@ def _again(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return found.union(docs.where("doc_id is null").select(F.col("text").cast("binary")))
 
 
+def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): edges over which any two sets that link are connected. rows (cid, n, arr by rarity, p, low: how many of arr at most RARE classes have).
+
+    Of two sets that link, let a be the one whose first p + MORE * n shingles end first: all but t - need of its shingles are among these, and so `need` of those that both have, where need exceeds MORE * n.
+    Pairs on rare shingles are counted, so that a single shingle that strangers share ties no groups together. Sets that reach frequent shingles (not `pure`) meet as stars there.
+    """
+    q = F.least(F.size("arr"), F.col("p") + F.floor(MORE * F.col("n"))).cast("int")
+    rows = rows.withColumn("q", q).withColumn("need", F.col("q") - F.col("p") + 1).withColumn("pure", F.col("q") <= F.col("low"))
+    rare = rows.select("cid", "n", "need", "pure", F.explode(F.slice("arr", F.lit(1), F.least("q", "low"))).alias("h"))
+    met = rare.groupBy("h").agg(F.collect_list(F.struct("cid", "n", "need", "pure")).alias("c")).where("size(c) > 1")  # RARE at most
+    pair = "struct(least(x.cid, y.cid) as a, greatest(x.cid, y.cid) as b, if(x.pure or y.pure, least(x.need, y.need), 1) as need)"
+    fits = f"y -> {den}l * least(x.n, y.n) >= {num}l * greatest(x.n, y.n)"
+    pairs = met.select(F.explode(F.expr(f"flatten(transform(c, (x, i) -> transform(filter(slice(c, i + 2, {RARE}), {fits}), y -> {pair})))")).alias("r")).select("r.*")
+    close = pairs.groupBy("a", "b").agg(F.count("*").alias("both"), F.max("need").alias("need")).where("both >= need").select("a", "b")
+
+    often = rows.where("not pure and p > low").select("cid", F.explode(F.slice("arr", F.col("low") + 1, F.col("p") - F.col("low"))).alias("h"))
+    hubs = often.groupBy("h").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub <> top").select("h", "hub")
+    stars = often.join(hubs, "h").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
+    return close.union(stars)
+
+
 def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row: documents link if den*|A n B| >= num*|A u B|.
 
@@ -339,13 +366,11 @@ def ngram_components(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     rows = whole.select("cid", "n").join(lived, "cid").withColumn("t", F.expr(f"cast(ceil(n * {num}l / {den}l) as int)"))
     # The n - t + 1 rarest: shingles that are not live come first and share nothing.
     rows = rows.where(F.size("live") >= F.col("t")).withColumn("p", F.size("live") - F.col("t") + 1)
-    rows = cut(rows.select("cid", "n", F.col("live.h").alias("arr"), "p"))
+    low = F.size(F.filter("live", lambda x: x["df"] <= RARE)).alias("low")
+    rows = cut(rows.select("cid", "n", F.col("live.h").alias("arr"), F.col("p").cast("int").alias("p"), low))
     release(whole)
 
-    lists = rows.select("cid", "n", F.explode(F.slice("arr", 1, F.col("p").cast("int"))).alias("h"))
-    hubs = lists.groupBy("h").agg(F.min("cid").alias("hub"), F.max("cid").alias("top")).where("hub <> top").select("h", "hub")
-    stars = lists.join(hubs, "h").where("cid <> hub").select(F.col("cid").alias("a"), F.col("hub").alias("b")).distinct()
-    groups = connected_components(stars).select(F.col("node").alias("cid"), F.col("label").alias("sg"))
+    groups = connected_components(_candidates(rows, num, den)).select(F.col("node").alias("cid"), F.col("label").alias("sg"))
 
     solve = _solve(num, den)
     items = cut(_blocks(rows.join(groups, "cid").withColumn("arr", F.sort_array("arr")).select("cid", "sg", "n", "arr"), 0))

@@ -1,8 +1,49 @@
 """Steps that must not grow faster than their input."""
 
+import time
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from quillstone.llm import hard_negatives
+from quillstone.llm import hard_negatives, ngram_join
+
+
+def test_strangers_with_one_rare_shingle_in_common_are_groups_of_their_own(spark, monkeypatch):
+    texts = []
+    for family in "ab":
+        words = [f"{family}{i}" for i in range(200)]
+        texts += [words, words[:100] + ["one", "passage", "of", "both"] + words[104:]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    groups, blocks = [], ngram_join._blocks
+
+    def counted(rows, level):
+        groups.append(rows.select("sg").distinct().count())
+        return blocks(rows, level)
+
+    monkeypatch.setattr(ngram_join, "_blocks", counted)
+    found = ngram_join.ngram_components(docs, words=4, num=85, den=100)
+    assert {r.doc_id: r.component_id for r in found.collect()} == {0: 0, 1: 0, 2: 2, 3: 2}
+    assert groups == [2]
+
+
+@pytest.mark.parametrize("rare", [1, 2, 8])
+def test_links_hold_over_rare_and_frequent_shingles(spark, monkeypatch, rare):
+    monkeypatch.setattr(ngram_join, "RARE", rare)
+    rng = np.random.default_rng(3)
+    texts = []
+    for family in range(6):
+        words = [f"{family if rng.random() < 0.6 else 'x'}w{i}" for i in range(int(rng.integers(3, 90)))]
+        for _ in range(12):
+            texts.append([w if rng.random() < 0.99 else f"{w}{int(rng.integers(3))}" for w in words[: len(words) - int(rng.integers(3))]])
+    sets = [{tuple(t[i : i + 4]) for i in range(max(1, len(t) - 3))} for t in texts]
+    least = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            least[i] = min(least[j] for j, b in enumerate(sets) if 100 * len(a & b) >= 85 * len(a | b))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs, words=4, num=85, den=100).collect()}
+    assert [found[i] for i in range(len(sets))] == least
 
 
 def test_no_vectors_are_broadcast(spark, monkeypatch):
@@ -17,3 +58,17 @@ def test_no_vectors_are_broadcast(spark, monkeypatch):
     assert hard_negatives.mine(rows, F.col("id") % 50 == 0).count()
     met = [p for p in plans if "Join" in p]
     assert met and not any("Broadcast" in p for p in met)
+
+
+def test_a_thousand_near_copies_are_searched_in_seconds():
+    rng = np.random.default_rng(1000)
+    base, sets = rng.integers(1, 1 << 60, 390), []
+    for i in range(1000):
+        own = np.where(rng.random(390) < 0.09, rng.integers(1, 1 << 60, 390) if i % 2 else rng.choice(1000, 390), base)
+        sets.append(np.unique(own))
+    n = np.array([len(s) for s in sets])
+    began = time.time()
+    found = ngram_join.components_of(n, np.concatenate([[0], np.cumsum(n)]), np.concatenate(sets), 85, 100)
+    assert time.time() - began < 25
+    links = [(a, b) for a in range(0, 1000, 50) for b in range(1000) if a != b and ngram_join.enough(len(np.intersect1d(sets[a], sets[b])), n[a], n[b], 85, 100)]
+    assert all(found[a] == found[b] for a, b in links) and all((found == found[a]).sum() == 1 for a in set(range(0, 1000, 50)) - {x for x, _ in links})
