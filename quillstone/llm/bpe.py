@@ -34,12 +34,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_map, kept
+from quillstone.llm.common import arrow_map, kept, trim
 
 #: Keys in the newer of two generations of the worker's cache.
 CACHE_WORDS = 150_000
 QUERY_WORDS = 20_000
 TEXT_BYTES = 4_000_000
+#: Texts whose ids are laid out at once.
+TEXTS = 64
 LONG = 64
 #: Longer words are contracted with a heap; a position in the recursive query is below 1024.
 HEAP = 512
@@ -110,12 +112,12 @@ class Codec:
         self.width = np.zeros(max(self.ranks.values()) + 1, np.int64)
         for token, rank in self.ranks.items():
             self.width[rank] = len(token)
-        #: Of each key its ids and the bytes that they decode to.
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
-        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        #: Of each key its ids and the bytes that they decode to, in one string (`_pack`): tuples took as much memory again.
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         #: The same of the words of keys with several.
-        self.words: dict[bytes, tuple[bytes, bytes]] = {}
-        self.older_words: dict[bytes, tuple[bytes, bytes]] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.older_words: dict[bytes, bytes] = {}
 
     def close(self) -> None:
         self.con.close()
@@ -225,7 +227,9 @@ class Codec:
                 n += count[i]
         keys = pa.array(odd, pa.large_binary())
         if even:
-            keys = pa.concat_arrays([pc.split_pattern(pa.array([b" ".join(even)], pa.large_binary()), b" ").flatten(), keys])
+            whole = pa.array([b" ".join(even)], pa.large_binary())
+            even.clear()
+            keys = pa.concat_arrays([pc.split_pattern(whole, b" ").flatten(), keys]) if odd else pc.split_pattern(whole, b" ").flatten()
         for i in late:
             begin[i] += n
         return keys, begin, [b + c for b, c in zip(begin, count, strict=True)]
@@ -260,27 +264,57 @@ class Codec:
         unseen = {p for ps in parts for p in ps if p not in self.words and p not in self.older_words}
         words = [b" " + key for key in new] + list(unseen)
         ids = self.contract(words)
-        found = list(zip(ids, self.decode(ids), strict=True))
+        found = list(map(_pack, ids, self.decode(ids)))
         known.update(zip(new, found, strict=False))
         self.words.update(zip(words[len(new) :], found[len(new) :], strict=True))
         for key, ps in zip(some, parts, strict=True):
             of = [self.words.get(p) or self.older_words[p] for p in ps]
-            known[key] = of[0] if len(of) == 1 else (b"".join([x[0] for x in of]), b"".join([x[1] for x in of]))
+            known[key] = of[0] if len(of) == 1 else _pack(b"".join(map(_ids, of)), b"".join(map(_plain, of)))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[memoryview, memoryview]]:
         """Of each text the ids as little-endian 32-bit integers and the bytes decoded from them."""
         keys, begin, end = self.chunks(texts)
         found = keys.dictionary_encode()
+        del keys, texts
         places, raw = _parts(found.dictionary)
         raw, ends = bytes(raw), places.tolist()
         distinct = [raw[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        del raw, ends, places
         self.learn(distinct)
-        each = [self.known[k] for k in distinct]
-        # Ids decode one by one, so a text's bytes are those decoded from its words' ids, in order.
-        a, ids = _parts(pa.array([x[0] for x in each], pa.large_binary()).take(found.indices))
-        b, plain = _parts(pa.array([x[1] for x in each], pa.large_binary()).take(found.indices))
-        for i, k in zip(begin, end, strict=True):
-            yield ids[a[i] : a[k]], plain[b[i] : b[k]]
+        of_ids, of_plain = (pa.array([part(self.known[k]) for k in distinct], pa.large_binary()) for part in (_ids, _plain))
+        indices = found.indices
+        del distinct, found
+        # Ids decode one by one, so a text's bytes are those decoded from its words' ids, in order. Only some texts' are laid out at once.
+        for at in range(0, len(begin), TEXTS):
+            some = list(zip(begin[at : at + TEXTS], end[at : at + TEXTS], strict=True))
+            for n in _runs(some):
+                first = some[n[0]][0]
+                part = indices.slice(first, some[n[1] - 1][1] - first)
+                a, ids = _parts(of_ids.take(part))
+                b, plain = _parts(of_plain.take(part))
+                for i, k in some[n[0] : n[1]]:
+                    yield ids[a[i - first] : a[k - first]], plain[b[i - first] : b[k - first]]
+
+
+def _pack(ids: bytes, plain: bytes) -> bytes:
+    return len(ids).to_bytes(4, "little") + ids + plain
+
+
+def _ids(packed: bytes) -> bytes:
+    return packed[4 : 4 + int.from_bytes(packed[:4], "little")]
+
+
+def _plain(packed: bytes) -> bytes:
+    return packed[4 + int.from_bytes(packed[:4], "little") :]
+
+
+def _runs(spans: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Ranges of spans of which each begins where the one before ends."""
+    begin = 0
+    for n in range(1, len(spans) + 1):
+        if n == len(spans) or spans[n][0] != spans[n - 1][1]:
+            yield begin, n
+            begin = n
 
 
 def _parts(strings: pa.LargeBinaryArray) -> tuple[np.ndarray, memoryview]:
@@ -326,6 +360,9 @@ def encode(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> D
                     out.append(pa.array([np.frombuffer(g[3], "<u4").astype(np.int32) for g in got], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
+                # What a part took is given back before the next, not after the task's last.
+                del texts, got, out
+                trim()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")), run, schema, keeps="bpe")
