@@ -5,12 +5,14 @@ structure. Both are logistic regressions. In each round, each view labels the po
 Afterwards each view's margin is calibrated on labelled documents that trained neither, and the calibrated log odds are combined by a
 logistic regression on the same documents. All documents are scored by one scan with the two weight vectors (fixed size).
 
-Fitted on a bounded sample of labelled rows, as documented by `labelled`: that many at most, the first by a seeded hash of the id. One in POOL of them is the pool,
-whose labels are not read. Their features, not texts, come to the driver. A document is good if quality = 1 and toxic = 0. It is rejected if its combined score is below the
-threshold: the lesser of 0.5 and the score that `keep` of the good calibration documents reach.
+All labels are read, and all documents without a label are the pool. Labelled documents and pool are dealt by a seeded hash of the id into blocks of
+about BLOCK labelled and POOL pool documents at most; each block is co-trained in a task of its own, and the model's weights are the means of the blocks'.
+A class of which a block would get fewer than LEAST documents goes to several blocks. One in HELD labelled documents trains nothing and calibrates.
+The driver sees the mean weights, counts of held documents by rounded margins, and the least scores that set the threshold. A document is good if quality = 1
+and toxic = 0. It is rejected if its combined score is below the threshold: the lesser of 0.5 and the score that `keep` of the good calibration documents reach.
 
 Defined results. Null or empty text: features of no words; scored by the rest. Null source or lang: a value of its own. Labels with nulls or conflicting labels
-of a document: left out. No labels, or all alike: score 0.5 for all, all kept. Null doc_id: scored as any. Repeated rows: each is
+of a document: it is in the pool. No labels, or all alike: score 0.5 for all, all kept. Null doc_id: scored as any, trains nothing. Repeated rows: each is
 returned. Extra columns are ignored by the query and passed through by `keep_good`.
 """
 
@@ -25,11 +27,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import arrow_map
+from quillstone.llm.common import arrow_map, cut, let_go, release, trim
 
 WORD_BITS = 16
-#: One labelled document in so many is co-trained on as if it had no label.
-POOL = 20
+#: Labelled and pool documents of a block, and of a class at least.
+BLOCK, POOL, LEAST = 4000, 16000, 100
+#: One labelled document in so many calibrates.
+HELD = 5
+#: Weights are added as integers of this scale, so that their order doesn't matter.
+UNIT = 2.0**32
 META_BITS = 12
 N_STATS = 9
 _LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
@@ -94,13 +100,21 @@ def fit(ids: list[np.ndarray], stats: np.ndarray, y: np.ndarray, size: int, step
     # A word seen a few times tells little: shrink its ratio by its count.
     ratio *= (p + q) / (p + q + 10)
     weight = np.where(y > 0, 0.5 / n1, 0.5 / n0)
-    w, s, b = np.zeros(size), np.zeros(stats.shape[1]), 0.0
+    s, b = np.zeros(stats.shape[1]), 0.0
+    # Only words that occur have a gradient. A document's words lie side by side in flat, a word's documents in holders.
+    seen, flat, often = np.unique(flat, return_inverse=True, return_counts=True)
+    holders, heads = owner[np.argsort(flat, kind="stable")], np.cumsum(often) - often
+    ratio, w = ratio[seen], np.zeros(len(seen))
+    some = np.flatnonzero(lengths)
+    starts = (np.cumsum(lengths) - lengths)[some]
     moments = [[np.zeros_like(w), np.zeros_like(w)], [np.zeros_like(s), np.zeros_like(s)], [0.0, 0.0]]
-    r = ratio[flat]
     for t in range(1, steps + 1):
-        z = np.bincount(owner, w[flat] * r, minlength=len(ids)) + stats @ s + b
+        z = stats @ s + b
+        if len(some):
+            z[some] += np.add.reduceat((w * ratio)[flat], starts)
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        grads = [np.bincount(flat, g[owner] * r, minlength=size) + ridge * w / size**0.5, stats.T @ g + ridge * s * 0.01, g.sum()]
+        told = np.add.reduceat(g[holders], heads) if len(heads) else np.zeros(0)
+        grads = [told * ratio + ridge * w / size**0.5, stats.T @ g + ridge * s * 0.01, g.sum()]
         new = []
         for k, (value, grad) in enumerate(zip((w, s, b), grads, strict=True)):
             m = moments[k]
@@ -108,16 +122,18 @@ def fit(ids: list[np.ndarray], stats: np.ndarray, y: np.ndarray, size: int, step
             rate = 0.3 if k else 0.05
             new.append(value - rate * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.99**t)) + 1e-8))
         w, s, b = new
-    return Linear(w * ratio, s, float(b))
+    words = np.zeros(size)
+    words[seen] = w * ratio
+    return Linear(words, s, float(b))
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Coefficients and bias of a small logistic regression by Newton's method with a light ridge."""
+def calibrate(x: np.ndarray, y: np.ndarray, n: np.ndarray | float = 1.0, steps: int = 200) -> np.ndarray:
+    """Coefficients and bias of a small logistic regression by Newton's method with a light ridge; n: how often each row stands."""
     a = np.column_stack([x, np.ones(len(x))])
     c = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(c)), a.T @ (p - y) + 1e-2 * c)
+        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + 1e-2 * np.eye(len(c)), a.T @ (n * (p - y)) + 1e-2 * c)
         c -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -141,18 +157,17 @@ class Model:
         return tuple(1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zt, zm, zj))
 
 
-def cotrain(ids, stats, meta, y: np.ndarray, rounds: int = 3, sure: float = 0.95, share: float = 0.05, keep: float = 0.995) -> Model | None:
-    """y: 1 good, 0 bad, -1 unlabelled (pool). Every fifth labelled document calibrates. None if the labels are all alike."""
-    known = np.flatnonzero(y >= 0)
-    held, train = known[::5], known[np.arange(len(known)) % 5 != 0]
-    if len(held) < 4 or min(np.bincount(y[train].astype(int), minlength=2)) == 0 or min(np.bincount(y[held].astype(int), minlength=2)) == 0:
+def cotrain(ids, stats, meta, y: np.ndarray, rounds: int = 3, sure: float = 0.95, share: float = 0.05) -> list[Linear] | None:
+    """Text and metadata view of a block; y: 1 good, 0 bad, -1 unlabelled (pool). None if the labels are all alike.
+
+    A round gives the other view, of each class, at most `share` as many pool documents as there are labelled ones.
+    """
+    train, pool = np.flatnonzero(y >= 0), np.flatnonzero(y < 0)
+    if not len(train) or min(np.bincount(y[train].astype(int), minlength=2)) == 0:
         return None
-    pool = np.flatnonzero(y < 0)
-    own = [dict.fromkeys(train.tolist()), dict.fromkeys(train.tolist())]
-    for k in own:
-        k.update((i, int(y[i])) for i in train)
+    own: list[dict[int, int]] = [{i: int(y[i]) for i in train.tolist()} for _ in range(2)]
     none = np.zeros((len(y), 1))
-    views: list[Linear] = []
+    most = max(1, int(share * len(train)))
     for turn in range(rounds + 1):
         views = []
         for v, (f, d, size) in enumerate(((ids, stats, 1 << WORD_BITS), (meta, none, 1 << META_BITS))):
@@ -167,54 +182,119 @@ def cotrain(ids, stats, meta, y: np.ndarray, rounds: int = 3, sure: float = 0.95
                 continue
             c = calibrate(views[v].margin([f[i] for i in train], d[train])[:, None], y[train])
             p = 1 / (1 + np.exp(-np.clip(views[v].margin([f[i] for i in left], d[left]) * c[0] + c[1], -30, 30)))
-            most = max(1, int(share * len(pool)))
             for label, q in ((1, p), (0, 1 - p)):
                 best = np.argsort(-q, kind="stable")[:most]
                 other.update((int(left[i]), label) for i in best if q[i] >= sure)
-    ct = calibrate(views[0].margin([ids[i] for i in held], stats[held])[:, None], y[held])
-    cm = calibrate(views[1].margin([meta[i] for i in held], none[held])[:, None], y[held])
-    model = Model(*views, ct, cm, np.array([1.0, 1.0, 0.0]), 0.5)
-    logit = lambda p: np.log(p / (1 - p))
-    pt, pm, _ = model.score([ids[i] for i in held], stats[held], [meta[i] for i in held])
-    model.joint = calibrate(np.column_stack([logit(pt), logit(pm)]), y[held])
-    joint = model.score([ids[i] for i in held], stats[held], [meta[i] for i in held])[2]
-    good = np.sort(joint[y[held] > 0])
-    model.threshold = float(min(0.5, good[int((1 - keep) * len(good))]))
-    return model
+    return views
 
 
-_FEATURES = "doc_id long, words array<long>, stats array<double>, meta array<long>"
+_FEATURES = "doc_id long, turn long, words binary, stats binary, meta binary"
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features as bytes of 16-bit numbers and doubles: a fraction of the texts."""
     for batch in batches:
         words, stats, meta = [], [], []
         for t, s, la in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             w, d = text_features(t or b"")
-            words.append(w), stats.append(d), meta.append(meta_features(t or b"", s, la))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.int64())), pa.array(stats, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.int64()))], names=["doc_id", "words", "stats", "meta"])
+            words.append(w.astype("<u2").tobytes()), stats.append(d.astype("<f8").tobytes()), meta.append(meta_features(t or b"", s, la).astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), *(pa.array(x, pa.binary()) for x in (words, stats, meta))], names=["doc_id", "turn", "words", "stats", "meta"])
+
+
+def _unpack(rows: pa.Table | pa.RecordBatch) -> tuple[list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    words, meta = ([np.frombuffer(x, "<u2").astype(np.int64) for x in rows.column(c).to_pylist()] for c in ("words", "meta"))
+    return words, np.frombuffer(b"".join(rows.column("stats").to_pylist()), "<f8").reshape(-1, N_STATS), meta
 
 
 def _views(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"))
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 12000, seed: int = 7, **options) -> Model | None:
+def _places(views: list[Linear]) -> np.ndarray:
+    """All numbers of both views, one after the other."""
+    return np.concatenate([x for v in views for x in (v.words, v.stats, [v.bias])])
+
+
+def _of_places(flat: np.ndarray) -> list[Linear]:
+    out = []
+    for size, n in ((1 << WORD_BITS, N_STATS), (1 << META_BITS, 1)):
+        out.append(Linear(flat[:size], flat[size : size + n], float(flat[size + n])))
+        flat = flat[size + n + 1 :]
+    return out
+
+
+def labelled_features(docs: DataFrame, labels: DataFrame, seed: int = 7) -> DataFrame:
+    """(doc_id, words, stats, meta, y, held) of every document with an id: y 1 good, 0 bad, -1 without a label or with conflicting ones."""
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
     clean = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(good.cast("int")).alias("y"), F.max(good.cast("int")).alias("z")).where("y = z")
-    turn = F.xxhash64(F.lit(seed), "doc_id")
-    unread = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(POOL)) == 0
-    # At most `labelled` ids: the side that is broadcast has that bound.
-    ids = clean.select("doc_id", F.when(unread, -1).otherwise(F.col("y")).alias("y")).orderBy(turn, "doc_id").limit(labelled)
     # Of rows that share an id the one with the least hash is read, so that reruns agree.
-    views = _views(docs.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi"))
-    one = views.groupBy("doc_id").agg(F.min_by(F.struct("text", "source", "lang"), F.xxhash64("text", "source", "lang")).alias("v")).select("doc_id", "v.*")
-    rows = arrow_map(one, _features, _FEATURES)
-    got = rows.join(F.broadcast(ids), "doc_id").orderBy(turn, "doc_id").toArrow()
-    if not got.num_rows:
+    rows = arrow_map(_views(docs).where("doc_id is not null").withColumn("turn", F.xxhash64("text", "source", "lang")), _features, _FEATURES)
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("words", "stats", "meta"), "turn").alias("v")).select("doc_id", "v.*")
+    held = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.lit(HELD)) == 0
+    return one.join(clean.select("doc_id", "y"), "doc_id", "left").select("doc_id", "words", "stats", "meta", F.coalesce("y", F.lit(-1)).alias("y"), (held & F.col("y").isNotNull()).alias("held"))
+
+
+def blocks_of(rows: DataFrame, sizes: dict[tuple[int, bool], int], seed: int = 7) -> DataFrame:
+    """The rows that train and the pool, with the block of each; sizes: rows by (y, held)."""
+    known = sum(n for (y, _), n in sizes.items() if y >= 0)
+    n = max(1, -(-known // BLOCK), -(-sizes.get((-1, False), 0) // POOL))
+    copies = F.lit(1)
+    for y in (0, 1):
+        copies = F.when(F.col("y") == y, min(n, -(-LEAST * n // max(1, sizes.get((y, False), 0))))).otherwise(copies)
+    first = F.xxhash64(F.lit(seed), "doc_id")
+    dealt = rows.where("not held").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
+    return dealt.withColumn("block", F.pmod(F.pmod(first, F.lit(n)) + F.col("copy"), F.lit(n)).cast("int"))
+
+
+def train(docs: DataFrame, labels: DataFrame, keep: float = 0.995, seed: int = 7, **options) -> Model | None:
+    """The model of all labels and documents; options go to cotrain()."""
+    rows = cut(labelled_features(docs, labels, seed))
+    sizes = {(r.y, r.held): r["count"] for r in rows.groupBy("y", "held").count().collect()}
+    if sizes.get((0, True), 0) + sizes.get((1, True), 0) < 4 or not all(sizes.get((y, h)) for y in (0, 1) for h in (False, True)):
+        release(rows)
+        return None
+
+    def one(block: pa.Table) -> pa.Table:
+        let_go(None)
+        block = block.sort_by("doc_id")
+        views = cotrain(*_unpack(block), block.column("y").to_numpy().astype(float), **options)
+        trim()
+        flat = np.rint(_places(views) * UNIT).astype(np.int64) if views else np.empty(0, np.int64)
+        # The last place counts blocks.
+        at = np.append(np.flatnonzero(flat), len(flat)) if views else np.empty(0, np.int64)
+        return pa.table({"place": pa.array(at, pa.int64()), "w": pa.array(np.append(flat, 1)[at] if views else flat, pa.int64())})
+
+    found = blocks_of(rows, sizes, seed).groupBy("block").applyInArrow(one, "place long, w long").groupBy("place").agg(F.sum("w").alias("w")).toArrow()
+    flat = np.zeros((1 << WORD_BITS) + N_STATS + 1 + (1 << META_BITS) + 2)
+    place, w = found.column("place").to_numpy(), found.column("w").to_numpy()
+    if not len(w):
+        release(rows)
         return None
-    arrays = [[np.array(x, kind) for x in got.column(c).to_pylist()] for c, kind in (("words", np.int64), ("stats", float), ("meta", np.int64))]
-    return cotrain(arrays[0], np.array(arrays[1]).reshape(-1, N_STATS), arrays[2], got.column("y").to_numpy().astype(float), **options)
+    total = w[place == len(flat)][0]
+    flat[place[place < len(flat)]] = w[place < len(flat)] / UNIT / total
+    text, meta = _of_places(flat)
+
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, stats, facts = _unpack(b)
+            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(text.margin(ids, stats)), pa.array(meta.margin(facts, np.zeros((len(facts), 1))))], names=["y", "t", "m"])
+
+    held = cut(arrow_map(rows.where("held").select("y", "words", "stats", "meta"), margins, "y int, t double, m double"))
+    release(rows)
+
+    def fitted(steps: int, *by) -> np.ndarray:
+        """A calibration on counts of held documents by values rounded to 1/steps: at most (64 * steps + 1) of each."""
+        cells = held.groupBy("y", *(F.rint(F.least(F.greatest(c, F.lit(-32.0)), F.lit(32.0)) * steps).alias(f"c{k}") for k, c in enumerate(by))).count().orderBy("y", *(f"c{k}" for k in range(len(by)))).toArrow()
+        x = np.column_stack([cells.column(f"c{k}").to_numpy() / steps for k in range(len(by))])
+        return calibrate(x, cells.column("y").to_numpy().astype(float), cells.column("count").to_numpy().astype(float))
+
+    ct, cm = fitted(256, F.col("t")), fitted(256, F.col("m"))
+    zt, zm = F.col("t") * float(ct[0]) + float(ct[1]), F.col("m") * float(cm[0]) + float(cm[1])
+    joint = fitted(16, zt, zm)
+    last = int((1 - keep) * sizes[1, True])
+    least = held.where("y = 1").select((zt * float(joint[0]) + zm * float(joint[1]) + float(joint[2])).alias("z")).orderBy("z").limit(last + 1).agg(F.max("z")).first()[0]
+    release(held)
+    return Model(text, meta, ct, cm, joint, float(min(0.5, 1 / (1 + np.exp(-np.clip(least, -30, 30))))))
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
