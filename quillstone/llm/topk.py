@@ -2,9 +2,11 @@
 
 A vector's code has a bit for each positive coordinate (64 at most). The code is cut into `segments`; each
 distinct code is filed under each of its segments. Round r probes, for each query still open, every
-key at Hamming distance r of each of its segments, and verifies what it finds by whole codes. After round r every code
-with a segment at distance r or less has been seen, so all codes closer than segments * (r + 1) are known;
-a query closes when its k-th verified distance is below that. Segments that are probed to their full length cover everything.
+key at Hamming distance r of its segments, and verifies what it finds by whole codes. A query's k-th verified distance
+(`within`) bounds its answer: the join of a later round gives only codes that near, and a code that near has a segment s
+at a distance of (within - s) / segments at most (else its distances summed to more), so segment s is left out
+of round r when segments * r + s is beyond `within`. A query closes when no segment is left to it. While it knows fewer
+than k rows all segments are probed; to their full length they cover everything.
 
 Equal vectors share a code and are looked up once, so that a vector that a third of the rows repeat makes no pairs;
 of each code only its k least ids can be in an answer, and only these are kept (by partial windows). Distances tie by the lesser id.
@@ -50,25 +52,25 @@ def exact_top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int
     held = member.groupBy("code").agg(F.count("*").alias("held"), F.min("id").alias("least"))
     keys = F.array(*(F.struct(F.lit(s).alias("seg"), F.expr(_segment("code", s, bits)).alias("key")) for s in range(segments)))
     index = cut(held.select("code", "held", "least", F.explode(keys).alias("x")).select("x.seg", "x.key", "code", "held", "least"))
-    open_ = cut(queries.select(F.col("code").alias("q")).distinct())
+    open_ = cut(queries.select(F.col("code").alias("q"), F.lit(BITS).alias("within")).distinct())
     found = None
     for r in range(bits + 1):
         # At most 2^bits masks of each segment over all rounds: the side that is broadcast has that bound.
         masks = spark.createDataFrame([(s, sum(1 << b for b in c)) for s in range(segments) for c in combinations(range(bits), r)], "seg int, mask long")
         qkeys = F.array(*(F.struct(F.lit(s).alias("seg"), F.expr(_segment("q", s, bits)).alias("at")) for s in range(segments)))
-        probes = open_.select("q", F.explode(qkeys).alias("x")).select("q", "x.seg", "x.at").join(F.broadcast(masks), "seg")
-        probes = probes.select("q", "seg", F.col("at").bitwiseXOR(F.col("mask")).alias("key"))
+        probes = open_.select("q", "within", F.explode(qkeys).alias("x")).select("q", "within", "x.seg", "x.at").where(f"{segments * r} + seg <= within").join(F.broadcast(masks), "seg")
+        probes = probes.select("q", "within", "seg", F.col("at").bitwiseXOR(F.col("mask")).alias("key"))
         near = [f"bit_count({_segment('d', s, bits)})" for s in range(segments)]
         # A code is met once: in the round of its nearest segment, at the first segment that near.
         once = " and ".join(f"({near[s]} > {r} or ({near[s]} = {r} and seg <= {s}))" for s in range(segments))
-        hits = probes.join(index, ["seg", "key"]).withColumn("d", F.col("q").bitwiseXOR(F.col("code"))).where(once)
+        hits = probes.join(index, ["seg", "key"]).withColumn("d", F.col("q").bitwiseXOR(F.col("code"))).where(f"bit_count(d) <= within and {once}")
         hits = hits.select("q", "code", "held", "least", F.expr("bit_count(d)").alias("distance"))
         # k codes suffice: each has a row at least, and the code with the lesser first id wins a tie.
         best = hits if found is None else found.union(hits)
         found = cut(_first_k(best, ["q"], ["distance", "least"], k).drop("__r"))
-        sure = segments * (r + 1) - 1
-        known = found.where(f"distance <= {sure}").groupBy("q").agg(F.sum("held").alias("n")).where(f"n >= {k}")
-        open_ = cut(open_.join(known.select("q"), "q", "left_anti"))
+        so_far = F.sum("held").over(Window.partitionBy("q").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0))
+        known = found.select("q", "distance", so_far.alias("n")).where(f"n >= {k}").groupBy("q").agg(F.min("distance").alias("within"))
+        open_ = cut(open_.select("q").join(known, "q", "left").select("q", F.coalesce("within", F.lit(BITS)).alias("within")).where(f"within >= {segments * (r + 1)}"))
         if not open_.limit(1).count():
             break
     rows = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct()
