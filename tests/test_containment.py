@@ -88,3 +88,22 @@ def test_latent_words_of_copies_make_no_pairs_of_all(spark, monkeypatch):
     made, first = [], retrieval._first_members
     monkeypatch.setattr(retrieval, "_first_members", lambda pairs, *more: made.append(pairs.count()) or first(pairs, *more))
     assert retrieval.latent_words(df, df, edges, 0.5, 5).collect() == want and max(made) <= 3
+
+
+def test_occurrences_hold_neither_texts_nor_patterns_nor_marks_in_memory(spark):
+    texts = spark.createDataFrame([(1, "a/b.go. a/b.go. x.y"), (1, "a/b.go"), (2, "a/b.go a/c.go a/c.go"), (2, "a/b.go a/b.go a/b.go"), (None, "a/b.go a/b.go"), (3, None)], "id long, content string")
+    patterns = spark.createDataFrame([("a/b.go",), ("a/b.go",), ("a/c.go",), ("none",)], "pattern string")
+    got = containment.occurrences_of(texts, patterns, 2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "count(1)" not in plan
+    assert sorted(map(tuple, got.collect())) == [(1, "a/b.go", 2), (2, "a/b.go", 3), (2, "a/c.go", 2)]
+
+
+def test_uncovered_sorts_before_it_makes_texts(spark):
+    notes = spark.createDataFrame([("n", "PKG/a.go pkg/a.go", 1), ("m", "pkg/b.go", 1)], "id string, content string, updated_at long")
+    changes = spark.createDataFrame([("pkg/a.go", "A", 1, 1), ("Pkg/b.go", "A", 1, 1), ("c.go", "D", 1, 1), ("x/y/d.go", "M", 5, 0), ("x/y/d.go", None, 0, 0), ("e.txt", "M", 9, 9)], "path string, status string, additions long, deletions long")
+    got = hygiene.uncovered(notes, changes)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert hygiene.OTHER_ADVICE in plan[: plan.index("Sort ")]
+    assert [tuple(r) for r in got.collect()] == [
+        ("x/y/d.go", "y", "M", 5, hygiene.OTHER_ADVICE), ("Pkg/b.go", "Pkg", "A", 2, hygiene.ADVICE["A"]), ("c.go", ".", "D", 2, hygiene.ADVICE["D"]), ("x/y/d.go", "y", None, 0, hygiene.OTHER_ADVICE)]
